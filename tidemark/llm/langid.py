@@ -157,9 +157,15 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(column(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def identified(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.0) -> DataFrame:
-    """docs without those whose language can't be told: no letters, or a score under `least`."""
+def identified(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float | None = None) -> DataFrame:
+    """docs without those whose language can't be told: no letters, or a score under `least`.
+
+    By default that is a little more than an even share of the languages, which a text without any known word or
+    n-gram gets. With no language to learn from every document is rejected.
+    """
     model = train(docs.filter(~held_out(doc_id)), text=text, lang=lang)
+    if least is None:
+        least = 1 / len(model.languages) + 0.05 if len(model.languages) > 1 else 0.0
     found = predict(packed(docs), model, text=text).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     return found.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, packing, secrets, simhash, suffixdedup
-from .common import documents
+from . import decontam, htmltext, langid, merkle, packing, secrets, simhash, suffixdedup, urlgraph, warc
+from .common import documents, pages
+
+#: (host, path, verdict)
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +23,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.report(documents(spark, sf_dir))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(pages(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(documents(spark, sf_dir))
 
@@ -28,6 +35,18 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(documents(spark, sf_dir))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.report(pages(spark, sf_dir))
+
+
+def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(documents(spark, sf_dir))
+
+
+def op9_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlgraph.judge(pages(spark, sf_dir), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(documents(spark, sf_dir))
 
@@ -36,8 +55,12 @@ QUERIES = {
     "op1_language": op1_language,
     "op2_decontaminate": op2_decontaminate,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_warc": op4_warc,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
+    "op7_html_text": op7_html_text,
+    "op8_merkle": op8_merkle,
+    "op9_url_graph": op9_url_graph,
     "op10_secrets": op10_secrets,
 }
 

@@ -1,3 +1,391 @@
-"""The registered queries over the driver's tables."""
+"""The registered queries over the driver's tables, each a plan of the library's operators."""
 
-QUERIES = {}
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.functions import decode, scalars
+from tidemark.model import LOG, LONG_MAX, MINUTE, PUBLISH, SECOND
+from tidemark.operators import coverage, discovery, index, windows
+from tidemark.sources import adapters
+from tidemark.sources.adapters import DAY
+
+#: Bytes of an extent in the queries, small enough for several in a day's events.
+EXTENT = 4096
+#: Retention in the queries.
+RETENTION = 5 * DAY
+
+
+def _both(spark: SparkSession, sf_dir: str, clock: str = LOG) -> tuple[DataFrame, DataFrame]:
+    return windows.with_windows(adapters.triggers(spark, sf_dir), clock=clock), adapters.messages(spark, sf_dir)
+
+
+def clip_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.summary(*_both(spark, sf_dir))
+
+
+def clip_summary_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.summary(*_both(spark, sf_dir, PUBLISH), clock=PUBLISH)
+
+
+def _clip(spark: SparkSession, sf_dir: str, clock: str) -> DataFrame:
+    w, m = _both(spark, sf_dir, clock)
+    return windows.matches(w, m, clock=clock)
+
+
+def clip_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.in_file_order(_clip(spark, sf_dir, LOG)).select("trigger_id", "recording_id", "offset", "topic", "stamp_ns", "payload")
+
+
+def clip_messages_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.in_file_order(_clip(spark, sf_dir, PUBLISH)).select("trigger_id", "recording_id", "offset", "topic", "stamp_ns", "payload")
+
+
+def clip_by_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clip(spark, sf_dir, LOG).groupBy("trigger_id", "topic").agg(F.count("*").alias("messages"), F.sum("size").alias("bytes"))
+
+
+def clip_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.used_channels(_clip(spark, sf_dir, LOG)).select("trigger_id", "topic", F.col("channel_no").cast("long").alias("channel_no"), "messages")
+
+
+def _ranges(m: DataFrame, clock: str) -> DataFrame:
+    c = "log" if clock == LOG else "publish"
+    return index.bounds(m).select("recording_id", F.col(f"{c}_min").alias("min_ns"), F.col(f"{c}_max").alias("max_ns"))
+
+
+def _segments(spark: SparkSession, sf_dir: str, clock: str, without: str | None = None) -> tuple[DataFrame, DataFrame]:
+    w, m = _both(spark, sf_dir, clock)
+    m = m.filter(F.col("topic") != without) if without else m
+    planned = windows.overlapping(w, _ranges(m, clock), ["recording_id"])
+    counted = windows.matches(w, m, clock=clock).groupBy("trigger_id", "recording_id").agg(F.count("*").alias("messages"))
+    return w, windows.segments(w, planned, counted)
+
+
+def clip_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, s = _segments(spark, sf_dir, PUBLISH, "error")
+    return s.select("trigger_id", "recording_id", "messages", F.col("segment_no").cast("long").alias("segment_no"), "segments")
+
+
+def clip_filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, s = _segments(spark, sf_dir, PUBLISH)
+    return windows.file_names(w, s).select("trigger_id", F.col("segment_no").cast("long").alias("segment_no"), "filename")
+
+
+def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, s = _segments(spark, sf_dir, PUBLISH)
+    done = windows.completions(w.withColumn("trigger_time", scalars.ns_to_stamp(F.lit(0))), windows.file_names(w, s))
+    return done.select("trigger_id", "name", F.array_join("filenames", ",").alias("filenames"), "description", scalars.stamp_ns(F.col("trigger_time.sec"), F.col("trigger_time.nanosec")).alias("trigger_time_ns"), "preroll_ns")
+
+
+def empty_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, m = _both(spark, sf_dir)
+    return windows.summary(w, m.filter(F.col("topic") != "error")).filter("messages = 0").select("trigger_id", "start_ns", "end_ns", "messages")
+
+
+def boundary_inclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that end exactly at a message: half of each window's end moved to the next message's stamp."""
+    m = adapters.messages(spark, sf_dir)
+    t = adapters.triggers(spark, sf_dir).withColumn("preroll_ns", F.lit(0))
+    found = windows.matches(windows.with_windows(t).withColumn("end_ns", F.col("anchor_ns")), m)
+    return found.groupBy("trigger_id").agg(F.count("*").alias("messages"), F.min("stamp_ns").alias("stamp_ns"))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as records of files: byte offsets are the sums of the lengths before."""
+    r = adapters.records(adapters.messages(spark, sf_dir))
+    before = Window.partitionBy("recording_id").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
+    return r.withColumn("event", F.col("offset")).withColumn("offset", F.coalesce(F.sum("len").over(before), F.lit(0)) + 8)
+
+
+def _extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.extents(_records(spark, sf_dir), limit=EXTENT)
+
+
+def extent_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extents(spark, sf_dir).select("recording_id", F.col("extent_no").cast("long").alias("extent_no"), "offset", "len", "records", F.col("log.min").alias("log_min"), F.col("log.max").alias("log_max"), F.col("publish.min").alias("publish_min"), F.col("publish.max").alias("publish_max"))
+
+
+def extent_tiling_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = Window.partitionBy("recording_id").orderBy("extent_no")
+    e = _extents(spark, sf_dir).withColumn("ends", F.lag(F.col("offset") + F.col("len")).over(before))
+    return e.groupBy("recording_id").agg(F.count_if(F.col("offset") != F.coalesce("ends", F.lit(8))).alias("gaps"), F.sum("len").alias("bytes"))
+
+
+def planned_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = windows.with_windows(adapters.triggers(spark, sf_dir), clock=PUBLISH)
+    return index.planned(w, _extents(spark, sf_dir), clock=PUBLISH).groupBy("trigger_id").agg(F.count("*").alias("extents_read"), F.sum("len").alias("bytes_read"), F.countDistinct("recording_id").alias("recordings"))
+
+
+def pruned_equals_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of each window that lie in planned extents, against all of them."""
+    w = windows.with_windows(adapters.triggers(spark, sf_dir))
+    e = _extents(spark, sf_dir)
+    r = _records(spark, sf_dir)
+    full = windows.matches(w, r)
+    plan = index.planned(w, e).select("trigger_id", F.col("recording_id").alias("er"), F.col("offset").alias("es"), (F.col("offset") + F.col("len")).alias("ee"))
+    inside = full.join(plan, ["trigger_id"]).filter((F.col("recording_id") == F.col("er")) & (F.col("offset") >= F.col("es")) & (F.col("offset") < F.col("ee")))
+    count = lambda df, name: df.groupBy("trigger_id").agg(F.count("*").alias(name))
+    return count(full, "full_messages").join(count(inside, "pruned_messages"), "trigger_id", "left").na.fill(0)
+
+
+def recording_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.bounds(adapters.messages(spark, sf_dir))
+
+
+def skew_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.skew(adapters.messages(spark, sf_dir))
+
+
+def high_water(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.high_water(adapters.messages(spark, sf_dir))
+
+
+def high_water_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.running_high(adapters.messages(spark, sf_dir), F.col("log_ns"), chunk=1000).select("offset", "high_ns")
+
+
+def high_water_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.running_high(adapters.messages(spark, sf_dir), F.col("publish_ns"), chunk=1000).select("offset", "high_ns")
+
+
+def _released(spark: SparkSession, sf_dir: str, clock: str) -> DataFrame:
+    return coverage.releases(*_both(spark, sf_dir, clock), clock=clock)
+
+
+def coverage_release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _released(spark, sf_dir, LOG).select("trigger_id", "end_ns", "release_ns")
+
+
+def coverage_release_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _released(spark, sf_dir, PUBLISH).select("trigger_id", "end_ns", "release_ns")
+
+
+def late_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, m = _both(spark, sf_dir, PUBLISH)
+    return coverage.late(windows.matches(w, m, clock=PUBLISH), coverage.releases(w, m, clock=PUBLISH))
+
+
+def cut_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses at the middle of the stored time, on the publish clock: triggers and messages that had arrived by then."""
+    w, m = _both(spark, sf_dir, PUBLISH)
+    now = m.agg((F.min("log_ns") + F.floor((F.max("log_ns") - F.min("log_ns")) / 2)).alias("now")).withColumn("k", F.lit(0))
+    seen = m.withColumn("k", F.lit(0)).join(now, "k").filter("log_ns <= now").groupBy("k", "now").agg(F.max("publish_ns").alias("covered"))
+    then = w.withColumn("k", F.lit(0)).join(seen, "k").filter("log_ns <= now")
+    return coverage.cut_status(then, F.col("covered"), F.col("now"), 30 * SECOND).select("trigger_id", "end_ns", "status")
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings with the state they have when only the newest is still written."""
+    b = index.bounds(adapters.messages(spark, sf_dir))
+    newest = F.max("recording_id").over(Window.partitionBy(F.lit(1)))
+    return coverage.states(b.withColumn("newest", newest), F.col("recording_id") < F.col("newest")).drop("newest")
+
+
+def current_recording(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(spark, sf_dir).select("recording_id", "state", "has_successor", "is_current")
+
+
+def retention_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _files(spark, sf_dir).withColumn("now", F.max("log_max").over(Window.partitionBy(F.lit(1))))
+    return f.withColumn("pruned", coverage.pruned(f, F.col("now"), RETENTION)).select("recording_id", "log_max", "pruned")
+
+
+def retained_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows' messages in recordings that are still kept."""
+    w, m = _both(spark, sf_dir)
+    kept = retention_prune(spark, sf_dir).filter("not pruned").select("recording_id")
+    return windows.summary(w, m.join(kept, "recording_id", "left_semi")).select("trigger_id", "messages", "bytes")
+
+
+def newest_recording(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discovery.newest(index.bounds(adapters.messages(spark, sf_dir)), "log_max", "recording_id", "log_max")
+
+
+def oldest_recording(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discovery.oldest(index.bounds(adapters.messages(spark, sf_dir)), "log_max", "recording_id", "log_max")
+
+
+def discovery_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = index.bounds(adapters.messages(spark, sf_dir)).select(F.col("recording_id").alias("inode"), F.col("log_max").alias("mtime"))
+    return discovery.numbered(files, "mtime", "inode")
+
+
+def seen_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = adapters.messages(spark, sf_dir)
+    files = m.select(F.col("recording_id").alias("inode"))
+    seen = m.filter(F.col("recording_id") % 3 == 0).select(F.col("recording_id").alias("inode"))
+    return discovery.unseen(files, seen, ["inode"])
+
+
+#: Names that every check of the name validation meets, by event id modulo their count.
+NAMES = ["evt-1", "", "a/b", "a\\b", ".hidden", "..", "a..b", "x" * 128, "x" * 129, "é" * 65, "été 7"]
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as triggers of both interfaces and clocks, with values at and beyond every bound."""
+    e = adapters.events(spark, sf_dir)
+    k = F.col("event_id")
+    log = adapters.nanos("ts")
+    return e.select(
+        k.alias("trigger_id"), F.element_at(F.array(*[F.lit(n) for n in NAMES]), (k % len(NAMES) + 1).cast("int")).alias("name"), log.alias("log_ns"), (log - (k % 101 - 50) * MINUTE).alias("publish_ns"),
+        F.when(k % 2 == 0, "live").otherwise("recorded").alias("interface"), F.when(k % 4 < 2, LOG).otherwise(PUBLISH).alias("clock"),
+        F.when(k % 5 == 0, log + (k % 3) * MINUTE * 20).otherwise(F.lit(0)).cast("long").alias("trigger_time_ns"),
+        (30 * MINUTE + (k % 3 - 1)).alias("preroll_ns"), (30 * MINUTE + (k % 7 - 5)).alias("postroll_ns"), (log - (k % 2) * 10 * MINUTE).alias("now_ns"),
+    )
+
+
+def _anchor() -> Column:
+    return scalars.anchor("interface", "clock", "log_ns", "publish_ns", "trigger_time_ns", "now_ns")
+
+
+def anchor_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark, sf_dir).select("trigger_id", "interface", "clock", _anchor().alias("anchor_ns"), scalars.from_trigger_time("interface", "clock").alias("from_trigger_time"))
+
+
+def trigger_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _candidates(spark, sf_dir).withColumn("anchor_ns", _anchor()).withColumn("own", scalars.from_trigger_time("interface", "clock"))
+    reason = scalars.reject_reason("name", "trigger_time_ns", "preroll_ns", "postroll_ns", "anchor_ns", "own", "now_ns")
+    return windows.validated(c, reason).select("trigger_id", "reject_reason")
+
+
+def name_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark, sf_dir).select("trigger_id", scalars.name_reason("name").alias("reason"))
+
+
+def name_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = _candidates(spark, sf_dir).select("trigger_id", scalars.sanitized("name").alias("sanitized"), scalars.clip_name("log_ns", "name").alias("filename"))
+    return named.withColumn("anchor_ns", scalars.parsed_anchor("filename"))
+
+
+def name_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clip names that collide: triggers of an hour share their anchor."""
+    t = adapters.triggers(spark, sf_dir)
+    hour = 60 * MINUTE
+    named = t.select("trigger_id", scalars.clip_name(F.col("log_ns") - F.pmod(F.col("log_ns"), F.lit(24 * hour)), F.col("name")).alias("filename"))
+    return windows.without_collisions(named, ["trigger_id"]).select("trigger_id", "filename", F.col("collision").cast("long").alias("collision"), "published_name")
+
+
+def stamp_ns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = adapters.events(spark, sf_dir).select("event_id", (F.col("event_id") - 50).cast("int").alias("sec"), (F.col("event_id") * 1_234_567).alias("nanosec"))
+    made = e.withColumn("ns", scalars.stamp_ns("sec", "nanosec"))
+    back = scalars.ns_to_stamp("ns")
+    return made.select("event_id", "ns", back["sec"].cast("long").alias("sec"), back["nanosec"].alias("nanosec"))
+
+
+def sat_arith(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = adapters.events(spark, sf_dir).select("event_id", (F.col("event_id") * 1000).alias("a"), (F.col("event_id") % 7 * 100_000).alias("b"), (F.lit(LONG_MAX) - F.col("event_id")).alias("c"))
+    return e.select("event_id", scalars.sat_sub("a", "b").alias("floor"), scalars.sat_add("c", "b").alias("ceiling"), scalars.checked_sub("a", "b").alias("checked"))
+
+
+def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(1, 11).select(F.col("id").alias("faults"), scalars.backoff_ms("id").alias("pause_ms"))
+
+
+def little_endian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of message headers, written as bytes and read back."""
+    e = adapters.events(spark, sf_dir).select("event_id", F.unhex(F.concat(*[F.substring(F.lpad(F.hex("event_id"), 16, "0"), 15 - 2 * k, 2) for k in range(8)])).alias("data"))
+    return e.select("event_id", *[scalars.little_endian("data", 0, w).alias(f"u{8 * w}") for w in (2, 4, 8)])
+
+
+def producer_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    e = adapters.events(spark, sf_dir).select(k, F.element_at(F.array(F.lit("none"), F.lit("time"), F.lit("range")), (k % 3 + 1).cast("int")).alias("kind"), (k * 1000).alias("t"), (k * 500).alias("s"), (k * 700).alias("e"), adapters.nanos("ts").alias("log_ns"))
+    v = scalars.validity("kind", "t", "s", "e")
+    return e.select("event_id", scalars.producer_stamps("kind", "t", "s", F.lit(1_600_000_000 * SECOND), "log_ns").alias("publish_ns"), v["time_ns"].alias("time_ns"), v["start_ns"].alias("start_ns"), v["end_ns"].alias("end_ns"), scalars.plausible("log_ns").alias("plausible"))
+
+
+def trigger_json_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trigger bodies as JSON: whole, without description, without preroll, and with values of wrong types."""
+    k = F.col("event_id")
+    tail = F.concat(F.lit('"trigger_time":{"sec":'), k.cast("string"), F.lit(',"nanosec":250},"postroll":'), (k * 10).cast("string"))
+    body = (
+        F.when(k % 6 == 0, F.concat(F.lit('{"name":"evt","description":"hi",'), tail, F.lit(',"preroll":1000}')))
+        .when(k % 6 == 1, F.concat(F.lit('{"name":"evt","extra":true,'), tail, F.lit(',"preroll":7}')))
+        .when(k % 6 == 2, F.concat(F.lit('{"name":"evt",'), tail, F.lit("}")))
+        .when(k % 6 == 3, F.concat(F.lit('{"name":"evt",'), tail, F.lit(',"preroll":"7"}')))
+        .when(k % 6 == 4, F.concat(F.lit('{"name":"evt",'), tail, F.lit(',"preroll":1.5}')))
+        .otherwise(F.concat(F.lit('{"name":"evt",'), tail, F.lit(',"preroll":-1}')))
+    )
+    e = adapters.events(spark, sf_dir).select("event_id", body.cast("binary").alias("body"))
+    d = e.withColumn("d", decode.trigger(F.lit("json"), F.col("body")))
+    t = F.col("d.trigger")
+    return d.select("event_id", F.col("d.error").isNull().alias("ok"), t["name"].alias("name"), t["description"].alias("description"), t["trigger_time"]["sec"].cast("long").alias("sec"), t["trigger_time"]["nanosec"].alias("nanosec"), t["preroll_ns"].alias("preroll_ns"), t["postroll_ns"].alias("postroll_ns"))
+
+
+def _channels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Messages with channel ids by topic, and channels for all topics but one."""
+    ids = {"click": 1, "error": 2, "purchase": 3, "signup": 4, "view": 5}
+    number = F.create_map(*[F.lit(x) for kv in ids.items() for x in kv])
+    m = adapters.messages(spark, sf_dir).withColumn("channel_id", number[F.col("topic")])
+    c = m.filter(F.col("topic") != "view").groupBy("recording_id", "channel_id", "topic").agg(F.min("offset").alias("offset")).withColumn("schema_id", F.col("channel_id") % 3).withColumn("message_encoding", F.lit("json"))
+    s = c.select("recording_id", "schema_id", F.concat(F.lit("schema_"), F.col("schema_id").cast("string")).alias("name"), F.lit("jsonschema").alias("encoding"), F.lit(b"{}").alias("data"), "offset")
+    return m.drop("topic"), index.resolved_channels(c, s)
+
+
+def channel_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, c = _channels(spark, sf_dir)
+    return c.select("recording_id", F.col("channel_id").cast("long").alias("channel_id"), "topic", F.col("schema.name").alias("schema_name"))
+
+
+def trigger_tap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, c = _channels(spark, sf_dir)
+    return index.tapped(m, c, "error").select("offset", "message_encoding", "log_ns", "publish_ns", "payload")
+
+
+def unknown_channel_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, c = _channels(spark, sf_dir)
+    found = index.with_topics(windows.matches(windows.with_windows(adapters.triggers(spark, sf_dir)), m), c)
+    return found.groupBy("trigger_id").agg(F.count("topic").alias("copied"), F.count_if(F.col("topic").isNull()).alias("skipped"))
+
+
+def message_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The producer's sequence numbers: over all channels of a recording, wrapping at 2^32."""
+    number = F.row_number().over(Window.partitionBy("recording_id").orderBy("offset")).cast("long") - 1
+    return adapters.messages(spark, sf_dir).select("offset", F.pmod(number, F.lit(1 << 32)).alias("sequence"))
+
+
+def union_of_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages per window from closed and open recordings, chained, each recording once."""
+    w, m = _both(spark, sf_dir)
+    files = _files(spark, sf_dir)
+    part = lambda state: m.join(files.filter(state).select("recording_id"), "recording_id", "left_semi")
+    both = part(F.col("state") == "Ended").unionByName(part(F.col("state") != "Ended"))
+    return windows.matches(w, both).groupBy("trigger_id").agg(F.count("*").alias("messages"), F.countDistinct("recording_id").alias("recordings"))
+
+
+def admission_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triggers of a day admitted two at a time: a slot is taken until the window's end."""
+    w = windows.with_windows(adapters.triggers(spark, sf_dir)).withColumn("reject_reason", F.when(F.col("trigger_id") % 10 == 0, "name"))
+    found = coverage.admitted(w.select("recording_id", "trigger_id", "log_ns", F.col("end_ns").alias("finish_ns"), "reject_reason"), limit=2)
+    return found.select("trigger_id", "admitted")
+
+
+def two_clock_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per large order, the shipments (log) whose order (publish) was placed within a day of it, on the publish clock."""
+    s = adapters.shipments(spark, sf_dir).withColumn("size", F.lit(1))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_totalprice > 400000")
+    t = orders.select(F.col("o_orderkey").alias("trigger_id"), adapters.nanos("o_orderdate").alias("publish_ns"), F.lit(DAY).alias("preroll_ns"), F.lit(DAY).alias("postroll_ns"))
+    w = windows.with_windows(t, clock=PUBLISH)
+    found = windows.matches(w, s, clock=PUBLISH, width=2 * DAY)
+    return found.groupBy("trigger_id").agg(F.count("*").alias("messages"), F.min("log_ns").alias("first_log_ns"), F.max("log_ns").alias("last_log_ns"))
+
+
+def mcap_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as MCAP recordings, one for each day, and read back by the data source: messages per recording."""
+    from tidemark.sources import roundtrip
+
+    return roundtrip.events(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        clip_summary, clip_summary_publish, clip_messages, clip_messages_publish, clip_by_topic, clip_channels, clip_segments, clip_filenames, completions, empty_windows,
+        boundary_inclusive, extent_index, extent_tiling_check, planned_extents, pruned_equals_full, recording_bounds, skew_bounds, high_water, high_water_log, high_water_publish,
+        coverage_release, coverage_release_publish, late_loss, cut_status, current_recording, retention_prune, retained_plan, newest_recording, oldest_recording, discovery_order,
+        seen_anti_join, anchor_matrix, trigger_validate, name_validate, name_sanitize, name_collision, stamp_ns, sat_arith, backoff_schedule, little_endian, producer_stamps,
+        trigger_json_decode, channel_schemas, trigger_tap, unknown_channel_skips, message_sequence, union_of_recordings, admission_fold, two_clock_windows, mcap_roundtrip,
+    )
+}

@@ -18,7 +18,8 @@ CHUNK = 1 << 16
 def extents(records: DataFrame, *, limit: int = EXTENT_BYTES) -> DataFrame:
     """Extents of each recording: records in file order, closed once they hold `limit` bytes; they tile the file.
 
-    records: recording_id, offset (bytes), len (with its header), log_ns, publish_ns (null where a record has no times).
+    records: recording_id, offset (bytes), len (with its header) and log_ns, publish_ns, or for chunks log_min, log_max,
+    publish_min, publish_max (null where a record has no times).
     A fold in file order: a task streams its recordings one after the other and holds one extent's bounds.
     """
 
@@ -36,7 +37,7 @@ def extents(records: DataFrame, *, limit: int = EXTENT_BYTES) -> DataFrame:
             size, n, bounds = 0, 0, None
 
         for batch in batches:
-            for r, at, length, log, publish in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for r, at, length, *times in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
                 if r != recording:
                     close()
                     recording, number = r, 0
@@ -44,8 +45,8 @@ def extents(records: DataFrame, *, limit: int = EXTENT_BYTES) -> DataFrame:
                     start = at
                 size += length
                 n += 1
-                if log is not None:
-                    bounds = [log, log, publish, publish] if bounds is None else [min(bounds[0], log), max(bounds[1], log), min(bounds[2], publish), max(bounds[3], publish)]
+                if times[0] is not None:
+                    bounds = times if bounds is None else [min(bounds[0], times[0]), max(bounds[1], times[1]), min(bounds[2], times[2]), max(bounds[3], times[3])]
                 if size >= limit:
                     close()
             if out:
@@ -55,7 +56,9 @@ def extents(records: DataFrame, *, limit: int = EXTENT_BYTES) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    ordered = records.select("recording_id", "offset", "len", "log_ns", "publish_ns").repartition("recording_id").sortWithinPartitions("recording_id", "offset")
+    one = "log_min" not in records.columns
+    clocks = [F.col(f"{c}_ns" if one else f"{c}_{end}").alias(f"{c}_{end}") for c in ("log", "publish") for end in ("min", "max")]
+    ordered = records.select("recording_id", "offset", "len", *clocks).repartition("recording_id").sortWithinPartitions("recording_id", "offset")
     return ordered.mapInArrow(fold, EXTENTS)
 
 

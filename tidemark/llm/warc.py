@@ -108,7 +108,7 @@ class Writer:
         store, path = _store(folder)
         store.create_dir(path, recursive=True)
         store, path = _store(self.path)
-        self.out, self.held, self.size, self.records, self.codec = store.open_output_stream(path), [], 0, 0, None
+        self.out, self.held, self.size, self.records, self.codec = store.open_output_stream(path, compression=None), [], 0, 0, None
 
     def _start(self) -> None:
         try:
@@ -143,7 +143,7 @@ class Writer:
 def records(path: str) -> Iterator[bytes]:
     """The records of an archive, one at a time."""
     store, where = _store(path)
-    with store.open_input_stream(where) as f:
+    with store.open_input_stream(where, compression=None) as f:
         data = f.read(8)
         context = zstandard.ZstdDecompressor()
         if len(data) == 8 and struct.unpack("<II", data)[0] == SKIPPABLE:

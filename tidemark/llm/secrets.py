@@ -8,8 +8,8 @@ uniformity, the runs test about the alphabet's median, and lag-one serial correl
 
 Passing is easy for short ordinary words, so each candidate also gets a p-value under ordinary text: the chance that
 characters with the corpus's own frequencies repeat as little (the chi-squared statistic's coincidences, with their
-exact mean and variance), combined by Fisher's method with the chance of as many changes between letters, digits
-and symbols at the corpus's own rate. Both depend on the length. Benjamini-Hochberg at rate FDR within each length class decides which
+exact mean and variance), combined by Fisher's method with the chance of as many changes between letters and
+digits at the corpus's own rate. Both depend on the length. Benjamini-Hochberg at rate FDR within each length class decides which
 candidates are spans of kind random; the counts behind it are of a fixed number of bins over all documents.
 
 One pass reads the texts; what follows works on spans and candidates.
@@ -49,17 +49,17 @@ TOKEN = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
 
 _ALPHABETS = (b"0123456789abcdef", b"0123456789ABCDEF", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", b"0123456789abcdefghijklmnopqrstuvwxyz", b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 _BASE64 = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_")
-#: 1 lower case, 2 upper case, 3 digits, 4 symbols; and 1 letters, 2 digits, 3 symbols, as CamelCase is ordinary.
+#: 1 lower case, 2 upper case, 3 digits, 4 symbols; and 1 letters, 2 digits, as CamelCase and snake_case_2 are ordinary.
 _CLASS = np.zeros(256, np.int8)
 for _k, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"+/_=-"), 1):
     _CLASS[list(_chars)] = _k
-_GROUP = np.array([0, 1, 1, 2, 3], np.int8)[_CLASS]
-#: The least rate of changes between letters, digits and symbols that ordinary text is credited with.
+_GROUP = np.array([0, 1, 1, 2, 0], np.int8)[_CLASS]
+#: The least rate of changes between letters and digits that ordinary text is credited with.
 _RATE = 0.01
 
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.LongType())])
 TOKEN_SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("token", T.BinaryType())])
-#: stats: on one row of a batch, the batch's counts of token characters (128), of adjacent pairs and of class changes.
+#: stats: on one row of a batch, the batch's counts of token characters (128), of adjacent letters and digits and of changes between them.
 SCAN = T.StructType([T.StructField("base", T.ArrayType(SPAN)), T.StructField("candidates", T.ArrayType(TOKEN_SPAN)), T.StructField("stats", T.ArrayType(T.LongType()))])
 
 
@@ -174,7 +174,8 @@ def ordinary(token: bytes, letters: bytes, stats: np.ndarray) -> float:
     p_repeat = _normal((pairs + 0.5 - mean) / math.sqrt(max(var, 1e-9)))
     rate = min(max((stats[129] + 1) / (stats[128] + 2), _RATE), 0.5)
     kind = _GROUP[np.frombuffer(core, np.uint8)]
-    k, trials = int((kind[1:] != kind[:-1]).sum()), n - 1
+    both = (kind[1:] > 0) & (kind[:-1] > 0)
+    k, trials = int((both & (kind[1:] != kind[:-1])).sum()), int(both.sum())
     if trials > 1000:
         p_change = _normal(-(k - 0.5 - trials * rate) / math.sqrt(trials * rate * (1 - rate)))
     else:
@@ -285,5 +286,6 @@ def redacted(docs: DataFrame, *, text: str = "text", count: str | None = "n_char
 def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans for each document."""
     found = find(docs.select(column(doc_id), column(text)), text=text, columns=(doc_id,))
-    n = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:3])]
+    of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    n = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:3])]
     return found.select(F.col("row")[doc_id].alias("doc_id"), *n, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))

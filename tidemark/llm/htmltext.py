@@ -130,8 +130,6 @@ def blocks(page: str, classes: bool = True) -> list[Block]:
                     break
                 if stack[k][0] in ("article", "main", "body", "table") and name not in BLOCKS:
                     break  # a stray end tag of an inline element
-            if name in ("td", "th"):
-                add(" ")
             continue
         attrs = m["attrs"] or m["attrs2"] or ""
         if name in VOID:
@@ -156,6 +154,8 @@ def blocks(page: str, classes: bool = True) -> list[Block]:
                     break
         if name in BLOCKS:
             flush()
+        elif name in ("td", "th"):
+            add(" ")
         if name in RAW:  # no tags inside
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)

@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -36,8 +37,9 @@ ORDERS = (5, 4, 3, 2, 1)
 STEP_BACK = 0.7
 SHARP = 12
 UNKNOWN = "und"
-#: Words whose vectors a worker remembers.
-CACHE = 200_000
+#: Words whose vectors a worker remembers, and the most bytes of these vectors.
+CACHE = 300_000
+CACHE_BYTES = 64 << 20
 
 _WORD = re.compile(r"[^\W\d_]+")
 FOUND = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -47,69 +49,73 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def grams(word: str, n: int) -> list[str]:
-    padded = f" {word} "
-    return [padded[i : i + n] for i in range(len(padded) - n + 1)] if n > 1 else list(word)
-
-
 class Model:
-    """Log-frequency vectors over the languages, for words and for n-grams by length."""
+    """Log-frequency vectors over the languages, for words (order 0) and for n-grams by length.
+
+    For each order a place for each key and one matrix of vectors.
+    """
 
-    def __init__(self, languages: list[str], rows: list[tuple[str, int, str, int]], totals: dict[tuple[str, int], int]):
-        """rows: language, order (0 for words), word or n-gram, count. totals: counts of all by language and order."""
+    def __init__(self, languages: list[str], rows: Iterable[tuple[str, int, str, int]], totals: dict[tuple[str, int], int]):
+        """rows: language, order, word or n-gram, count. totals: counts of all by language and order."""
         self.languages = sorted(languages)
-        place = {x: k for k, x in enumerate(self.languages)}
-        self.tables: dict[int, dict[str, np.ndarray]] = {}
-        size = Counter(o for _, o, _, _ in rows)
-        for order in (0, *ORDERS):
-            n = np.array([totals.get((x, order), 0) for x in self.languages], float)
-            self.tables[order] = table = {}
-            for lang, o, key, c in rows:
-                if o == order:
-                    table.setdefault(key, np.zeros(len(place)))[place[lang]] += c
-            for key, v in table.items():
-                table[key] = np.log((v + 0.5) / (n + 0.5 * size[order] + 1))
+        column_of = {x: k for k, x in enumerate(self.languages)}
+        self.places: dict[int, dict[str, int]] = {o: {} for o in (0, *ORDERS)}
+        counts: dict[int, list[tuple[int, int, int]]] = {o: [] for o in (0, *ORDERS)}
+        for lang, o, key, c in rows:
+            counts[o].append((self.places[o].setdefault(key, len(self.places[o])), column_of[lang], c))
+        self.vectors: dict[int, np.ndarray] = {}
+        for o, found in counts.items():
+            seen = np.zeros((len(self.places[o]), len(self.languages)))
+            for k, x, c in found:
+                seen[k, x] += c
+            n = np.array([totals.get((x, o), 0) for x in self.languages], float)
+            self.vectors[o] = np.log((seen + 0.5) / (n + 0.5 * len(seen) + 1)).astype(np.float32)
 
     def vector(self, word: str) -> np.ndarray | None:
-        if (v := self.tables[0].get(word)) is not None:
-            return v
+        """The word's vector; for an unseen word that of its longest known n-grams; None if it has none."""
+        if (k := self.places[0].get(word)) is not None:
+            return self.vectors[0][k]
+        padded = f" {word} "
         for step, n in enumerate(ORDERS, 1):
-            known = [v for g in grams(word, n) if (v := self.tables[n].get(g)) is not None]
+            get, text = self.places[n].get, padded if n > 1 else word
+            known = [k for i in range(len(text) - n + 1) if (k := get(text[i : i + n])) is not None]
             if known:
-                return STEP_BACK**step * np.mean(known, axis=0)
+                return self.vectors[n][known].sum(0) * np.float32(STEP_BACK**step / len(known))
         return None
 
 
 def judge(model: Model):
     """A function from texts to predicted languages and scores."""
+    limit = max(1, min(CACHE, CACHE_BYTES // (4 * max(1, len(model.languages)))))
     cache: dict[str, int] = {}
-    store = np.zeros((1024, len(model.languages)))
+    store = np.zeros((1024, len(model.languages)), np.float32)  # row 0 is that of words without any known n-gram
 
     def place(word: str) -> int:
-        """The word's row in the store; row 0 is that of words without any known n-gram."""
         nonlocal store
-        if len(cache) >= CACHE:
-            cache.clear()
+        if (v := model.vector(word)) is None:
+            cache[word] = 0
+            return 0
         k = len(cache) + 1
         if k >= len(store):
             store = np.concatenate([store, np.zeros_like(store)])
-        v = model.vector(word)
-        store[k] = 0 if v is None else v - v.max()
+        store[k] = v
         cache[word] = k
         return k
 
     def one(text: str) -> tuple[str, float]:
-        found = words(text)
-        counts = Counter(found)
+        counts = Counter(words(text))
         if not model.languages or not any(c.isalpha() for w in counts for c in w):
             return UNKNOWN, 0.0
-        if len(cache) + len(counts) >= CACHE:
-            cache.clear()
-        get = cache.get
-        at = [get(w) or place(w) for w in counts] if len(counts) < CACHE else None
-        n = np.fromiter(counts.values(), float, len(counts))
-        total = n @ store[at] if at is not None else sum(c * (v - v.max()) for w, c in counts.items() if (v := model.vector(w)) is not None)
-        mean = np.asarray(total) / len(found) * min(len(found), SHARP)
+        total, all_, got = np.zeros(len(model.languages)), 0, list(counts)
+        for i in range(0, len(got), limit):  # one part, but for texts with more distinct words than are remembered
+            part = got[i : i + limit]
+            if len(cache) + len(part) > limit:
+                cache.clear()
+            at = [k if (k := cache.get(w)) is not None else place(w) for w in part]
+            n = np.fromiter((counts[w] for w in part), np.float32, len(part))
+            total += n @ store[at]
+            all_ += int(n.sum())
+        mean = total / all_ * min(all_, SHARP)
         k = int(mean.argmax())
         return model.languages[k], float(1 / np.exp(mean - mean[k]).sum())
 
@@ -132,8 +138,14 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", sample
     every = F.concat(F.array(F.struct(F.lit(0).alias("o"), F.col("w").alias("key"))), *[cut_(n) for n in ORDERS])
     counted = word.select("lang", "count", F.explode(every).alias("g")).groupBy("lang", "g.o", "g.key").agg(F.sum("count").alias("n"))
     ranked = counted.withColumn("all", F.sum("n").over(Window.partitionBy("lang", "o"))).withColumn("k", F.row_number().over(Window.partitionBy("lang", "o").orderBy(F.desc("n"), "key")))
-    kept = ranked.filter(F.col("k") <= top).select("lang", "o", "key", "n", "all").collect()  # at most top rows a language and order
-    return Model([r["lang"] for r in sizes], [(r["lang"], r["o"], r["key"], r["n"]) for r in kept], {(r["lang"], r["o"]): r["all"] for r in kept})
+    kept = ranked.filter(F.col("k") <= top).select("lang", "o", "key", "n", "all").toArrow()  # at most top rows a language and order
+    totals: dict[tuple[str, int], int] = {}
+    rows = []
+    for batch in kept.to_batches(max_chunksize=10_000):
+        for lang_, o, key, n, whole in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            totals[lang_, o] = whole
+            rows.append((lang_, o, key, n))
+    return Model([r["lang"] for r in sizes], rows, totals)
 
 
 def predict(rows: DataFrame, model: Model, *, text: str = "text") -> DataFrame:

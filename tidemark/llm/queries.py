@@ -64,4 +64,26 @@ QUERIES = {
     "op10_secrets": op10_secrets,
 }
 
-ORACLES: dict[str, str] = {}
+#: DuckDB SQL where it can express a query; the others are held against brute force in the tests.
+ORACLES: dict[str, str] = {
+    "op2_decontaminate": r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+il AS (SELECT item_id, ws, least(13, len(ws)) AS size FROM iw WHERE len(ws) > 0),
+ig AS (SELECT DISTINCT item_id, size, array_to_string(ws[k : k + size - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(ws) - size + 2)) AS k FROM il)),
+dg AS (SELECT doc_id, k, size, array_to_string(ws[k : k + size - 1], ' ') AS gram FROM (SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS k FROM dw, (SELECT DISTINCT size FROM ig))),
+hit AS (SELECT doc_id, k, dg.size, item_id FROM dg JOIN ig USING (size, gram)),
+n AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(k, k + size)) AS at FROM hit) GROUP BY 1),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY 1)
+SELECT dw.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM dw LEFT JOIN n ON dw.doc_id = n.doc_id LEFT JOIN i ON dw.doc_id = i.doc_id
+""",
+    "op4_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+b AS (SELECT *, list_aggregate(list_transform(range(1, 41), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * strpos('0123456789abcdef', substr(hex, i, 1)) - 3, 4)), 'string_agg', '') AS bits FROM p),
+d AS (SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT) + CAST(substr(bits, 5 * i + 5, 1) AS INT) + 1 AS INT), 1)), 'string_agg', '') AS payload_digest,
+  max(page_id) OVER (PARTITION BY body) AS first FROM b)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d
+""",
+}

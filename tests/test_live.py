@@ -58,6 +58,51 @@ def test_extents_of_chunked_recordings(spark, tmp_path):
     assert [(tuple(x["log"]), tuple(x["publish"]), x["offset"]) for x in e] == [((10, 30), (970, 990), 8)]
 
 
+def test_only_planned_extents_are_read(spark, tmp_path):
+    from tidemark.operators import index, windows
+
+    for k in range(2):
+        recording(tmp_path / f"{k}.mcap", [("/t", t, t, b"x" * 40) for t in range(100 * k, 100 * k + 50)])
+        os.utime(tmp_path / f"{k}.mcap", ns=(k, k))
+    e = index.extents(datasource.read(spark, str(tmp_path), "records"), limit=200).cache()
+    w = spark.createDataFrame([(0, 110, 120)], "trigger_id long, start_ns long, end_ns long")
+    plan = index.planned(w, e)
+    near = datasource.read_planned(spark, str(tmp_path), plan)
+    assert 1 <= plan.count() < e.count() and near.count() < 100
+    assert sorted(r["log_ns"] for r in windows.matches(w, near).collect()) == list(range(110, 121))
+    assert datasource.read_planned(spark, str(tmp_path), plan.limit(0)).count() == 0
+    bad = [[0, str(tmp_path / "0.mcap"), 8, 20]]
+    with pytest.raises(Exception, match="doesn't end with a record"):
+        datasource.read(spark, str(tmp_path), ranges=bad).collect()
+
+
+def test_triggers_come_from_any_stream(spark, tmp_path):
+    from tidemark.sources import producers
+
+    (tmp_path / "in").mkdir()
+    producers.rolled(spark, 3).write.mode("overwrite").parquet(str(tmp_path / "in"))
+    live = Live(spark, Params(out_dir=str(tmp_path / "out")), str(tmp_path / "work"))
+    query = live.listen(spark.readStream.schema(producers.rolled(spark, 1).schema).parquet(str(tmp_path / "in")))
+    query.processAllAvailable()
+    query.stop()
+    assert len(live.state.pending) == 3 and all(SECOND <= p["preroll_ns"] <= 10 * SECOND and p["preroll_ns"] % SECOND == 0 for p in live.state.pending)
+
+
+def test_pruned_recordings_are_deleted_if_asked(spark, tmp_path):
+    folder = tmp_path / "rec"
+    folder.mkdir()
+    for k in range(2):
+        recording(folder / f"{k}.mcap", [("/t", 100 + k, 0, b"x")])
+        os.utime(folder / f"{k}.mcap", ns=(k, k))
+    live = Live(spark, Params(record_dir=str(folder), out_dir=str(tmp_path / "out"), retention_ns=10, delete_pruned=True), str(tmp_path / "work"))
+    live.start()
+    end = time.monotonic() + 60
+    while live.state.coverage["log"] < 101 and time.monotonic() < end:
+        time.sleep(0.1)
+    live.query.stop()
+    assert live.prune(110) == [] and live.prune(111) == [0] and sorted(os.listdir(folder)) == ["1.mcap"]
+
+
 def test_a_recorded_trigger_is_cut_over_two_recordings(spark, tmp_path):
     folder = tmp_path / "rec"
     folder.mkdir()

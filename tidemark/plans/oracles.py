@@ -158,5 +158,10 @@ SELECT recording_id, CAST(channel_id AS BIGINT) AS channel_id, topic, CASE WHEN
     "two_clock_windows": f"""WITH s AS (SELECT epoch_us(l_shipdate) * 1000 AS log_ns, epoch_us(o_orderdate) * 1000 AS publish_ns FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 w AS (SELECT o_orderkey AS trigger_id, epoch_us(o_orderdate) * 1000 AS placed FROM orders WHERE o_totalprice > 400000)
 SELECT trigger_id, count(*) AS messages, min(log_ns) AS first_log_ns, max(log_ns) AS last_log_ns FROM w JOIN s ON publish_ns BETWEEN placed - {DAY} AND placed + {DAY} GROUP BY 1""",
+    "producer_ticks": """SELECT topic, 2 * i + k AS sequence, 1700000000000000000 + i * 20000000 AS log_ns, CASE k WHEN 0 THEN round(cos(i * 0.02::DOUBLE), 9) END AS x, CASE k WHEN 0 THEN round(sin(i * 0.02::DOUBLE), 9) END AS y, CASE k WHEN 1 THEN round(abs(sin(i * 0.02::DOUBLE)), 9) END AS size
+FROM generate_series(0, 499) g(i), (VALUES (0, '/pose'), (1, '/size')) c(k, topic)""",
+    "producer_envelopes": """WITH s AS (SELECT event_id AS k, CASE WHEN event_id % 4 <> 0 THEN CAST(floor(value) AS BIGINT) END AS value FROM events)
+SELECT k AS seq, CASE WHEN value IS NULL THEN '/sensor/__meta' ELSE '/sensor' END AS topic, k * 6 + 1600000000000000000 AS log_ns, CASE k % 3 WHEN 1 THEN k * 10 WHEN 2 THEN k * 20 ELSE k * 6 END + 1600000000000000000 AS publish_ns,
+  value, CASE WHEN k % 3 = 2 THEN k * 20 END AS start_ns, k * 6 AS done_ns, CASE WHEN value IS NULL THEN true END AS missing FROM s""",
     "mcap_roundtrip": BASE + "SELECT recording_id, count(*) AS messages, CAST(sum(size) AS BIGINT) AS bytes, min(log_ns) AS log_min, max(log_ns) AS log_max, min(publish_ns) AS publish_min, max(publish_ns) AS publish_max, count(DISTINCT topic) AS topics FROM b0 GROUP BY 1".replace("b0", "m"),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import decode, scalars
 from tidemark.model import LOG, LONG_MAX, MINUTE, PUBLISH, SECOND
 from tidemark.operators import coverage, discovery, index, windows
-from tidemark.sources import adapters
+from tidemark.sources import adapters, producers
 from tidemark.sources.adapters import DAY
 
 #: Bytes of an extent in the queries, small enough for several in a day's events.
@@ -372,6 +372,22 @@ def two_clock_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("trigger_id").agg(F.count("*").alias("messages"), F.min("log_ns").alias("first_log_ns"), F.max("log_ns").alias("last_log_ns"))
 
 
+def producer_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two channels' ticks, their payloads read back from JSON."""
+    t = producers.ticks(spark, 500, start_ns=1_700_000_000 * SECOND, period_ns=20_000_000)
+    value = lambda name: F.round(F.get_json_object(F.col("payload").cast("string"), f"$.{name}").cast("double"), 9)
+    return t.select("topic", "sequence", "log_ns", value("x").alias("x"), value("y").alias("y"), value("size").alias("size"))
+
+
+def producer_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as sensor samples in their envelopes, some fields read back."""
+    k = F.col("event_id")
+    e = adapters.events(spark, sf_dir).select(k.alias("seq"), F.when(k % 4 != 0, F.floor("value")).alias("value"), F.element_at(F.array(F.lit("none"), F.lit("time"), F.lit("range")), (k % 3 + 1).cast("int")).alias("kind"), (k * 10).alias("time_ns"), (k * 20).alias("start_ns"), (k * 30).alias("end_ns"), (k * 5).alias("begun_ns"), (k * 6).alias("done_ns"), F.lit("ok").alias("status"))
+    made = producers.envelopes(e, epoch_offset_ns=1_600_000_000 * SECOND)
+    of = lambda name: F.get_json_object("payload", f"$.{name}").cast("long")
+    return made.select("seq", "topic", "log_ns", "publish_ns", of("payload.value").alias("value"), of("tov.start_ns").alias("start_ns"), of("process_time.end").alias("done_ns"), (F.get_json_object("payload", "$.payload_missing") == "true").alias("missing"))
+
+
 def mcap_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as MCAP recordings, one for each day, and read back by the data source: messages per recording."""
     from tidemark.sources import roundtrip
@@ -386,6 +402,6 @@ QUERIES = {
         boundary_inclusive, extent_index, extent_tiling_check, planned_extents, pruned_equals_full, recording_bounds, skew_bounds, high_water, high_water_log, high_water_publish,
         coverage_release, coverage_release_publish, late_loss, cut_status, current_recording, retention_prune, retained_plan, newest_recording, oldest_recording, discovery_order,
         seen_anti_join, anchor_matrix, trigger_validate, name_validate, name_sanitize, name_collision, stamp_ns, sat_arith, backoff_schedule, little_endian, producer_stamps,
-        trigger_json_decode, channel_schemas, trigger_tap, unknown_channel_skips, message_sequence, union_of_recordings, admission_fold, two_clock_windows, mcap_roundtrip,
+        trigger_json_decode, channel_schemas, trigger_tap, unknown_channel_skips, message_sequence, union_of_recordings, admission_fold, two_clock_windows, mcap_roundtrip, producer_ticks, producer_envelopes,
     )
 }

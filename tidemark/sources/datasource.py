@@ -1,7 +1,9 @@
 """MCAP as a Spark data source: batch and streaming reads, and a writer that publishes clips atomically.
 
 Read options: path (a folder or file that every node reaches), table (messages, channels, schemas, records, or all, the
-union of the four with a kind column), with_payload (default true). A file is one partition, scanned in order; recorders
+union of the four with a kind column), with_payload (default true), ranges (JSON list of [recording_id, path, start, end]:
+byte ranges on record boundaries, such as planned extents; only these are read, and a range whose records don't end
+where it does is an error). A file is one partition, scanned in order; recorders
 roll their files over, which bounds a partition. Streaming offsets hold the files in the order of their discovery and
 the end of each one's last complete record; a later file is only begun once the earlier ones are read.
 
@@ -35,7 +37,7 @@ _FIELDS = {
     "messages": [(f.name, f.dataType) for f in MESSAGES],
     "channels": [*_PLACE, ("channel_id", _INT), ("schema_id", _INT), ("topic", _TEXT), ("message_encoding", _TEXT), ("metadata", T.MapType(_TEXT, _TEXT))],
     "schemas": [*_PLACE, ("schema_id", _INT), ("name", _TEXT), ("encoding", _TEXT), ("data", _BYTES)],
-    "records": [("recording_id", _LONG), ("offset", _LONG), ("len", _LONG), ("opcode", _INT), ("log_min", _LONG), ("log_max", _LONG), ("publish_min", _LONG), ("publish_max", _LONG)],
+    "records": [("recording_id", _LONG), ("offset", _LONG), ("len", _LONG), ("opcode", _INT), ("log_min", _LONG), ("log_max", _LONG), ("publish_min", _LONG), ("publish_max", _LONG), ("damaged", T.BooleanType())],
 }
 _FIELDS["all"] = [("kind", _TEXT), ("path", _TEXT), *dict(x for t in ("messages", "channels", "schemas", "records") for x in _FIELDS[t]).items()]
 TABLES = {k: T.StructType([T.StructField(n, t) for n, t in v]) for k, v in _FIELDS.items()}
@@ -50,6 +52,7 @@ class Part(InputPartition):
     path: str
     start: int
     end: int | None
+    strict: bool = False
 
 
 def _reader(path: str):
@@ -65,7 +68,8 @@ def rows(part: Part, table: str, with_payload: bool) -> Iterator[pa.RecordBatch]
     try:
         held: list[dict] = []
         size = 0
-        for item in mcap.scan(read_at, os.fstat(fd).st_size, mcap.Scan(part.start), end=part.end, with_payload=with_payload):
+        state = mcap.Scan(part.start)
+        for item in mcap.scan(read_at, os.fstat(fd).st_size, state, end=part.end, with_payload=with_payload):
             if wanted and item.kind != wanted:
                 continue
             values = item.values | {"recording_id": part.recording_id, "offset": item.offset, "kind": item.kind, "path": part.path}
@@ -76,17 +80,33 @@ def rows(part: Part, table: str, with_payload: bool) -> Iterator[pa.RecordBatch]
             if len(held) >= ROWS or size >= mcap.READ:
                 yield pa.RecordBatch.from_pylist(held, schema=schema)
                 held, size = [], 0
+        if part.strict and state.offset != part.end:
+            raise state.fault or mcap.Fault(state.offset, f"a range to {part.end} doesn't end with a record")
         if held:
             yield pa.RecordBatch.from_pylist(held, schema=schema)
     finally:
         os.close(fd)
 
 
+def merged(ranges: list[list]) -> list[list]:
+    """Ranges [recording_id, path, start, end], each byte once: those that overlap or touch are one."""
+    out: list[list] = []
+    for r, path, start, end in sorted(map(tuple, ranges)):
+        if out and out[-1][:2] == [r, path] and start <= out[-1][3]:
+            out[-1][3] = max(out[-1][3], end)
+        else:
+            out.append([r, path, start, end])
+    return out
+
+
 class _Batch(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.table, self.with_payload = options["path"], options.get("table", "messages"), options.get("with_payload", "true") == "true"
+        self.ranges = json.loads(options["ranges"]) if "ranges" in options else None
 
     def partitions(self) -> list[Part]:
+        if self.ranges is not None:
+            return [Part(*r, strict=True) for r in merged(self.ranges)] or [Part(0, os.devnull, 0, 0)]
         return [Part(k, f.path, len(mcap.MAGIC), None) for k, f in enumerate(files.listed(self.path))]
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
@@ -284,9 +304,20 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(McapSource)
 
 
-def read(spark: SparkSession, path: str, table: str = "messages", with_payload: bool = True) -> DataFrame:
+def read(spark: SparkSession, path: str, table: str = "messages", with_payload: bool = True, ranges: list[list] | None = None) -> DataFrame:
     register(spark)
-    return spark.read.format("mcap").option("path", path).option("table", table).option("with_payload", str(with_payload).lower()).load()
+    reader = spark.read.format("mcap").option("path", path).option("table", table).option("with_payload", str(with_payload).lower())
+    return (reader if ranges is None else reader.option("ranges", json.dumps(ranges))).load()
+
+
+def read_planned(spark: SparkSession, path: str, planned: DataFrame, table: str = "messages") -> DataFrame:
+    """Reads only the planned extents (recording_id, offset, len) of the recordings of a folder, whose order numbers them.
+
+    The plan of a cut is a list of byte ranges, a few for each window; it reaches the driver as such.
+    """
+    paths = [f.path for f in files.listed(path)]
+    ranges = [[r["recording_id"], paths[r["recording_id"]], r["offset"], r["offset"] + r["len"]] for r in planned.select("recording_id", "offset", "len").distinct().toLocalIterator()]
+    return read(spark, path, table, ranges=ranges)
 
 
 def clip_rows(clips: DataFrame) -> DataFrame:

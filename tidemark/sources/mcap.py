@@ -184,9 +184,11 @@ def scan(read_at: Callable[[int, int], bytes], size: int, state: Scan, *, end: i
         body = memoryview(buffer)[at + RECORD_HEADER : at + whole]
         place, state.offset = state.offset, state.offset + whole
         items: list[tuple[str, dict]] = []
+        bad = False
         if op == MESSAGE:
             if (m := message(body, with_payload)) is None:
                 state.runts += 1
+                bad = True
             else:
                 items = [("message", m)]
         elif op in (SCHEMA, CHANNEL):
@@ -194,14 +196,16 @@ def scan(read_at: Callable[[int, int], bytes], size: int, state: Scan, *, end: i
                 items = [_definition(op, body)]
             except Damaged:
                 state.damaged += 1
+                bad = True
         elif op == CHUNK:
             try:
                 items = _inside(_inflate(body), with_payload)
             except Damaged:
                 state.unreadable_chunks += 1
+                bad = True
         times = [(m["log_ns"], m["publish_ns"]) for kind, m in items if kind == "message"]
         bounds = {"log_min": min(x for x, _ in times), "log_max": max(x for x, _ in times), "publish_min": min(x for _, x in times), "publish_max": max(x for _, x in times)} if times else {}
-        yield Item("record", place, {"len": whole, "opcode": op} | bounds)
+        yield Item("record", place, {"len": whole, "opcode": op, "damaged": bad} | bounds)
         for k, (kind, values) in enumerate(items):
             yield Item(kind, place, values | {"chunk_offset": place if op == CHUNK else None, "inner_seq": k if op == CHUNK else 0})
 

@@ -56,6 +56,8 @@ class State:
     refused: list[dict] = field(default_factory=list)
     #: Places of the triggers taken up from the batch that isn't finished, so that its repetition takes none twice.
     taken: list[list[int]] = field(default_factory=list)
+    #: Paths of the recordings in the index, by id.
+    paths: dict[str, str] = field(default_factory=dict)
 
 
 class Live:
@@ -112,6 +114,7 @@ class Live:
         for kind, table in INDEX.items():
             rows = batch.filter(F.col("kind") == kind).select(*datasource.TABLES[table].names)
             rows.write.mode("overwrite").partitionBy("recording_id").parquet(os.path.join(self.work, table, f"batch={batch_id}"))
+        self.state.paths |= {str(r["recording_id"]): r["path"] for r in batch.select("recording_id", "path").distinct().collect()}  # a row for each recording
         if self.params.trigger_source == "recorded":
             self._take(batch)
         high = batch.filter("kind = 'message'").agg(F.max("log_ns"), F.max("publish_ns")).first()
@@ -120,6 +123,16 @@ class Live:
         self.state.batch, self.state.taken = batch_id, []
         self._save()
 
+    def listen(self, triggers: DataFrame):
+        """Takes up live triggers from any streaming source of rows with the columns of TRIGGER."""
+
+        def take(batch: DataFrame, _: int) -> None:
+            for r in batch.select(*TRIGGER.names).toLocalIterator():
+                with self.lock:
+                    self.submit(r.asDict(recursive=True))
+
+        return triggers.writeStream.foreachBatch(take).option("checkpointLocation", os.path.join(self.work, "listen")).start()
+
     def _take(self, batch: DataFrame) -> None:
         """Decodes the triggers that a batch holds; what can't be decoded is passed over."""
         channels = self._table("channel")
@@ -164,6 +177,10 @@ class Live:
             done = []
             if ready := self.ready(now):
                 done = self.cut(ready)
+                with open(os.path.join(self.params.out_dir, "completions.jsonl"), "a") as f:
+                    f.writelines(json.dumps(d) + "\n" for d in done)
+                    f.flush()
+                    os.fsync(f.fileno())
                 gone = {p["trigger_id"] for p in ready}
                 self.state.pending = [p for p in self.state.pending if p["trigger_id"] not in gone]
                 self._save()
@@ -217,6 +234,11 @@ class Live:
                 folder = os.path.join(self.work, table)
                 for batch in os.listdir(folder):
                     shutil.rmtree(os.path.join(folder, batch, f"recording_id={r}"), ignore_errors=True)
+            path = self.state.paths.pop(str(r), None)
+            if self.params.delete_pruned and path and os.path.exists(path):
+                os.unlink(path)
+        if gone:
+            self._save()
         return gone
 
     def run(self, seconds: float, on_done=print) -> None:

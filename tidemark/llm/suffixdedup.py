@@ -268,7 +268,8 @@ def repeats(docs: DataFrame, *, text: str = "text", length: int = LENGTH, keep_t
         yield from flush()
 
     sent = live_units.mapInArrow(send, "part long, uid long, names binary, twice binary")
-    ranked = sent.repartition("part").sortWithinPartitions("part").mapInArrow(rank, "uid long, part long, n long, flags binary")
+    # eight ranges to a task, so tasks grow in number and not in size
+    ranked = sent.repartition(max(1, (1 << bits) >> 3), "part").sortWithinPartitions("part").mapInArrow(rank, "uid long, part long, n long, flags binary")
     answers = ranked.groupBy("uid").agg(F.collect_list(F.struct("part", "n", "flags")).alias("answers"))
 
     def apply(batches):

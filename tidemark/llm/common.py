@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,9 +24,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a temporary one in local mode."""
     if found := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
         return found
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
     if not (own := getattr(spark, "_tidemark_dir", None)):
         own = spark._tidemark_dir = tempfile.mkdtemp(prefix="tidemark-")
     return own

@@ -25,7 +25,7 @@ from .common import column
 LEAF = 32
 SECTION = 8
 #: Most ranges of document ids that texts are dealt to, so most bounds that reach the driver.
-RANGES = 4096
+RANGES = 1 << 16
 
 
 def _hash(x, digits: int = 8):

@@ -155,6 +155,15 @@ SELECT recording_id, CAST(channel_id AS BIGINT) AS channel_id, topic, CASE WHEN
     "unknown_channel_skips": BASE + "SELECT trigger_id, count_if(topic <> 'view') AS copied, count_if(topic = 'view') AS skipped FROM cl GROUP BY 1",
     "message_sequence": BASE + 'SELECT "offset", (row_number() OVER (PARTITION BY recording_id ORDER BY "offset") - 1) % 4294967296 AS sequence FROM m',
     "union_of_recordings": BASE + "SELECT trigger_id, count(*) AS messages, count(DISTINCT recording_id) AS recordings FROM cl GROUP BY 1",
+    "admission_fold": BASE + """
+, o AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY log_ns, trigger_id) AS k, trigger_id % 10 <> 0 AS valid FROM wl),
+af AS (
+  SELECT recording_id, k, trigger_id, valid AS admitted, CASE WHEN valid THEN [end_ns] ELSE [] END AS active FROM o WHERE k = 1
+  UNION ALL
+  SELECT o.recording_id, o.k, o.trigger_id, o.valid AND len(list_filter(a.active, lambda x: x > o.log_ns)) < 2,
+    CASE WHEN o.valid AND len(list_filter(a.active, lambda x: x > o.log_ns)) < 2 THEN list_append(list_filter(a.active, lambda x: x > o.log_ns), o.end_ns) ELSE list_filter(a.active, lambda x: x > o.log_ns) END
+  FROM af a JOIN o ON o.recording_id = a.recording_id AND o.k = a.k + 1)
+SELECT trigger_id, admitted FROM af""",
     "two_clock_windows": f"""WITH s AS (SELECT epoch_us(l_shipdate) * 1000 AS log_ns, epoch_us(o_orderdate) * 1000 AS publish_ns FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 w AS (SELECT o_orderkey AS trigger_id, epoch_us(o_orderdate) * 1000 AS placed FROM orders WHERE o_totalprice > 400000)
 SELECT trigger_id, count(*) AS messages, min(log_ns) AS first_log_ns, max(log_ns) AS last_log_ns FROM w JOIN s ON publish_ns BETWEEN placed - {DAY} AND placed + {DAY} GROUP BY 1""",

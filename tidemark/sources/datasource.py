@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tidemark import on_workers
 from tidemark.model import CODECS, MESSAGES
 from tidemark.sources import files, mcap
 
@@ -233,7 +234,7 @@ class _Clips(DataSourceArrowWriter):
         staging = os.path.join(self.folder, STAGING)
         os.makedirs(staging, exist_ok=True)
         clips: list[dict] = []
-        key, writer, out = None, None, None
+        key, writer, out, clip, known = None, None, None, {}, {}
 
         def close() -> None:
             if writer:
@@ -244,20 +245,25 @@ class _Clips(DataSourceArrowWriter):
 
         try:
             for batch in iterator:
-                for r in batch.to_pylist():
-                    if (now := (r["trigger_id"], r["segment_no"])) != key:
+                c = {name: batch.column(k).to_pylist() for k, name in enumerate(batch.schema.names)}
+                for trigger, segment, name, topic, encoding, metadata, schema, sequence, log_ns, publish_ns, payload in zip(*(c[f.name] for f in CLIP), strict=True):
+                    if (trigger, segment) != key:
                         close()
-                        key = now
-                        clips.append({"trigger_id": now[0], "segment_no": now[1], "name": r["filename"], "staged": os.path.join(staging, uuid.uuid4().hex), "messages": 0, "bytes": 0})
-                        out = open(clips[-1]["staged"], "xb")  # noqa: SIM115
+                        key, known = (trigger, segment), {}
+                        clips.append({"trigger_id": trigger, "segment_no": segment, "name": name, "staged": os.path.join(staging, uuid.uuid4().hex), "messages": 0, "bytes": 0})
+                        clip = clips[-1]
+                        out = open(clip["staged"], "xb")  # noqa: SIM115
                         writer = mcap.Writer(out, self.codec, self.chunk)
-                    if r["topic"] is None:
+                    if topic is None:
                         continue
-                    schema = r["schema"] and (r["schema"]["name"], r["schema"]["encoding"], r["schema"]["data"] or b"")
-                    channel = writer.channel(r["topic"], r["message_encoding"] or "", dict(r["metadata"] or []), schema)
-                    writer.add(channel, r["sequence"] or 0, r["log_ns"], r["publish_ns"], r["payload"] or b"")
-                    clips[-1]["messages"] += 1
-                    clips[-1]["bytes"] += len(r["payload"] or b"")
+                    if metadata or schema:
+                        channel = writer.channel(topic, encoding or "", dict(metadata or []), schema and (schema["name"], schema["encoding"], schema["data"] or b""))
+                    elif (channel := known.get((topic, encoding))) is None:
+                        channel = known[topic, encoding] = writer.channel(topic, encoding or "")
+                    payload = payload or b""
+                    writer.add(channel, sequence or 0, log_ns, publish_ns, payload)
+                    clip["messages"] += 1
+                    clip["bytes"] += len(payload)
             close()
         except BaseException:
             for c in clips:
@@ -301,6 +307,7 @@ class McapSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    on_workers(spark)
     spark.dataSource.register(McapSource)
 
 

@@ -18,6 +18,7 @@ MAGIC = b"\x89MCAP0\r\n"
 HEADER, FOOTER, SCHEMA, CHANNEL, MESSAGE, CHUNK, MESSAGE_INDEX, CHUNK_INDEX = range(1, 9)
 STATISTICS, DATA_END = 0x0B, 0x0F
 READ = 4 << 20
+_MESSAGE = struct.Struct("<BQHIQQ")
 
 
 class Fault(Exception):
@@ -247,7 +248,8 @@ class Writer:
         self.summary: list[bytes] = []
         self.indexes: list[bytes] = []
         self.counts: dict[int, int] = {}
-        self.held, self.times = bytearray(), []
+        self.held: list[bytes] = []
+        self.size, self.times = 0, []
         self.first: int | None = None
         self.last = 0
         self._put(MAGIC + record(HEADER, _text("") + _text(library)))
@@ -257,7 +259,8 @@ class Writer:
         self.place += len(data)
 
     def _define(self, data: bytes) -> None:
-        self.held += data
+        self.held.append(data)
+        self.size += len(data)
         self.summary.append(data)
 
     def channel(self, topic: str, encoding: str, metadata: dict[str, str] | None = None, schema: tuple[str, str, bytes] | None = None) -> int:
@@ -275,22 +278,28 @@ class Writer:
         return self.channels[key]
 
     def add(self, channel: int, sequence: int, log: int, publish: int, payload: bytes) -> None:
-        self.held += message_record(channel, sequence, log, publish, payload)
+        self.held.append(_MESSAGE.pack(MESSAGE, MESSAGE_HEADER + len(payload), channel, sequence & 0xFFFFFFFF, log, publish))
+        self.held.append(payload)
+        self.size += RECORD_HEADER + MESSAGE_HEADER + len(payload)
         self.times.append(log)
         self.counts[channel] = self.counts.get(channel, 0) + 1
         self.first = log if self.first is None else min(self.first, log)
         self.last = max(self.last, log)
-        if len(self.held) >= self.chunk_bytes:
+        if self.size >= self.chunk_bytes:
             self.flush()
 
     def flush(self) -> None:
+        """Writes what is held as a chunk; its records are joined once and not copied again."""
         if self.held:
             start, end = (min(self.times), max(self.times)) if self.times else (0, 0)
-            data = chunk_record(bytes(self.held), start, end, self.codec)
-            stored = len(data) - RECORD_HEADER - 28 - 4 - len(self.codec) - 8
-            self.indexes.append(record(CHUNK_INDEX, struct.pack("<QQQQ", start, end, self.place, len(data)) + struct.pack("<I", 0) + struct.pack("<Q", 0) + _text(self.codec) + struct.pack("<QQ", stored, len(self.held))))
-            self._put(data)
-            self.held, self.times = bytearray(), []
+            records = b"".join(self.held)
+            stored = pa.compress(records, codec=self.codec, asbytes=True) if self.codec else records
+            head = struct.pack("<QQQI", start, end, len(records), zlib.crc32(records)) + _text(self.codec) + struct.pack("<Q", len(stored))
+            length = len(head) + len(stored)
+            self.indexes.append(record(CHUNK_INDEX, struct.pack("<QQQQ", start, end, self.place, RECORD_HEADER + length) + struct.pack("<I", 0) + struct.pack("<Q", 0) + _text(self.codec) + struct.pack("<QQ", len(stored), len(records))))
+            self._put(struct.pack("<BQ", CHUNK, length) + head)
+            self._put(stored)
+            self.held, self.size, self.times = [], 0, []
 
     def close(self) -> None:
         self.flush()

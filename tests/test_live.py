@@ -32,7 +32,7 @@ def test_clips_are_written_once_and_never_over_others(spark, tmp_path):
     out = str(tmp_path / "out")
     first, second = datasource.write_clips(df, out), datasource.write_clips(df, out, "lz4")
     assert [os.path.basename(c["path"]) for c in first + second] == ["a.mcap", "e.mcap", "a_1.mcap", "e_1.mcap"]
-    assert [c["messages"] for c in first] == [3, 0] and os.listdir(os.path.join(out, ".capturing")) == []
+    assert [c["messages"] for c in first] == [3, 0] and os.listdir(os.path.join(out, ".staging")) == []
     assert [t for t, _ in clip(spark, first[0]["path"])] == [5, 10, 20] and clip(spark, first[1]["path"]) == []
     assert [c["topic"] for c in datasource.read(spark, first[0]["path"], "channels").collect()] == ["/t"]
 

@@ -35,7 +35,7 @@ class Params:
     """What a run can be told; each field can come from TIDEMARK_<FIELD> too."""
 
     record_dir: str = "./record"
-    out_dir: str = "./clipped"
+    out_dir: str = "./clips"
     grace_ns: int = 30 * SECOND
     compression: str = "zstd"
     trigger_source: str = "live"

@@ -188,7 +188,7 @@ CLIP = T.StructType([
     T.StructField("metadata", T.MapType(_TEXT, _TEXT)), T.StructField("schema", T.StructType([T.StructField("name", _TEXT), T.StructField("encoding", _TEXT), T.StructField("data", _BYTES)])),
     T.StructField("sequence", _LONG), T.StructField("log_ns", _LONG), T.StructField("publish_ns", _LONG), T.StructField("payload", _BYTES),
 ])
-STAGING = ".capturing"
+STAGING = ".staging"
 MOST_SUFFIXES = 1000
 
 

@@ -216,6 +216,14 @@ def test_op5_packs_every_token_once(spark, sf, docs):
     assert lengths.max() <= 1024 and padding(lengths) < 0.005 * lengths.sum()
 
 
+def test_op5_packs_alike_with_either_library(spark, docs):
+    import public_tokenizers
+
+    d = spark.createDataFrame(docs.head(30))
+    ours, theirs = (packing.pack(d, vocabulary=public_tokenizers.path(f"byte_bpe_50k.{x}"), columns=("doc_id",)).toPandas().astype(str) for x in ("tiktoken", "json"))
+    assert ours.equals(theirs)
+
+
 def test_op5_tokenizes_long_texts_in_blocks(monkeypatch, docs):
     encoding, _ = packing._encoding(packing.tokenizer_path())
     text = " ".join(docs.text[:40]) + " <|endoftext|>" + "x" * 500

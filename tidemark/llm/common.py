@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tidemark import on_workers
+
 #: Bytes of one Arrow batch sent to a Python worker, so that long texts can't pile up by row count.
 BATCH_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds Arrow batches by bytes, where the session doesn't do so more tightly itself."""
+    """Bounds Arrow batches by bytes, where the session doesn't do so more tightly itself, and lets workers import us."""
+    on_workers(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key, str(2**31 - 1)).rstrip("bB")) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))

@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import base64
 import zlib
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -59,7 +60,21 @@ _SAFE = regex.compile(r"(?<=\p{L})(?= \p{L})")
 
 @lru_cache(2)
 def _encoding(path: str):
+    """A function from a text to its ids, and for each id whether its token ends a sentence.
+
+    path: a .tiktoken file of ranks, or a .json file of the tokenizers library.
+    """
     import public_tokenizers
+
+    if path.endswith(".json"):
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(path)
+        made.encode_special_tokens = True
+        ends = np.zeros(made.get_vocab_size(), bool)
+        for token, k in made.get_vocab().items():
+            ends[k] = token[-1:] in (".", "!", "?", "\u010a")  # the last stands for a line break in byte-level vocabularies
+        return lambda text: made.encode(text, add_special_tokens=False).ids, ends
     import tiktoken
 
     with open(path, "rb") as f:
@@ -67,7 +82,7 @@ def _encoding(path: str):
     ends = np.zeros(max(ranks.values()) + 2, bool)
     for token, k in ranks.items():
         ends[k] = token[-1:] in b".!?\n"
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), ends
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, ends
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -76,15 +91,15 @@ def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
-def encode(encoding, text: str) -> np.ndarray:
+def encode(ids_of: Callable[[str], list[int]], text: str) -> np.ndarray:
     """The ids of a text; long texts in blocks."""
     if len(text) <= BLOCK:
-        return np.array(encoding.encode_ordinary(text), np.uint32)
+        return np.array(ids_of(text), np.uint32)
     parts, at = [], 0
     while at < len(text):
         m = _SAFE.search(text, at + BLOCK) if at + BLOCK < len(text) else None
         end = m.start() if m else len(text)
-        parts.append(np.array(encoding.encode_ordinary(text[at:end]), np.uint32))
+        parts.append(np.array(ids_of(text[at:end]), np.uint32))
         at = end
     return np.concatenate(parts)
 
@@ -149,7 +164,7 @@ def penalties(ids: np.ndarray, ends: np.ndarray, separator_at: np.ndarray) -> np
 def pack(docs: DataFrame, *, text: str = "text", length: int = LENGTH, vocabulary: str | None = None, columns: tuple[str, ...] = (), keep_ids: bool = False) -> DataFrame:
     """A row per piece: `row` with the document's columns, start, length, ids_crc32, doc_tokens, sequence_id and offset.
 
-    keep_ids adds the piece's `ids`. vocabulary: the path of the tokenizer's ranks on every node.
+    keep_ids adds the piece's `ids`. vocabulary: the tokenizer's file (.tiktoken or .json), at one path on every node.
     """
     prepare(docs.sparkSession)
     path = vocabulary or tokenizer_path()
@@ -158,7 +173,7 @@ def pack(docs: DataFrame, *, text: str = "text", length: int = LENGTH, vocabular
     schema = T.StructType([row, *PIECES, *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if keep_ids else [])])
 
     def run(batches):
-        encoding, ends = _encoding(path)
+        ids_of, ends = _encoding(path)
         lane, sequence = TaskContext.get().partitionId() << 40, 0
         held, size = [], 0  # (row, ids, first, whole): ids of a document from its token `first` on
 
@@ -186,7 +201,7 @@ def pack(docs: DataFrame, *, text: str = "text", length: int = LENGTH, vocabular
 
         for batch in batches:
             for r, t in zip(batch.column("row").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                ids = np.append(encode(encoding, t or ""), np.uint32(SEPARATOR))
+                ids = np.append(encode(ids_of, t or ""), np.uint32(SEPARATOR))
                 for a in range(0, len(ids), RUN):
                     held.append((r, ids[a : a + RUN], a, len(ids)))
                     size += len(ids[a : a + RUN])

@@ -4,6 +4,7 @@ import os
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.model import LONG_MAX, SECOND, Params
 from tidemark.sources import datasource, mcap
@@ -76,6 +77,28 @@ def test_only_planned_extents_are_read(spark, tmp_path):
         datasource.read(spark, str(tmp_path), ranges=bad).collect()
 
 
+def test_damaged_chunks_are_counted_and_the_rest_is_copied(spark, tmp_path):
+    from tidemark.operators import index, windows
+
+    out = io.BytesIO()
+    w = mcap.Writer(out, "", 1)
+    c = w.channel("/t", "json")
+    for t in (10, 20, 30, 40):
+        w.add(c, 0, t, t, b"payload")
+    w.close()
+    raw = bytearray(out.getvalue())
+    raw[raw.rindex(b"payload")] ^= 1  # in the last chunk, whose crc no longer holds
+    (tmp_path / "a.mcap").write_bytes(raw)
+    records = datasource.read(spark, str(tmp_path), "records")
+    # the index was made while the chunk was whole
+    e = index.extents(records.withColumns({f"{clock}_{end}": F.coalesce(f"{clock}_{end}", F.when(F.col("damaged"), 40)) for clock in ("log", "publish") for end in ("min", "max")}), limit=1)
+    spans = spark.createDataFrame([(0, 5, 40), (1, 5, 30)], "trigger_id long, start_ns long, end_ns long")
+    channels = datasource.read(spark, str(tmp_path), "channels")
+    found = index.with_topics(windows.matches(spans, datasource.read(spark, str(tmp_path))), channels)
+    stats = index.clip_stats(spans, found, index.planned(spans, e), records.filter("damaged")).orderBy("trigger_id").collect()
+    assert [(r["messages_copied"], r["chunks_dropped"], r["extents_read"], r["records_skipped"]) for r in stats] == [(3, 1, 4, 0), (3, 0, 3, 0)]
+
+
 def test_triggers_come_from_any_stream(spark, tmp_path):
     from tidemark.sources import producers
 

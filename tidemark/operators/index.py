@@ -68,6 +68,26 @@ def planned(windows: DataFrame, extent_index: DataFrame, *, clock: str = "log")
     return overlapping(windows, ranges, ["recording_id", "extent_no", "offset", "len"])
 
 
+def clip_stats(windows: DataFrame, found: DataFrame, plan: DataFrame, damaged: DataFrame | None = None) -> DataFrame:
+    """A row per window: extents_read, messages_copied, bytes_copied, records_skipped and chunks_dropped.
+
+    found: the windows' messages with their topics (null where the channel is unknown: those are skipped); plan: the
+    planned extents; damaged: (recording_id, offset) of chunks that can't be read, which drop out of every clip whose
+    plan holds them.
+    """
+    known = F.col("topic").isNotNull()
+    copied = found.groupBy("trigger_id").agg(F.count_if(known).alias("messages_copied"), F.sum(F.when(known, F.col("size")).otherwise(0)).alias("bytes_copied"), F.count_if(~known).alias("records_skipped"))
+    read = plan.groupBy("trigger_id").agg(F.count("*").alias("extents_read"))
+    out = windows.select("trigger_id").join(read, "trigger_id", "left").join(copied, "trigger_id", "left")
+    if damaged is None:
+        out = out.withColumn("chunks_dropped", F.lit(0).cast("long"))
+    else:
+        bad = damaged.select("recording_id", F.col("offset").alias("at"))
+        inside = plan.join(bad, "recording_id").filter((F.col("at") >= F.col("offset")) & (F.col("at") < F.col("offset") + F.col("len")))
+        out = out.join(inside.groupBy("trigger_id").agg(F.count("*").alias("chunks_dropped")), "trigger_id", "left")
+    return out.na.fill(0)
+
+
 def bounds(messages: DataFrame) -> DataFrame:
     """Counts and both clocks' bounds of each recording that has messages."""
     return messages.groupBy("recording_id").agg(F.count("*").alias("messages"), F.min("log_ns").alias("log_min"), F.max("log_ns").alias("log_max"), F.min("publish_ns").alias("publish_min"), F.max("publish_ns").alias("publish_max"))

@@ -153,6 +153,9 @@ SELECT event_id, ok, CASE WHEN ok THEN body ->> '$.name' END AS name, CASE WHEN
 SELECT recording_id, CAST(channel_id AS BIGINT) AS channel_id, topic, CASE WHEN channel_id % 3 <> 0 THEN 'schema_' || channel_id % 3 END AS schema_name FROM c""",
     "trigger_tap": BASE + """SELECT "offset", 'json' AS message_encoding, log_ns, publish_ns, payload FROM m WHERE topic = 'error'""",
     "unknown_channel_skips": BASE + "SELECT trigger_id, count_if(topic <> 'view') AS copied, count_if(topic = 'view') AS skipped FROM cl GROUP BY 1",
+    "clip_stats": BASE + RECORDS + """, e AS (SELECT trigger_id, count(*) AS n FROM wl w JOIN x ON x.log_max >= w.start_ns AND x.log_min <= w.end_ns GROUP BY 1),
+g AS (SELECT trigger_id, count_if(topic <> 'view') AS copied, CAST(coalesce(sum(size) FILTER (topic <> 'view'), 0) AS BIGINT) AS bytes, count_if(topic = 'view') AS skipped FROM cl GROUP BY 1)
+SELECT w.trigger_id, coalesce(n, 0) AS extents_read, coalesce(copied, 0) AS messages_copied, coalesce(bytes, 0) AS bytes_copied, coalesce(skipped, 0) AS records_skipped, CAST(0 AS BIGINT) AS chunks_dropped FROM wl w LEFT JOIN e USING (trigger_id) LEFT JOIN g USING (trigger_id)""",
     "message_sequence": BASE + 'SELECT "offset", (row_number() OVER (PARTITION BY recording_id ORDER BY "offset") - 1) % 4294967296 AS sequence FROM m',
     "union_of_recordings": BASE + "SELECT trigger_id, count(*) AS messages, count(DISTINCT recording_id) AS recordings FROM cl GROUP BY 1",
     "admission_fold": BASE + """

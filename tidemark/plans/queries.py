@@ -340,6 +340,12 @@ def unknown_channel_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("trigger_id").agg(F.count("topic").alias("copied"), F.count_if(F.col("topic").isNull()).alias("skipped"))
 
 
+def clip_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, c = _channels(spark, sf_dir)
+    w = windows.with_windows(adapters.triggers(spark, sf_dir))
+    return index.clip_stats(w, index.with_topics(windows.matches(w, m), c), index.planned(w, _extents(spark, sf_dir)))
+
+
 def message_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The producer's sequence numbers: over all channels of a recording, wrapping at 2^32."""
     number = F.row_number().over(Window.partitionBy("recording_id").orderBy("offset")).cast("long") - 1
@@ -402,6 +408,6 @@ QUERIES = {
         boundary_inclusive, extent_index, extent_tiling_check, planned_extents, pruned_equals_full, recording_bounds, skew_bounds, high_water, high_water_log, high_water_publish,
         coverage_release, coverage_release_publish, late_loss, cut_status, current_recording, retention_prune, retained_plan, newest_recording, oldest_recording, discovery_order,
         seen_anti_join, anchor_matrix, trigger_validate, name_validate, name_sanitize, name_collision, stamp_ns, sat_arith, backoff_schedule, little_endian, producer_stamps,
-        trigger_json_decode, channel_schemas, trigger_tap, unknown_channel_skips, message_sequence, union_of_recordings, admission_fold, two_clock_windows, mcap_roundtrip, producer_ticks, producer_envelopes,
+        trigger_json_decode, channel_schemas, trigger_tap, unknown_channel_skips, clip_stats, message_sequence, union_of_recordings, admission_fold, two_clock_windows, mcap_roundtrip, producer_ticks, producer_envelopes,
     )
 }

@@ -369,12 +369,11 @@ def admission_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def two_clock_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per large order, the shipments (log) whose order (publish) was placed within a day of it, on the publish clock."""
-    s = adapters.shipments(spark, sf_dir).withColumn("size", F.lit(1))
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_totalprice > 400000")
-    t = orders.select(F.col("o_orderkey").alias("trigger_id"), adapters.nanos("o_orderdate").alias("publish_ns"), F.lit(DAY).alias("preroll_ns"), F.lit(DAY).alias("postroll_ns"))
-    w = windows.with_windows(t, clock=PUBLISH)
-    found = windows.matches(w, s, clock=PUBLISH, width=2 * DAY)
+    """Per order, the shipments (log) whose orders (publish) were placed at the same time, on the publish clock."""
+    s = adapters.shipments(spark, sf_dir)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    t = orders.select(F.col("o_orderkey").alias("trigger_id"), adapters.nanos("o_orderdate").alias("publish_ns"), F.lit(0).alias("preroll_ns"), F.lit(0).alias("postroll_ns"))
+    found = windows.matches(windows.with_windows(t, clock=PUBLISH), s, clock=PUBLISH, width=DAY)
     return found.groupBy("trigger_id").agg(F.count("*").alias("messages"), F.min("log_ns").alias("first_log_ns"), F.max("log_ns").alias("last_log_ns"))
 
 

@@ -33,7 +33,7 @@ def stamp_ns(sec, nanosec) -> Column:
 
 
 def ns_to_stamp(ns) -> Column:
-    return F.struct(((_c(ns) - _c(ns) % SECOND) / SECOND).cast("int").alias("sec"), (_c(ns) % SECOND).alias("nanosec"))
+    return F.struct(F.call_function("div", _c(ns), F.lit(SECOND)).cast("int").alias("sec"), (_c(ns) % SECOND).alias("nanosec"))
 
 
 def now_ns() -> Column:

@@ -110,7 +110,7 @@ def running_high(messages: DataFrame, value: Column, *, chunk: int = CHUNK) -> D
     A scan in three steps, as one ordered window over everything would be one task: the maximum of each chunk of
     arrivals, the running maximum over chunks (a row for `chunk` messages), and that within each chunk.
     """
-    part = ((F.col("offset") - F.pmod("offset", F.lit(chunk))) / chunk).cast("long")
+    part = F.call_function("div", F.col("offset"), F.lit(chunk))
     rows = messages.withColumn("part", part).withColumn("value", value)
     chunks = rows.groupBy("recording_id", "part").agg(F.max("value").alias("most"))
     before = chunks.select("recording_id", "part", F.max("most").over(Window.orderBy("recording_id", "part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))

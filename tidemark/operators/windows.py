@@ -24,7 +24,7 @@ def with_windows(triggers: DataFrame, *, clock: str = LOG, anchor: Column | None
 
 
 def bin_of(ns: Column, width: int = BIN_NS) -> Column:
-    return ((ns - F.pmod(ns, F.lit(width))) / width).cast("long")
+    return F.call_function("div", ns, F.lit(width))
 
 
 def bins(start: Column, end: Column, width: int = BIN_NS) -> Column:

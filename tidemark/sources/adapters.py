@@ -27,7 +27,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = nanos("ts")
     return events(spark, sf_dir).select(
-        ((log - F.pmod(log, F.lit(DAY))) / DAY).cast("long").alias("recording_id"), F.col("event_id").alias("offset"), F.col("event_type").alias("topic"), log.alias("log_ns"),
+        F.call_function("div", log, F.lit(DAY)).alias("recording_id"), F.col("event_id").alias("offset"), F.col("event_type").alias("topic"), log.alias("log_ns"),
         (log - ((F.col("event_id") * 37) % 101 - 50) * MINUTE).alias("publish_ns"), F.octet_length("props").cast("long").alias("size"), F.col("props").alias("payload"),
     )
 
@@ -37,7 +37,7 @@ def triggers(spark: SparkSession, sf_dir: str, topic: str = "error") -> DataFram
     return events(spark, sf_dir).filter(F.col("event_type") == topic).select(
         F.col("event_id").alias("trigger_id"), F.concat(F.lit("evt "), (F.col("user_id") % 7).cast("string")).alias("name"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("description"),
         log.alias("log_ns"), (log - ((F.col("event_id") * 37) % 101 - 50) * MINUTE).alias("publish_ns"), ((F.col("user_id") % 10 + 1) * MINUTE).alias("preroll_ns"), ((F.col("user_id") % 5 + 1) * MINUTE).alias("postroll_ns"),
-        ((log - F.pmod(log, F.lit(DAY))) / DAY).cast("long").alias("recording_id"),
+        F.call_function("div", log, F.lit(DAY)).alias("recording_id"),
     )
 
 

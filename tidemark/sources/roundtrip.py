@@ -30,7 +30,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = datasource.read(spark, folder)
     topics = datasource.read(spark, folder, "channels").select("recording_id", "channel_id", "topic")
     named = found.join(topics, ["recording_id", "channel_id"])
-    day = ((F.col("log_ns") - F.pmod("log_ns", F.lit(adapters.DAY))) / adapters.DAY).cast("long")
+    day = F.call_function("div", F.col("log_ns"), F.lit(adapters.DAY))
     return named.groupBy(day.alias("recording_id")).agg(
         F.count("*").alias("messages"), F.sum("size").alias("bytes"), F.min("log_ns").alias("log_min"), F.max("log_ns").alias("log_max"), F.min("publish_ns").alias("publish_min"), F.max("publish_ns").alias("publish_max"), F.countDistinct("topic").alias("topics")
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,8 @@ def as_clips(messages: DataFrame) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as recordings, one for each day, and read back: counts and bounds per day."""
-    shared = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "").removeprefix("file://") or None
+    where = urlparse(spark.sparkContext.getConf().get("spark.checkpoint.dir") or "")
+    shared = where.path if where.path and where.scheme in ("", "file") else None
     if shared:
         os.makedirs(shared, exist_ok=True)
     folder = tempfile.mkdtemp(prefix="mcap-", dir=shared)

@@ -232,6 +232,21 @@ def test_op5_tokenizes_long_texts_in_blocks(monkeypatch, docs):
     assert (packing.encode(encoding, text) == whole).all()
 
 
+def test_op5_reads_the_added_token(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    theirs = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "a <|endoftext|> b"
+    assert packing._encoding(packing.tokenizer_path())[0](text) == [64, 220, 50256, 275]
+    monkeypatch.setattr(packing, "BLOCK", 7)
+    for name in ("tiktoken", "json"):
+        encoding, ends = packing._encoding(packing.tokenizer_path(f"byte_bpe_50k.{name}"))
+        assert len(ends) == 50257
+        for t in (text, "<|endoftext|><|endoftext|>", "x.  <|endoftext|>\n y <|endoftext", "one two<|endoftext|>three four <|endoftext|> five"):
+            assert packing.encode(encoding, t).tolist() == theirs.encode(t, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_op5_cuts_cost_least(seed):
     rng = random.Random(seed)

@@ -15,8 +15,8 @@ What is left at the end of a stream, less than a sequence, is cut at powers of t
 A partition is taken in runs of at most RUN tokens (a run ends with the document that reaches it, or inside a longer
 one), so memory doesn't grow with a partition.
 
-Ids are those of the `tokenizers` file byte_bpe_50k.json with special tokens' strings taken as ordinary text. They are
-computed with tiktoken from byte_bpe_50k.tiktoken, the same vocabulary and merges, at several times the speed.
+Ids are those of the `tokenizers` file byte_bpe_50k.json without added special tokens; the added token's own string in
+a text is that token. They are computed with tiktoken from byte_bpe_50k.tiktoken, the same vocabulary and merges, at several times the speed.
 
 Defined results: a null or empty text is its separator alone, one piece. Repeated rows are packed once each; ties need
 no order, as rows stay in the order of the input. An empty table has no pieces. Very long texts are tokenized in blocks
@@ -47,6 +47,8 @@ SENTENCE = 2
 WORD = 8
 EACH = 1
 RUN = 1 << 20
+#: The vocabulary's added token, whose id follows the ranks. It holds no space, so blocks are never cut inside it.
+ADDED = "<|endoftext|>"
 #: Characters that are tokenized at a time.
 BLOCK = 1 << 20
 
@@ -70,7 +72,6 @@ def _encoding(path: str):
         from tokenizers import Tokenizer
 
         made = Tokenizer.from_file(path)
-        made.encode_special_tokens = True
         ends = np.zeros(made.get_vocab_size(), bool)
         for token, k in made.get_vocab().items():
             ends[k] = token[-1:] in (".", "!", "?", "\u010a")  # the last stands for a line break in byte-level vocabularies
@@ -79,10 +80,12 @@ def _encoding(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    ends = np.zeros(max(ranks.values()) + 2, bool)
+    special = {ADDED: len(ranks)}
+    ends = np.zeros(len(ranks) + 1, bool)
     for token, k in ranks.items():
         ends[k] = token[-1:] in b".!?\n"
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, ends
+    made = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: made.encode(text, allowed_special=set(special), disallowed_special=()), ends
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:

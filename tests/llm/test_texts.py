@@ -410,6 +410,21 @@ def test_op10_finds_random_tokens_and_leaves_words(spark, docs):
     assert hit[found.doc_id % 2 == 1].mean() > 0.95 and hit[found.doc_id % 2 == 0].mean() < 0.03
 
 
+def test_op10_counts_a_copied_token_once(spark, docs):
+    rng = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    secrets_ = ["".join(rng.choice(letters) for _ in range(16)) for _ in range(20)]
+    once = [(k, f"{t} {s} end") for k, (t, s) in enumerate(zip(docs.text, secrets_, strict=False))]
+    # the copies hold no other candidate and hardly change the corpus's frequencies
+    copies = [(1000 + k, "Internationalisat") for k in range(5000)]
+    hits = []
+    for rows in (once, once + copies):
+        found = secrets.report(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+        hits.append(int(found[found.doc_id < 1000].spans.str.contains("random").sum()))
+        assert not found[found.doc_id >= 1000].spans.str.contains("random").any()
+    assert hits[0] >= 10 and hits[1] >= hits[0] - 2
+
+
 def test_op10_redacts(spark, edges):
     assert secrets.report(edges).toPandas().n_assign.sum() == 3 and secrets.report(empty(edges)).count() == 0
     d = spark.createDataFrame([(1, "a token=0123456789abcdef0123 b", 0, "s"), (2, None, None, "s")], "doc_id long, text string, n_chars long, spans string")

@@ -10,7 +10,8 @@ Passing is easy for short ordinary words, so each candidate also gets a p-value
 characters with the corpus's own frequencies repeat as little (the chi-squared statistic's coincidences, with their
 exact mean and variance), combined by Fisher's method with the chance of as many changes between letters and
 digits at the corpus's own rate. Both depend on the length. Benjamini-Hochberg at rate FDR within each length class decides which
-candidates are spans of kind random; the counts behind it are of a fixed number of bins over all documents.
+candidates are spans of kind random; a token is one test however often it occurs, and its verdict holds for all its
+occurrences. The counts behind it are of a fixed number of bins over all documents.
 
 One pass reads the texts; what follows works on spans and candidates.
 
@@ -245,8 +246,16 @@ def find(docs: DataFrame, *, text: str = "text", rate: float = FDR, columns: tup
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("base"), pa.array(found, type=kind)], names=["row", "base", "judged"])
 
     scored = table.select("row", "base", "candidates").mapInArrow(judge, schema)
-    only = table.filter("size(candidates) > 0").select("row", "base", "candidates").mapInArrow(judge, schema)
-    counts = only.select(F.explode("judged").alias("c")).groupBy("c.size", "c.bin").count().collect()  # a row for each length class and bin
+    # a row for each length class and bin; copies of a token are one test
+    token = T.StructType([T.StructField("size", T.IntegerType()), T.StructField("bin", T.IntegerType())])
+
+    def judge_tokens(batches):
+        for b in batches:
+            found = [judged(t, stats) for t in b.column("token").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], type=pa.int32()) for k in (0, 1)], names=token.names)
+
+    tokens = table.select(F.explode("candidates.token").alias("token")).distinct()
+    counts = tokens.mapInArrow(judge_tokens, token).groupBy("size", "bin").count().collect()
     least = limits([tuple(x) for x in counts], rate)
     keep = lambda c: F.coalesce(F.create_map(*[F.lit(x) for kv in least.items() for x in kv])[c["size"]] <= c["bin"], F.lit(False)) if least else F.lit(False)
     more = F.transform(F.filter("judged", keep), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))

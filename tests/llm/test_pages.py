@@ -98,6 +98,39 @@ def test_op7_keeps_an_articles_own_header():
     assert htmltext.extract(page) == "Title\n\nSome text, here. More of it."
 
 
+LONG = "A sentence of the main text, with commas, and then some more of it. And another, which ends here."
+
+
+def test_op7_reads_pages_without_an_article():
+    body = "".join(f"<p>{LONG} {k}</p>" for k in range(4))
+    side = "<div><ul><li>one</li><li>two</li><li>three</li></ul></div>"
+    for page in (f"<body>{side}<div class='content-sidebar-wrap'><h1>Title</h1>{body}</div><div><a href=x>more</a> <a href=y>links</a></div></body>",
+                 f"<body><div id=page class='has-sidebar'><section id='social-sciences'><h1>Title</h1>{body}</section></div><div class='site-footer'><p>{LONG}</p></div></body>",
+                 f"<form>{side}<table><tr><td><div><h1>Title</h1>{body}</div></td></tr></table></form><div class='commentList'><p>{LONG}</p><p>{LONG}</p></div>"):
+        assert htmltext.extract(page).split("\n\n") == ["Title", *(f"{LONG} {k}" for k in range(4))]
+
+
+def test_op7_decides_by_ratios(monkeypatch, pages):
+    before = [htmltext.extract(h) for h in pages.html]
+    true = htmltext.ratios
+    for other in (lambda p: dict.fromkeys(true(p), 1.0), lambda p: {k: 1 / (1 + x) for k, x in true(p).items()}):
+        monkeypatch.setattr(htmltext, "ratios", other)
+        assert sum(a != htmltext.extract(h) for a, h in zip(before, pages.html, strict=True)) > 0.9 * len(before)
+
+
+@pytest.mark.parametrize("page", ["<div>x", "<b>x", "<p>x</b>", "<ul><li>x", "<div class=ad>x", "<table><tr><td>x"])
+def test_op7_takes_time_in_proportion(page):
+    import time
+
+    def took(n):
+        start = time.perf_counter()
+        htmltext.extract(page * n)
+        return time.perf_counter() - start
+
+    took(1000)
+    assert took(40_000) < 12 * max(took(8000), 0.05)
+
+
 @pytest.mark.parametrize(("page", "text"), [("", ""), ("plain text", "plain text"), ("<p>x<td", "x"), ("<div>a</div><div>b.<scr", "a\n\nb."), ("a < b & c &lt; d", "a < b & c < d"), ("<p>x</p><!-- open", "x"), ("<p title='a>b'>x", "x"), ('<p title="open>x</p>', "x"), ("<script>alert(1)", ""), ("</p></div>x", "x")])
 def test_op7_odd_pages(page, text):
     assert htmltext.extract(page) == text

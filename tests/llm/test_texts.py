@@ -1,9 +1,12 @@
 """The operators on documents against brute force, over sf0.001, and on edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -398,16 +401,113 @@ def test_op10_base_equals_brute_force(spark, sf, docs):
         assert [s for s in r.spans.split(",") if not s.startswith("random")] == said.split(",")
 
 
-def test_op10_finds_random_tokens_and_leaves_words(spark, docs):
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+ORDINARY = ["CamelCaseIdentifier2Name", "mentementemente1", "section_12_paragraph_3", "2024-01-01_2024-12-31", "usr/lib/python3/dist-packages", "Erkeitschverkeit"]
+
+
+def planted(docs, lengths):
+    """Documents of which every second ends in a random token of one of the encodings, the others in an ordinary one."""
     rng = random.Random(3)
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    kinds = [LETTERS, "0123456789abcdefghijklmnopqrstuvwxyz", LETTERS + "+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"]
     rows = []
     for k, t in enumerate(docs.text):
-        token = "".join(rng.choice(letters) for _ in range(40)) if k % 2 else rng.choice(["CamelCaseIdentifier2Name", "mentementemente1", "section_12_paragraph_3", "2024-01-01_2024-12-31"])
+        token = "".join(rng.choice(kinds[k // 2 % 4]) for _ in range(lengths[k // 8 % len(lengths)])) if k % 2 else rng.choice(ORDINARY)
         rows.append((k, f"{t} {token} end"))
-    found = secrets.report(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    return rows
+
+
+def test_op10_finds_random_tokens_and_leaves_words(spark, docs):
+    found = secrets.report(spark.createDataFrame(planted(docs, [40]), "doc_id long, text string")).toPandas()
     hit = found.spans.str.contains("random")
     assert hit[found.doc_id % 2 == 1].mean() > 0.95 and hit[found.doc_id % 2 == 0].mean() < 0.03
+    # mixed lengths, in grouped form too
+    rows = planted(docs, [20, 24, 32, 48, 64]) + [(10**6 + k, f"it is {x[:8]}-{x[8:12]}-{x[12:16]}-{x[16:20]}-{x[20:]} here") for k, x in enumerate(f"{random.Random(k).getrandbits(128):032x}" for k in range(30))]
+    found = secrets.report(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    hit = found.spans.str.contains("random")
+    made = found.doc_id < 10**6
+    assert hit[made & (found.doc_id % 2 == 1)].mean() > 0.9 and hit[made & (found.doc_id % 2 == 0)].mean() < 0.03 and hit[~made].mean() > 0.9
+
+
+def test_op10_random_spans_equal_brute_force(spark, docs):
+    """The whole decision anew, character by character, over the characters, pairs and tokens of all documents."""
+    rows = planted(docs, [16, 20, 28, 40])
+    found = secrets.report(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")
+    alphabets = [a.decode() for a in secrets._ALPHABETS]
+    char, pair = Counter(), Counter()
+    for _, t in rows:
+        char.update(t)
+        pair.update(zip(t, t[1:], strict=False))
+    ascii_letters = set(LETTERS[:52])
+    group = lambda c: 1 if c in ascii_letters else 2 if c in "0123456789" else 0
+    adjacent = sum(n for (a, b), n in pair.items() if group(a) and group(b))
+    changed = sum(n for (a, b), n in pair.items() if group(a) and group(b) and group(a) != group(b))
+    phi = lambda z: NormalDist().cdf(z)
+
+    def verdict(token):
+        core = [c for c in token if c not in "-_="]
+        letters = next((a for a in alphabets if set(core) <= set(a)), alphabets[-1])
+        n, m = len(core), len(letters)
+        x = [letters.index(c) for c in core]
+        times = Counter(core)
+        mean_x = sum(x) / n
+        top = sum((x[i] - mean_x) * (x[i + 1] - mean_x) for i in range(n - 1))
+        below = sum((v - mean_x) ** 2 for v in x)
+        r = top / below if below else 1.0
+        steps = [(group(a), group(b)) for a, b in zip(core, core[1:], strict=False) if group(a) and group(b)]
+        changes = sum(a != b for a, b in steps)
+        apart = [(group(a), group(b)) for a, b in zip(token, token[1:], strict=False) if group(a) and group(b)]
+        runs = sum(a != b for a, b in apart)
+        # random symbols
+        chi = sum((times[c] - n / m) ** 2 / (n / m) for c in letters)
+        df = m - 1
+        p1 = 1 - phi((max(chi, 0) / df) ** (1 / 3) / math.sqrt(2 / (9 * df)) - (1 - 2 / (9 * df)) / math.sqrt(2 / (9 * df)))
+        n1, n2 = sum(group(c) == 1 for c in core), sum(group(c) == 2 for c in core)
+        mu = 1 + 2 * n1 * n2 / (n1 + n2)
+        p2 = min(1, 2 * phi(-abs(1 + changes - mu) / math.sqrt(max((mu - 1) * (mu - 2) / (n1 + n2 - 1), 1e-9)))) if n1 and n2 else 1.0
+        p3 = min(1, 2 * phi(-abs(r + 1 / n) * math.sqrt(n)))
+        size = secrets.size_class(len(token))
+        if 3 * min(p1, p2, p3) < secrets.BATTERY:
+            return size, -1
+        # ordinary text
+        total = sum(char[c] for c in letters)
+        s2, s3 = (sum((char[c] / total) ** e for c in letters) for e in (2, 3))
+        equal = sum(v * (v - 1) // 2 for v in times.values())
+        var = n * (n - 1) / 2 * (s2 - s2 * s2) + n * (n - 1) * (n - 2) * (s3 - s2 * s2)
+        o1 = phi((equal + 0.5 - n * (n - 1) / 2 * s2) / math.sqrt(var))
+        rate = min(max((changed + 1) / (adjacent + 2), 0.01), 0.5)
+        o2 = min(1, sum(math.comb(len(apart), i) * rate**i * (1 - rate) ** (len(apart) - i) for i in range(runs, len(apart) + 1)))
+        both = [(letters.index(a), letters.index(b), k) for (a, b), k in pair.items() if a in letters and b in letters]
+        c = sum(k for _, _, k in both)
+        ma, mb = sum(a * k for a, _, k in both) / c, sum(b * k for _, b, k in both) / c
+        rho = sum((a - ma) * (b - mb) * k for a, b, k in both) / math.sqrt(sum((a - ma) ** 2 * k for a, _, k in both) * sum((b - mb) ** 2 * k for _, b, k in both))
+        sd = (1 - rho * rho) / math.sqrt(n - 1)
+        o3 = phi((abs(r) - rho) / sd) - phi((-abs(r) - rho) / sd)
+        s = -math.log(o1 * o2 * max(o3, 1e-12))
+        return size, int(-math.log10(min(1, math.exp(-s) * (1 + s + s * s / 2))) / secrets.PER_BIN)
+
+    tokens = {}
+    for i, t in rows:
+        b = base(t)
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", t):
+            classes = {(c.islower(), c.isupper(), c.isdigit()) for c in m[0] if c.isalnum()}
+            if len(classes) > 1 and not any(s < m.end() and m.start() < e for s, _, e in b):
+                tokens.setdefault(m[0], []).append((i, m.start(), m.end()))
+    judged = {t: verdict(t) for t in tokens}
+    least = {}
+    for size in {s for s, _ in judged.values()}:
+        bins = sorted((b for s, b in judged.values() if s == size), reverse=True)
+        for rank, b in enumerate(bins, 1):
+            if b >= 0 and 10 ** (-b * secrets.PER_BIN) * len(bins) <= secrets.FDR * rank:
+                least[size] = b
+    theirs = {}
+    for t, places in tokens.items():
+        size, b = judged[t]
+        if b >= least.get(size, math.inf):
+            for i, start, end in places:
+                theirs.setdefault(i, []).append(f"random:{start}:{end}")
+    assert len(theirs) > 50
+    for i, _ in rows:
+        assert [x for x in found.spans[i].split(",") if x.startswith("random")] == sorted(theirs.get(i, []), key=lambda x: int(x.split(":")[1]))
 
 
 def test_op10_counts_a_copied_token_once(spark, docs):

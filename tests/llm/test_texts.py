@@ -162,7 +162,12 @@ def repeats(texts, n):
 def test_op3_equals_brute_force(spark, sf, docs):
     found = run("op3_suffix_dedup", spark, sf).set_index("doc_id")
     texts = [t.encode() for t in docs.text]
-    assert [tuple(found.loc[i]) for i in docs.doc_id] == repeats(texts, 400) and found.n_removed.sum() > 0
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert [tuple(found.loc[i, names]) for i in docs.doc_id] == repeats(texts, 400) and found.n_removed.sum() > 0
+    # a shared string of 301 bytes and more holds an anchor and 200 bytes around it
+    some, enough = ([n > 0 for _, n, _, _ in repeats(texts, size)] for size in (200, 301))
+    assert all(b <= f <= a for a, b, f in zip(some, enough, found.loc[docs.doc_id, "repeats"], strict=True))
+    assert (found.longest[found.n_removed > 0] == 400).all()
 
 
 @pytest.mark.parametrize("block", [64, 1 << 20])

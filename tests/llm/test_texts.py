@@ -363,10 +363,47 @@ def test_op8_edits_the_right_text(spark, sf, docs):
     assert found.near_edited.between(0, 1).all() and found.near_edited.median() > 0.65 and found.near_next.median() < 0.05
 
 
+def tree(text):
+    """The fingerprint by its definition: root, sections, paragraphs, leaves by paragraph."""
+    h = lambda x: f"{xxhash.xxh64_intdigest(x.encode(), 42):016x}"
+    paragraphs = re.findall(r"[^\n]*\n+|[^\n]+\Z", text) or [""]
+    leaf = re.compile(r"(?s).{0,31}?(?:[.!?]\s+|\n+|\Z)|.{1,31}\s|.{1,32}")
+    leaves = [[h(x) for x in leaf.findall(p) if x] or [h("")] for p in paragraphs]
+    ps = [h(" ".join(x)) for x in leaves]
+    ss = [h(",".join(ps[i : i + 8])) for i in range(0, len(ps), 8)]
+    return hashlib.md5(",".join(ss).encode()).hexdigest(), [x[:8] for x in ss], [x[:8] for x in ps], [[x[:8] for x in p] for p in leaves]
+
+
+def test_op8_equals_brute_force(spark, sf, docs):
+    found = run("op8_merkle", spark, sf).set_index("doc_id")
+    d = docs.sort_values("doc_id").reset_index(drop=True)
+    trees = [tree(t) for t in d.text]
+    text = lambda t: "|".join([t[0], ",".join(t[1]), ",".join(t[2]), ",".join(" ".join(p) for p in t[3])])
+
+    def likeness(a, b):
+        if a[0] == b[0]:
+            return 1.0
+        x, y = [v for p in a[3] for v in p], [v for p in b[3] for v in p]
+        front = next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+        back = next((k for k, (p, q) in enumerate(zip(x[::-1], y[::-1], strict=False)) if p != q), min(len(x), len(y)))
+        both = (front + min(back, min(len(x), len(y)) - front)) / max(len(x), len(y))
+        return max(both, len(set(x) & set(y)) / max(len(set(x)), len(set(y))))
+
+    for k, (i, t) in enumerate(zip(d.doc_id, d.text, strict=True)):
+        following = (k + 1) % len(d)
+        q = len(t) // 4
+        e = tree(t[: len(t) - q] + d.text[following][:q])
+        r = found.loc[i]
+        assert (r.fingerprint, r.edited_fingerprint) == (text(trees[k]), text(e))
+        assert abs(r.near_edited - likeness(trees[k], e)) < 1e-12 and abs(r.near_next - likeness(trees[k], trees[following])) < 1e-12
+        lost = [j for j, p in enumerate(trees[k][2]) if p not in e[2] and trees[k][1][j // 8] not in e[1]]
+        assert r.edits == ("" if trees[k][0] == e[0] else ",".join(map(str, lost)))
+
+
 def test_op8_ranges_and_ties(spark):
     rows = [(k // 2, f"text {k}. And more of it.") for k in range(50)]
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    for n in (3, 1000):
+    for n in (1, 3, 1000):
         found = merkle.pairs(d, rows=n).orderBy("id", "text").toPandas()
         order = sorted(rows)
         assert list(found.text) == [t for _, t in order] and list(found.next_text) == [t for _, t in order[1:] + order[:1]]

@@ -94,5 +94,5 @@ def test_records_parse_back(page_id, url, payload, revisit):
     except UnicodeEncodeError:
         return  # lone surrogates have no encoding
     found = warc.parse(data)
-    assert (found["page_id"], found["payload_bytes"], found["payload_digest"], found["payload"]) == (page_id or None, len(payload), warc.digest(payload), None if revisit else payload)
-    assert found["record_type"] == ("revisit" if revisit else "response") and found["refers_to"] == ((page_id or None) if revisit else None)
+    assert (found["page_id"], found["payload_bytes"], found["payload_digest"], found["payload"]) == (page_id, len(payload), warc.digest(payload), None if revisit else payload)
+    assert found["record_type"] == ("revisit" if revisit else "response") and found["refers_to"] == (page_id if revisit else None)

@@ -5,8 +5,9 @@ its own, so any record can be read alone. The dictionary is built from the archi
 them, which is also all that a writer holds; archives whose first records are too few to build one have no such frame.
 
 Of records with equal payloads the one with the largest page_id is a response and the others are revisits that refer to
-it. Payloads are grouped by SHA-1 with their largest page_id before anything is joined, and only digests that occur
-twice are joined back, so a payload that a third of all pages share is an ordinary skewed join that Spark splits.
+it. Payloads are grouped by SHA-1 with their largest page_id before anything is joined, only digests that occur twice are
+joined back, to digests and row numbers alone, and the payloads then meet their response by row number: one payload that
+a third of all pages share goes to no task of its own.
 
 Each task writes archives of its own names and reports them when they are complete; the table of these reports is the
 list of archives, so the leftovers of lost tasks are never read.
@@ -61,13 +62,15 @@ def digest(payload: bytes) -> str:
 
 
 def _urn(page_id: str | None, row: int | str) -> str:
-    return f"<urn:page:{'' if page_id is None else quote(page_id, safe='')}:{row}>"
+    """A dot stands before a page_id, even an empty one, and is missing where there is none."""
+    return f"<urn:page:{'' if page_id is None else '.' + quote(page_id, safe='')}:{row}>"
 
 
 def _page_of(urn: str) -> str | None:
     from urllib.parse import unquote
 
-    return unquote(urn.strip("<>").split(":")[2]) or None
+    name = urn.strip("<>").split(":")[2]
+    return unquote(name[1:]) if name else None
 
 
 def record(page_id: str | None, row: int, url: str | None, payload: bytes, first: tuple[str | None, int] | None) -> bytes:
@@ -173,7 +176,8 @@ def write(pages: DataFrame, folder: str, *, page_id: str = "page_id", url: str =
     table, table_path = cut(rows.withColumn("sha", F.sha1("payload")), "warc-pages")
     large = table.filter(F.octet_length("payload") >= least)
     firsts, firsts_path = cut(large.groupBy("sha").agg(F.max(F.struct("id", (-F.col("row")).alias("row"))).alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha", F.col("first.id").cast("string").alias("first_id"), (-F.col("first.row")).alias("first_row")), "warc-firsts")
-    joined = table.join(firsts, (table["sha"] == firsts["sha"]) & (F.octet_length(table["payload"]) >= least), "left").select("row", F.col("id").cast("string").alias("id"), "url", "payload", "first_id", "first_row")
+    again = large.select("row", "sha").join(firsts, "sha").select("row", "first_id", "first_row")
+    joined = table.join(again, "row", "left").select("row", F.col("id").cast("string").alias("id"), "url", "payload", "first_id", "first_row")
 
     def run(batches):
         writer, done = None, []

@@ -40,6 +40,9 @@ SEGMENTS = 32
 GROUPS = 6
 #: Members that one task of the cell join compares at once.
 CELL = 8192
+#: Pairs that a task of the cell join compares at most, about; and the most tasks, beyond which these are more.
+TASK_PAIRS = 1 << 30
+MOST_TASKS = 100_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -128,6 +131,9 @@ def links(distinct: DataFrame, *, distance: int = DISTANCE, groups: int = GROUPS
     cells, path = cut(distinct.select("fp", put.alias("c")).select("fp", "c.*"), "simhash-cells")
     sizes, sizes_path = cut(cells.groupBy("table", "at").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-sizes")
     held = cells.join(sizes, ["table", "at"])
+    # tasks by the pairs that they compare, not by the bytes that they read
+    work = sizes.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, int(work // TASK_PAIRS)))
     blocks = F.ceil(F.col("n") / F.lit(cell)).cast("int")
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     held = held.withColumn("blocks", blocks).withColumn("mine", mine)
@@ -139,15 +145,15 @@ def links(distinct: DataFrame, *, distance: int = DISTANCE, groups: int = GROUPS
         a, b = stars(tables.column("fp").to_numpy().view(np.uint64), distance)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    found, links_path = cut(_by_cell(dealt, run).distinct(), "simhash-links")
+    found, links_path = cut(_by_cell(dealt, run, tasks).distinct(), "simhash-links")
     drop(spark, path, sizes_path)
     return found, links_path
 
 
-def _by_cell(dealt: DataFrame, run) -> DataFrame:
+def _by_cell(dealt: DataFrame, run, tasks: int) -> DataFrame:
     """Runs over each cell: the rows are dealt by cell and sorted, and a task streams its cells one after the other."""
     keys = ["table", "at", "i", "j"]
-    rows = dealt.repartition(*keys).sortWithinPartitions(*keys)
+    rows = dealt.repartition(tasks, *keys).sortWithinPartitions(*keys)
 
     def stream(batches):
         last, held = None, []

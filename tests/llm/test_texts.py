@@ -99,8 +99,9 @@ def contamination(docs, items, window=13):
                 if g := grams.get(tuple(w[i : i + n])):
                     hit |= set(range(i, i + n))
                     met |= g
-        ids = sorted(str(items[k][0]) for k in met if items[k][0] is not None)
-        out.append((len(w), len(hit), len(met), hashlib.sha256(",".join(ids).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)))
+        every = {items[k][0] for k in met}
+        ids = sorted(str(i) for i in every if i is not None)
+        out.append((len(w), len(hit), len(every), hashlib.sha256(",".join(ids).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)))
     return out
 
 
@@ -137,7 +138,9 @@ def test_op2_edges_and_removal(spark, edges):
     assert decontam.report(empty(edges), b).count() == 0
     long_ = "x " * 60 + "One, two! end"
     d = spark.createDataFrame([(1, long_, 0, "a"), (2, "one two", 7, "a"), (3, None, None, "b")], "doc_id long, text string, n_chars long, spans string")
-    left = decontam.remove(d, spark.createDataFrame([(1, "one two")], "item_id long, text string")).orderBy("doc_id").collect()
+    items = spark.createDataFrame([(1, "one two"), (2, "three four")], "item_id long, text string")
+    assert decontam.remove(d, items, block_words=1).orderBy("doc_id").collect() == decontam.remove(d, items).orderBy("doc_id").collect()
+    left = decontam.remove(d, items).orderBy("doc_id").collect()
     assert [tuple(r) for r in left] == [(1, "x " * 60 + "! end", len("x " * 60 + "! end"), "a"), (3, None, None, "b")]
 
 

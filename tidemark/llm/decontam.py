@@ -11,8 +11,8 @@ shortest window are walked.
 The items are read in blocks of a bounded number of words; each block is one broadcast automaton and one pass.
 
 Defined results: null or empty texts have no words and are not contaminated. Items without words match nothing.
-Repeated items count once each. A null item_id counts as an item but adds nothing to the list of ids. Repeated
-documents are judged alike and each keeps its row.
+An item is an item_id: rows of one id are one item, whatever their texts. Rows of a null item_id are one item too, which
+adds nothing to the list of ids. Repeated documents are judged alike and each keeps its row.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +30,8 @@ from pyspark.sql import types as T
 from .common import annotate, column, cut, drop, packed
 
 WINDOW = 13
-COVERAGE = 0.05
+#: The least share of hit words, as a fraction.
+COVERAGE = (1, 20)
 #: Words of the items in one broadcast automaton; the bound of what is broadcast.
 BLOCK_WORDS = 200_000
 
@@ -177,30 +179,38 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> I
     yield held
 
 
-def find(rows: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Packed rows with n_words, n_hit, items (ids, sorted as strings), n_items, longest and spans (in words, merged)."""
+def find(rows: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS, clean: bool = False) -> DataFrame:
+    """Packed rows with n_words, n_hit, items (ids, sorted as strings), n_items, longest and spans (in words, merged).
+
+    clean: adds `body`, the text without the spans, null where it has none.
+    """
     spark, earlier, out = rows.sparkSession, "", None
-    for k, block in enumerate(blocks(benchmark, item_id, item_text, block_words)):
+    found = blocks(benchmark, item_id, item_text, block_words)
+    block, following = next(found), next(found, None)
+    several = following is not None
+    while block is not None:
         shared = spark.sparkContext.broadcast(Automaton(block, window))
 
-        def make(shared=shared):
+        def make(shared=shared, clean=clean and not several):
             automaton = shared.value
 
             def work(texts):
-                made = [[] for _ in range(6)]
+                made = [[] for _ in range(7)]
                 for t in texts:
                     tokens = words(t)
                     spans, items, longest = automaton.search(tokens)
-                    ids = sorted(x for i in items if (x := automaton.ids[i]) is not None)
-                    row = (len(tokens), sum(b - a for a, b in spans), ids, len(items), longest, [{"start": a, "end": b} for a, b in spans])
+                    ids = {automaton.ids[i] for i in items}
+                    row = (len(tokens), sum(b - a for a, b in spans), sorted(ids - {None}), len(ids), longest, [{"start": a, "end": b} for a, b in spans])
+                    row += (without_spans(t, spans).decode() if clean and spans else None,)
                     for column_, v in zip(made, row, strict=True):
                         column_.append(v)
-                return made
+                return made if clean else made[:6]
 
             return work
 
+        block, following = following, next(found, None)
         if out is None:
-            out = annotate(rows, text, make, FOUND)
+            out = annotate(rows, text, make, FOUND if several or not clean else T.StructType([*FOUND, T.StructField("body", T.StringType())]))
             continue
         done, path = cut(out, "decontam")  # a further block: one automaton is in memory at a time
         again = packed(done, *done.columns).select(F.struct("row.row." + "`" + text.replace("`", "``") + "`", F.col("row").alias("before")).alias("row"))
@@ -210,9 +220,25 @@ def find(rows: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, text: s
             drop(spark, earlier, path)
             path = last
         earlier = path
+    if clean and several:  # spans are whole only now
+        made = packed(out, *out.columns).select(F.struct(F.col("row.row")[text].alias("text"), F.col("row.spans").alias("spans"), F.col("row").alias("found")).alias("row"))
+        out = _cleaned(made).select("row.found.*", "body")
     return out
 
 
+def _cleaned(rows: DataFrame) -> DataFrame:
+    """Packed rows of text and spans with `body`."""
+
+    def run(batches):
+        for b in batches:
+            row = b.column("row")
+            spans, texts = row.field("spans"), row.field("text")
+            body = [without_spans(texts[i].as_py().encode(), [(x["start"], x["end"]) for x in s]).decode() if (s := spans[i].as_py()) else None for i in range(len(row))]
+            yield pa.RecordBatch.from_arrays([row, pa.array(body, pa.string())], names=["row", "body"])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("body", T.StringType())]))
+
+
 def _joined() -> list:
     """The findings of two blocks as one."""
     old = F.col("row.before")
@@ -221,12 +247,15 @@ def _joined() -> list:
         lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] <= F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))),
     )
     hit = F.aggregate(spans, F.lit(0).cast("long"), lambda acc, s: acc + (s["end"] - s["start"]))
-    return [F.col("n_words"), hit.alias("n_hit"), F.array_sort(F.concat(old["items"], F.col("items"))).alias("items"), (old["n_items"] + F.col("n_items")).alias("n_items"), F.greatest(old["longest"], F.col("longest")).alias("longest"), spans.alias("spans")]
+    items = F.array_sort(F.array_union(old["items"], F.col("items")))
+    nameless = F.greatest(old["n_items"] - F.size(old["items"]), F.col("n_items") - F.size("items"))
+    return [F.col("n_words"), hit.alias("n_hit"), items.alias("items"), (F.size(items) + nameless).cast("long").alias("n_items"), F.greatest(old["longest"], F.col("longest")).alias("longest"), spans.alias("spans")]
 
 
-def contaminated(coverage: float = COVERAGE):
+def contaminated(coverage: tuple[int, int] = COVERAGE):
     """True where words are hit and their share reaches the limit."""
-    return (F.col("n_hit") > 0) & (F.col("n_hit") >= F.ceil(F.lit(coverage) * F.col("n_words") - F.lit(1e-9)))
+    part, whole = coverage
+    return (F.col("n_hit") > 0) & (F.col("n_hit") * whole >= F.col("n_words") * part)
 
 
 def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -240,17 +269,11 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b" ".join(out)
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, *, coverage: float = COVERAGE, text: str = "text", count: str | None = "n_chars", **options) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, *, coverage: tuple[int, int] = COVERAGE, text: str = "text", count: str | None = "n_chars", **options) -> DataFrame:
     """docs without contaminated documents; in the others, hit spans are cut from the text and its length is counted anew."""
-    found = find(packed(docs), benchmark, text=text, **options).filter(~contaminated(coverage))
-
-    @F.pandas_udf(T.StringType())
-    def cleaned(body, spans):
-        return body.combine(spans, lambda t, s: t if t is None or len(s) == 0 else without_spans(t.encode(), [(x["start"], x["end"]) for x in s]).decode())
-
-    body = F.when(F.size("spans") > 0, cleaned(F.col("row")[text], F.col("spans"))).otherwise(F.col("row")[text])
-    kept = found.select("row", F.col("spans"), body.alias("body"))
-    changed = {text: F.col("body")} | ({count: F.when(F.size("spans") > 0, F.length("body").cast(docs.schema[count].dataType)).otherwise(F.col("row")[count])} if count in docs.columns else {})
+    kept = find(packed(docs), benchmark, text=text, clean=True, **options).filter(~contaminated(coverage))
+    body, cut_ = F.coalesce("body", F.col("row")[text]), F.col("body").isNotNull()
+    changed = {text: body} | ({count: F.when(cut_, F.length("body").cast(docs.schema[count].dataType)).otherwise(F.col("row")[count])} if count in docs.columns else {})
     return kept.select(*[(changed[c] if c in changed else F.col("row")[c]).alias(c) for c in docs.columns])
 
 

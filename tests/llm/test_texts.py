@@ -70,13 +70,51 @@ def test_op1_edges(spark, edges):
 
 def test_op1_backs_off_to_shorter_grams():
     m = langid.Model(["a", "b"], [("a", 0, "abc", 9), ("b", 0, "xyz", 9), ("a", 3, "abc", 5), ("b", 2, "xy", 5), ("a", 1, "q", 1)], {})
-    of = lambda o, key: m.vectors[o][m.places[o][key]]
+    of = lambda o, key: m.summed(o, [m.places[o][key]])
+    assert np.allclose(of(0, "abc"), np.log([9.5 / 2, 0.5 / 2]))
     assert np.allclose(m.vector("abc"), of(0, "abc"))
     assert np.allclose(m.vector("zabcz"), langid.STEP_BACK**3 * of(3, "abc"))
     assert np.allclose(m.vector("1xy1"), langid.STEP_BACK**4 * of(2, "xy"))
     assert m.vector("777") is None and langid.judge(m)("q q")[0] == "a"
 
 
+def test_op1_equals_brute_force(spark, sf, docs):
+    """Counts, vectors and scores anew from the texts that are not held out; the sample holds all of them here."""
+    found = run("op1_language", spark, sf).set_index("doc_id")
+    split = lambda t: [w for w in re.findall(r"[^\W\d_]+", t.lower())]
+    counts, seen = {}, set()
+    for i, t, lang in zip(docs.doc_id, docs.text, docs.lang, strict=True):
+        if zlib.crc32(str(i).encode()) % 3 != 1 and lang is not None and t is not None and (lang, t) not in seen:
+            seen.add((lang, t))
+            for w in split(t):
+                for o, key in [(0, w), *((n, p[k : k + n]) for n in (5, 4, 3, 2, 1) for p in [f" {w} " if n > 1 else w] for k in range(max(1, len(p) - n + 1)))]:
+                    counts.setdefault((lang, o), Counter())[key] += 1
+    langs = sorted({x for x, _ in counts})
+    keys = {o: set().union(*(counts[x, o] for x in langs)) for o in range(6)}
+    totals = {(x, o): sum(counts[x, o].values()) + 0.5 * len(keys[o]) + 1 for x in langs for o in range(6)}
+    log = lambda x, o, key: math.log((counts[x, o][key] + 0.5) / totals[x, o])
+
+    def vector(w):
+        if w in keys[0]:
+            return [log(x, 0, w) for x in langs]
+        for step, n in enumerate((5, 4, 3, 2, 1), 1):
+            p = f" {w} " if n > 1 else w
+            known = [p[k : k + n] for k in range(len(p) - n + 1) if p[k : k + n] in keys[n]]
+            if known:
+                return [0.7**step * sum(log(x, n, g) for g in known) / len(known) for x in langs]
+        return [0.0] * len(langs)
+
+    for i, t in list(zip(docs.doc_id, docs.text, strict=True))[:60]:
+        w = split(t or "")
+        if not w:
+            assert found.lang_pred[i] == "und" and found.score[i] == 0
+            continue
+        total = [sum(v) for v in zip(*map(vector, w), strict=True)]
+        mean = [v / len(w) * min(len(w), 12) for v in total]
+        best = max(mean)
+        assert found.lang_pred[i] == langs[mean.index(best)] and abs(found.score[i] - 1 / sum(math.exp(v - best) for v in mean)) < 1e-4
+
+
 # benchmark decontamination
 
 

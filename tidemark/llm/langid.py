@@ -6,10 +6,11 @@ which the model knows any, their mean log frequencies damped by a factor for eac
 greatest sum is predicted; the score is its share in a softmax over the mean per word, sharpened with the number of
 words up to SHARP.
 
-Training reads a sample of labelled texts that is bounded by SAMPLE texts a language in expectation: a row is in it if
-a hash of its columns falls under the language's rate. Words and n-grams are counted in Spark; the model keeps the TOP
-most frequent words and n-grams of each length for each of the LANGUAGES most frequent languages, which bounds what is
-broadcast.
+Training reads a sample of labelled texts that is bounded by SAMPLE distinct texts a language in expectation: a text is
+in it if a hash of it and its language falls under the language's rate. Words and n-grams are counted in Spark. The model
+is a classifier fitted on that sample, so its size is bounded too: of at most LANGUAGES languages (the most frequent), it
+keeps KEYS counts in all, the most frequent ones of each language and length; with a few languages that is all of them.
+Vectors are sparse, a key costs what its own languages do.
 
 Defined results: a text that is null or has no letter is `und` with score 0. Rows without a language or text teach
 nothing; with no labelled rows at all every text is `und`. Ties of score go to the language that sorts first. Texts are
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable
 
@@ -31,8 +33,9 @@ from pyspark.sql import types as T
 from .common import annotate, column, packed
 
 SAMPLE = 4000
-TOP = 20_000
-LANGUAGES = 256
+#: Counts of words and n-grams in a model, and its languages: the bounds of what is collected and broadcast.
+KEYS = 2_000_000
+LANGUAGES = 4096
 ORDERS = (5, 4, 3, 2, 1)
 STEP_BACK = 0.7
 SHARP = 12
@@ -41,7 +44,8 @@ UNKNOWN = "und"
 CACHE = 300_000
 CACHE_BYTES = 64 << 20
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: Letters and numbers that are no decimal digits, in Python's and in Java's words.
+_WORD, _JAVA_WORD = re.compile(r"[^\W\d_]+"), r"[\p{L}\p{Nl}\p{No}]+"
 FOUND = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
@@ -52,7 +56,7 @@ def words(text: str) -> list[str]:
 class Model:
     """Log-frequency vectors over the languages, for words (order 0) and for n-grams by length.
 
-    For each order a place for each key and one matrix of vectors.
+    For each order a place for each key, the vector of a key that no language has, and what a key's languages add to it.
     """
 
     def __init__(self, languages: list[str], rows: Iterable[tuple[str, int, str, int]], totals: dict[tuple[str, int], int]):
@@ -60,27 +64,37 @@ class Model:
         self.languages = sorted(languages)
         column_of = {x: k for k, x in enumerate(self.languages)}
         self.places: dict[int, dict[str, int]] = {o: {} for o in (0, *ORDERS)}
-        counts: dict[int, list[tuple[int, int, int]]] = {o: [] for o in (0, *ORDERS)}
+        counts: dict[int, tuple[array, array, array]] = {o: (array("q"), array("q"), array("q")) for o in (0, *ORDERS)}
         for lang, o, key, c in rows:
-            counts[o].append((self.places[o].setdefault(key, len(self.places[o])), column_of[lang], c))
-        self.vectors: dict[int, np.ndarray] = {}
+            for column_, x in zip(counts[o], (self.places[o].setdefault(key, len(self.places[o])), column_of[lang], c), strict=True):
+                column_.append(x)
+        self.base, self.edges, self.langs, self.adds = {}, {}, {}, {}
         for o, found in counts.items():
-            seen = np.zeros((len(self.places[o]), len(self.languages)))
-            for k, x, c in found:
-                seen[k, x] += c
-            n = np.array([totals.get((x, o), 0) for x in self.languages], float)
-            self.vectors[o] = np.log((seen + 0.5) / (n + 0.5 * len(seen) + 1)).astype(np.float32)
+            place, lang, n = (np.array(x, np.int64) for x in found)
+            order = np.lexsort((lang, place))
+            total = np.array([totals.get((x, o), 0) for x in self.languages], float)
+            self.base[o] = np.log(0.5 / (total + 0.5 * len(self.places[o]) + 1)).astype(np.float32)
+            self.edges[o] = np.searchsorted(place[order], np.arange(len(self.places[o]) + 1))
+            self.langs[o], self.adds[o] = lang[order].astype(np.int32), np.log(2 * n[order] + 1).astype(np.float32)
+
+    def summed(self, o: int, places: list[int]) -> np.ndarray:
+        """The sum of the vectors of some keys of an order."""
+        out, edges = self.base[o] * np.float32(len(places)), self.edges[o]
+        for k in places:
+            s, e = edges[k], edges[k + 1]
+            out[self.langs[o][s:e]] += self.adds[o][s:e]
+        return out
 
     def vector(self, word: str) -> np.ndarray | None:
         """The word's vector; for an unseen word that of its longest known n-grams; None if it has none."""
         if (k := self.places[0].get(word)) is not None:
-            return self.vectors[0][k]
+            return self.summed(0, [k])
         padded = f" {word} "
         for step, n in enumerate(ORDERS, 1):
             get, text = self.places[n].get, padded if n > 1 else word
             known = [k for i in range(len(text) - n + 1) if (k := get(text[i : i + n])) is not None]
             if known:
-                return self.vectors[n][known].sum(0) * np.float32(STEP_BACK**step / len(known))
+                return self.summed(n, known) * np.float32(STEP_BACK**step / len(known))
         return None
 
 
@@ -122,30 +136,35 @@ def judge(model: Model):
     return one
 
 
-def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", sample: int = SAMPLE, top: int = TOP, languages: int = LANGUAGES) -> Model:
+def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", sample: int = SAMPLE, keys: int = KEYS, languages: int = LANGUAGES) -> Model:
     """A model from a bounded sample of rows with text and language."""
     rows = labelled.select(column(lang).cast("string").alias("lang"), column(text).alias("body")).filter("lang is not null and body is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()  # at most LANGUAGES rows
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     if not sizes:
         return Model([], [], {})
     scale = 1 << 30
     rate = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(scale, math.ceil(scale * sample / r["count"]))))])
-    chosen = rows.filter(F.pmod(F.xxhash64("lang", "body"), F.lit(scale)) < F.coalesce(rate[F.col("lang")], F.lit(0)))
+    mark = F.xxhash64("lang", "body")
+    chosen = rows.filter(F.pmod(mark, F.lit(scale)) < F.coalesce(rate[F.col("lang")], F.lit(0)))
+    chosen = chosen.groupBy("lang", mark.alias("mark")).agg(F.first("body").alias("body"))  # a text teaches once, however often it is repeated
     # words are counted once; n-grams follow from the counted words
-    word = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("body"), F.lit(r"\p{L}+"), F.lit(0))).alias("w")).groupBy("lang", "w").count()
+    word = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("body"), F.lit(_JAVA_WORD), F.lit(0))).alias("w")).groupBy("lang", "w").count()
     padded = F.concat(F.lit(" "), F.col("w"), F.lit(" "))
     cut_ = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded if n > 1 else F.col("w")) - n + 1, F.lit(1))), lambda i: F.struct(F.lit(n).alias("o"), F.substring(padded if n > 1 else F.col("w"), i, F.lit(n)).alias("key")))
     every = F.concat(F.array(F.struct(F.lit(0).alias("o"), F.col("w").alias("key"))), *[cut_(n) for n in ORDERS])
     counted = word.select("lang", "count", F.explode(every).alias("g")).groupBy("lang", "g.o", "g.key").agg(F.sum("count").alias("n"))
     ranked = counted.withColumn("all", F.sum("n").over(Window.partitionBy("lang", "o"))).withColumn("k", F.row_number().over(Window.partitionBy("lang", "o").orderBy(F.desc("n"), "key")))
-    kept = ranked.filter(F.col("k") <= top).select("lang", "o", "key", "n", "all").toArrow()  # at most top rows a language and order
+    top = max(1, keys // (len(sizes) * (len(ORDERS) + 1)))
+    kept = ranked.filter(F.col("k") <= top).select("lang", "o", "key", "n", "all").toArrow()  # at most `keys` rows
     totals: dict[tuple[str, int], int] = {}
-    rows = []
-    for batch in kept.to_batches(max_chunksize=10_000):
-        for lang_, o, key, n, whole in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            totals[lang_, o] = whole
-            rows.append((lang_, o, key, n))
-    return Model([r["lang"] for r in sizes], rows, totals)
+
+    def entries():
+        for batch in kept.to_batches(max_chunksize=10_000):
+            for lang_, o, key, n, whole in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                totals[lang_, o] = whole
+                yield lang_, o, key, n
+
+    return Model([r["lang"] for r in sizes], entries(), totals)
 
 
 def predict(rows: DataFrame, model: Model, *, text: str = "text") -> DataFrame:

@@ -151,3 +151,112 @@ def test_discovery(spark):
     assert discovery.oldest(f, "mtime", "path").first()["path"] == "b"
     assert discovery.oldest(f.limit(0), "mtime", "path").count() == 0
     assert sorted(r["inode"] for r in discovery.unseen(f, f.filter("inode = 3"), ["inode"]).collect()) == [1, 2]
+
+
+def test_wild_ranges_meet_their_windows(spark):
+    """Ranges of any width, from a stamp of 0 to the largest long, against pair by pair."""
+    import random
+
+    from tidemark.model import LONG_MAX, MINUTE
+    from tidemark.operators import windows
+
+    rng = random.Random(7)
+    now = 1_700_000_000_000_000_000
+    spans = [(0, now), (0, 0), (0, LONG_MAX), (LONG_MAX, LONG_MAX), (now, LONG_MAX), (now, now), (None, None)]
+    spans += [(now + a, now + a + rng.choice([0, MINUTE, 500 * MINUTE, 10**6 * MINUTE])) for a in (rng.randrange(-(10**6), 10**6) * MINUTE for _ in range(60))]
+    starts = [0, LONG_MAX - MINUTE, now, now - MINUTE] + [now + rng.randrange(-(10**6), 10**6) * MINUTE for _ in range(40)]
+    given = [(k, s, min(s + rng.randrange(60) * MINUTE, LONG_MAX)) for k, s in enumerate(starts)]
+    w = spark.createDataFrame(given, "trigger_id long, start_ns long, end_ns long")
+    r = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(spans)], "recording_id long, min_ns long, max_ns long")
+    found = sorted((x["trigger_id"], x["recording_id"]) for x in windows.overlapping(w, r, ["recording_id"]).collect())
+    assert found == sorted((t, k) for t, s, e in given for k, (a, b) in enumerate(spans) if a is not None and b >= s and a <= e)
+
+
+def test_first_passage_equals_brute_force(spark, width):
+    random.seed(width)
+    rows = [(random.randrange(500), k) for k in range(80)]
+    points = [random.randrange(-5, 520) for _ in range(40)]
+    m = spark.createDataFrame(rows, "v long, at long")
+    p = spark.createDataFrame(list(enumerate(points)), "trigger_id long, at_ns long")
+    found = [r["passed_ns"] for r in coverage.first_passage(p, m, F.col("v"), F.col("at"), width=width).orderBy("trigger_id").collect()]
+    assert found == [min((a for v, a in rows if v >= x), default=None) for x in points]
+
+
+def test_status(spark):
+    w = window(spark, (0, 100))
+    status = lambda covered, now: coverage.cut_status(w, F.lit(covered), F.lit(now), 30).first()["status"]
+    assert [status(100, 99), status(100, 100), status(99, 100), status(99, 129), status(99, 130)] == ["pending", "covered", "pending", "pending", "grace_cut"]
+
+
+def test_retention_keeps_the_current_and_the_empty(spark):
+    f = spark.createDataFrame([(0, 1000), (1, None), (2, 5000), (3, 10)], "recording_id long, log_max long")
+    s = coverage.states(f, F.col("recording_id") < 3)
+    gone = lambda now: [r["recording_id"] for r in s.filter(coverage.pruned(s, F.lit(now), 1000)).orderBy("recording_id").collect()]
+    assert gone(2000) == [] and gone(2001) == [0] and gone(2**62) == [0, 2]
+    assert [(r["state"], r["has_successor"], r["is_current"]) for r in s.orderBy("recording_id").collect()] == [("Ended", True, False)] * 3 + [("Tailing", False, True)]
+
+
+def test_admission(spark):
+    rows = [(0, k, k, 100, None) for k in range(17)] + [(0, 17, 100, 200, None), (0, 18, 101, 300, "name")]
+    t = spark.createDataFrame(rows, "recording_id long, trigger_id long, log_ns long, finish_ns long, reject_reason string")
+    assert [r["admitted"] for r in coverage.admitted(t).orderBy("trigger_id").collect()] == [True] * 16 + [False, True, False]
+
+
+def test_discovery(spark):
+    f = spark.createDataFrame([("a", 1, 5), ("b", 2, 3), ("b2", 2, 3), ("c", 3, 9)], "path string, inode long, mtime long")
+    assert discovery.newest(f, "mtime", "path").first()["path"] == "c"
+    assert discovery.oldest(f, "mtime", "path").first()["path"] == "b"
+    assert discovery.oldest(f.limit(0), "mtime", "path").count() == 0
+    assert sorted(r["inode"] for r in discovery.unseen(f, f.filter("inode = 3"), ["inode"]).collect()) == [1, 2]
+
+
+def test_wild_ranges_meet_their_windows(spark):
+    """Ranges of any width, from a stamp of 0 to the largest long, against pair by pair."""
+    import random
+
+    from tidemark.model import LONG_MAX, MINUTE
+    from tidemark.operators import windows
+
+    rng = random.Random(7)
+    now = 1_700_000_000_000_000_000
+    spans = [(0, now), (0, 0), (0, LONG_MAX), (LONG_MAX, LONG_MAX), (now, LONG_MAX), (now, now), (None, None)]
+    spans += [(now + a, now + a + rng.choice([0, MINUTE, 500 * MINUTE, 10**6 * MINUTE])) for a in (rng.randrange(-(10**6), 10**6) * MINUTE for _ in range(60))]
+    starts = [0, LONG_MAX - MINUTE, now, now - MINUTE] + [now + rng.randrange(-(10**6), 10**6) * MINUTE for _ in range(40)]
+    given = [(k, s, min(s + rng.randrange(60) * MINUTE, LONG_MAX)) for k, s in enumerate(starts)]
+    w = spark.createDataFrame(given, "trigger_id long, start_ns long, end_ns long")
+    r = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(spans)], "recording_id long, min_ns long, max_ns long")
+    found = sorted((x["trigger_id"], x["recording_id"]) for x in windows.overlapping(w, r, ["recording_id"]).collect())
+    assert found == sorted((t, k) for t, s, e in given for k, (a, b) in enumerate(spans) if a is not None and b >= s and a <= e)
+    leveled = windows.overlapping(w, r, ["recording_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in leveled
+
+
+def test_first_passage_equals_brute_force(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tidemark.model import LONG_MAX
+    from tidemark.operators import coverage
+
+    rng = random.Random(8)
+    now = 1_700_000_000_000_000_000
+    value = lambda: rng.choice([0, LONG_MAX, now + rng.randrange(10**14), rng.randrange(LONG_MAX)])
+    for wild in (False, True):
+        rows = [(value() if wild else now + rng.randrange(10**13), k) for k in range(200)]
+        points = [(k, rng.choice(rows)[0] if k % 2 else value() if wild else now + rng.randrange(10**13)) for k in range(40)]
+        m = spark.createDataFrame(rows, "v long, t long")
+        p = spark.createDataFrame(points, "trigger_id long, at_ns long")
+        found = {r["trigger_id"]: r["passed_ns"] for r in coverage.first_passage(p, m, F.col("v"), F.col("t")).collect()}
+        assert found == {k: min((t for v, t in rows if v >= at), default=None) for k, at in points}
+
+
+def test_runts_are_skipped_and_chunks_dropped(spark):
+    from tidemark.operators import index
+
+    w = spark.createDataFrame([(0, 5, 40), (1, 5, 30)], "trigger_id long, start_ns long, end_ns long")
+    plan = spark.createDataFrame([(0, 7, 8, 100), (0, 7, 108, 5 << 20), (1, 7, 8, 100)], "trigger_id long, recording_id long, offset long, len long")
+    bad = spark.createDataFrame([(7, 8, 5), (7, 60, 6), (7, 70, 4), (7, 5 << 20, 6), (8, 8, 5), (7, 6 << 20, 5)], "recording_id long, offset long, opcode int")
+    found = spark.createDataFrame([(0, "/t", 3), (0, None, 9)], "trigger_id long, topic string, size long")
+    stats = index.clip_stats(w, found, plan, bad).orderBy("trigger_id").collect()
+    assert [(r["extents_read"], r["messages_copied"], r["bytes_copied"], r["records_skipped"], r["chunks_dropped"]) for r in stats] == [(2, 1, 3, 2, 2), (1, 0, 0, 1, 1)]

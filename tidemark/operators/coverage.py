@@ -14,19 +14,27 @@ from tidemark.model import LOG, MAX_ACTIVE
 from tidemark.operators.windows import BIN_NS, bin_of
 
 
+#: Bins of a group of bins; there are at most a few thousand groups, however wild the stamps.
+GROUP = 4096
+
+
 def first_passage(points: DataFrame, messages: DataFrame, value: Column, arrival: Column, *, width: int = BIN_NS) -> DataFrame:
     """points (trigger_id, at_ns) with passed_ns, the first arrival with a value of at_ns or more; null if there is none.
 
-    Arrivals are reduced to each bin's first, and these to the first of all later bins; only a point's own bin is
-    looked at message by message.
+    Arrivals are reduced to each bin's first, these to each group's, and both to the first of all later ones, bins within
+    their group. Only a point's own bin is looked at closely, and there a value's first arrival stands for its messages
+    and a bin's distinct times of points for the points.
     """
-    rows = messages.select(value.alias("value"), arrival.alias("arrival")).withColumn("bin", bin_of(F.col("value"), width))
+    rows = messages.select(value.alias("value"), arrival.alias("arrival")).groupBy("value").agg(F.min("arrival").alias("arrival")).withColumn("bin", bin_of(F.col("value"), width))
     p = points.select("trigger_id", "at_ns", bin_of(F.col("at_ns"), width).alias("bin"))
-    # a row for each bin with messages or points; its order is one window over bins, not over messages
-    firsts = rows.select("bin", "arrival").unionByName(p.select("bin", F.lit(None).cast("long").alias("arrival"))).groupBy("bin").agg(F.min("arrival").alias("first"))
-    above = firsts.select("bin", F.min("first").over(Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)).alias("above"))
-    here = p.join(rows, "bin").filter("value >= at_ns").groupBy("trigger_id").agg(F.min("arrival").alias("here"))
-    return p.join(above, "bin").join(here, "trigger_id", "left").select("trigger_id", "at_ns", F.least("here", "above").alias("passed_ns"))
+    times = p.select("at_ns", "bin").distinct()
+    group = bin_of(F.col("bin"), GROUP).alias("group")
+    firsts = rows.select("bin", "arrival").unionByName(times.select("bin", F.lit(None).cast("long").alias("arrival"))).groupBy("bin", group).agg(F.min("arrival").alias("first"))
+    later = lambda by, order: F.min("first").over(by.orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1))
+    groups = firsts.groupBy("group").agg(F.min("first").alias("first")).select("group", later(Window, "group").alias("beyond"))
+    above = firsts.select("bin", "group", later(Window.partitionBy("group"), "bin").alias("near")).join(groups, "group").select("bin", F.least("near", "beyond").alias("above"))
+    here = times.join(rows, "bin").filter("value >= at_ns").groupBy("at_ns").agg(F.min("arrival").alias("here"))
+    return p.join(above, "bin").join(here, "at_ns", "left").select("trigger_id", "at_ns", F.least("here", "above").alias("passed_ns"))
 
 
 def releases(windows: DataFrame, messages: DataFrame, *, clock: str = LOG) -> DataFrame:

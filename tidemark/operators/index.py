@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from tidemark.model import EXTENT_BYTES, EXTENTS
 from tidemark.operators.windows import overlapping
+from tidemark.sources.mcap import CHUNK as CHUNK_RECORD
+from tidemark.sources.mcap import MESSAGE
 
-#: Rows of a chunk of arrivals in a running maximum.
-CHUNK = 1 << 16
+#: Width in offsets of a chunk of arrivals in a running maximum.
+CHUNK = 1 << 20
 
 
 def extents(records: DataFrame, *, limit: int = EXTENT_BYTES) -> DataFrame:
@@ -72,20 +74,22 @@ def clip_stats(windows: DataFrame, found: DataFrame, plan: DataFrame, damaged: D
     """A row per window: extents_read, messages_copied, bytes_copied, records_skipped and chunks_dropped.
 
     found: the windows' messages with their topics (null where the channel is unknown: those are skipped); plan: the
-    planned extents; damaged: (recording_id, offset) of chunks that can't be read, which drop out of every clip whose
-    plan holds them.
+    planned extents; damaged: (recording_id, offset, opcode) of records that can't be read. Of those in planned extents
+    chunks are dropped and messages skipped; a definition is neither.
     """
     known = F.col("topic").isNotNull()
-    copied = found.groupBy("trigger_id").agg(F.count_if(known).alias("messages_copied"), F.sum(F.when(known, F.col("size")).otherwise(0)).alias("bytes_copied"), F.count_if(~known).alias("records_skipped"))
+    copied = found.groupBy("trigger_id").agg(F.count_if(known).alias("messages_copied"), F.sum(F.when(known, F.col("size")).otherwise(0)).alias("bytes_copied"), F.count_if(~known).alias("unknown"))
     read = plan.groupBy("trigger_id").agg(F.count("*").alias("extents_read"))
     out = windows.select("trigger_id").join(read, "trigger_id", "left").join(copied, "trigger_id", "left")
     if damaged is None:
-        out = out.withColumn("chunks_dropped", F.lit(0).cast("long"))
+        lost = windows.select("trigger_id", F.lit(0).cast("long").alias("runts"), F.lit(0).cast("long").alias("chunks_dropped"))
     else:
-        bad = damaged.select("recording_id", F.col("offset").alias("at"))
-        inside = plan.join(bad, "recording_id").filter((F.col("at") >= F.col("offset")) & (F.col("at") < F.col("offset") + F.col("len")))
-        out = out.join(inside.groupBy("trigger_id").agg(F.count("*").alias("chunks_dropped")), "trigger_id", "left")
-    return out.na.fill(0)
+        bad = damaged.select("recording_id", F.col("offset").alias("at"), "opcode", F.call_function("div", F.col("offset"), F.lit(EXTENT_BYTES)).alias("place"))
+        places = F.explode(F.sequence(F.call_function("div", F.col("offset"), F.lit(EXTENT_BYTES)), F.call_function("div", F.col("offset") + F.col("len") - 1, F.lit(EXTENT_BYTES))))
+        inside = plan.select("trigger_id", "recording_id", "offset", "len", places.alias("place")).join(bad, ["recording_id", "place"]).filter((F.col("at") >= F.col("offset")) & (F.col("at") < F.col("offset") + F.col("len")))
+        lost = inside.groupBy("trigger_id").agg(F.count_if(F.col("opcode") == MESSAGE).alias("runts"), F.count_if(F.col("opcode") == CHUNK_RECORD).alias("chunks_dropped"))
+    counted = out.join(lost, "trigger_id", "left").na.fill(0)
+    return counted.select("trigger_id", "extents_read", "messages_copied", "bytes_copied", (F.col("unknown") + F.col("runts")).alias("records_skipped"), "chunks_dropped")
 
 
 def bounds(messages: DataFrame) -> DataFrame:
@@ -107,15 +111,18 @@ def high_water(messages: DataFrame) -> DataFrame:
 def running_high(messages: DataFrame, value: Column, *, chunk: int = CHUNK) -> DataFrame:
     """Messages with high_ns, the largest value so far in order of arrival (recording, offset).
 
-    A scan in three steps, as one ordered window over everything would be one task: the maximum of each chunk of
-    arrivals, the running maximum over chunks (a row for `chunk` messages), and that within each chunk.
+    A tree of scans, as one ordered window over everything would be one task: the maxima of chunks of arrivals and of
+    recordings, the running maxima over recordings (a row for each), over a recording's chunks, and within each chunk.
     """
     part = F.call_function("div", F.col("offset"), F.lit(chunk))
     rows = messages.withColumn("part", part).withColumn("value", value)
     chunks = rows.groupBy("recording_id", "part").agg(F.max("value").alias("most"))
-    before = chunks.select("recording_id", "part", F.max("most").over(Window.orderBy("recording_id", "part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    before = lambda by, order: F.max("most").over(by.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    files = chunks.groupBy("recording_id").agg(F.max("most").alias("most")).select("recording_id", before(Window, "recording_id").alias("files_before"))
+    starts = chunks.select("recording_id", "part", before(Window.partitionBy("recording_id"), "part").alias("parts_before")).join(files, "recording_id")
     inside = rows.withColumn("high", F.max("value").over(Window.partitionBy("recording_id", "part").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)))
-    return inside.join(before, ["recording_id", "part"]).withColumn("high_ns", F.greatest("high", F.coalesce("before", F.lit(0)), F.lit(0))).drop("part", "value", "high", "before")
+    high = F.greatest("high", F.coalesce("parts_before", F.lit(0)), F.coalesce("files_before", F.lit(0)), F.lit(0))
+    return inside.join(starts, ["recording_id", "part"]).withColumn("high_ns", high).drop("part", "value", "high", "parts_before", "files_before")
 
 
 def resolved_channels(channels: DataFrame, schemas: DataFrame) -> DataFrame:

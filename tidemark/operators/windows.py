@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import clip_name, sat_add, sat_sub, segment_name, stamp, suffixed_name
-from tidemark.model import LOG, MINUTE
+from tidemark.model import LOG, LONG_MAX, MINUTE
 
 #: Width of a bin; about the usual width of a window.
 BIN_NS = 4 * MINUTE
+#: Bins of one level that a range touches at most, about; a level's bins are as many times as wide as those below.
+MOST_BINS = 64
 
 
 def with_windows(triggers: DataFrame, *, clock: str = LOG, anchor: Column | None = None) -> DataFrame:
@@ -23,11 +25,11 @@ def with_windows(triggers: DataFrame, *, clock: str = LOG, anchor: Column | None
     return centred.withColumn("start_ns", sat_sub("anchor_ns", "preroll_ns")).withColumn("end_ns", sat_add("anchor_ns", "postroll_ns"))
 
 
-def bin_of(ns: Column, width: int = BIN_NS) -> Column:
-    return F.call_function("div", ns, F.lit(width))
+def bin_of(ns: Column, width: int | Column = BIN_NS) -> Column:
+    return F.call_function("div", ns, width if isinstance(width, Column) else F.lit(width))
 
 
-def bins(start: Column, end: Column, width: int = BIN_NS) -> Column:
+def bins(start: Column, end: Column, width: int | Column = BIN_NS) -> Column:
     """The bins that an inclusive range of time touches."""
     return F.explode(F.sequence(bin_of(start, width), bin_of(end, width)))
 
@@ -49,8 +51,8 @@ def matches(windows: DataFrame, messages: DataFrame, *, clock: str = LOG, width:
 
 
 def in_file_order(clip: DataFrame) -> DataFrame:
-    """Rows in the order in which a clip holds them: by recording, then by place in the file, never by time."""
-    return clip.sortWithinPartitions("trigger_id", "recording_id", "offset")
+    """Rows dealt by clip, in the order in which a clip holds them: by recording, then by place in the file, never by time."""
+    return clip.repartition("trigger_id").sortWithinPartitions("trigger_id", "recording_id", "offset")
 
 
 def summary(windows: DataFrame, messages: DataFrame, *, clock: str = LOG, width: int = BIN_NS) -> DataFrame:
@@ -63,12 +65,23 @@ def summary(windows: DataFrame, messages: DataFrame, *, clock: str = LOG, width:
 def overlapping(windows: DataFrame, ranges: DataFrame, keys: list[str], *, width: int = BIN_NS) -> DataFrame:
     """Pairs of windows and ranges (min_ns, max_ns) that overlap, each once; ranges without times overlap nothing.
 
-    Both sides list their bins; a pair counts in the first bin that both touch.
+    Both sides list their bins; a pair counts in the first bin that both touch. Stamps may be wild, and a range of any
+    width: bins come in levels, each 64 times as wide as the one below, a range has the first level at which it
+    touches no more than 64 or so, and windows list their bins of every level, a few more than on the first.
     """
-    w = windows.select("trigger_id", "start_ns", "end_ns", bins(F.col("start_ns"), F.col("end_ns"), width).alias("bin"))
-    r = ranges.filter("min_ns is not null").select(*keys, "min_ns", "max_ns", bins(F.col("min_ns"), F.col("max_ns"), width).alias("bin"))
-    first = F.greatest(bin_of(F.col("start_ns"), width), bin_of(F.col("min_ns"), width))
-    return w.join(r, "bin").filter((F.col("max_ns") >= F.col("start_ns")) & (F.col("min_ns") <= F.col("end_ns")) & (F.col("bin") == first)).drop("bin")
+    widths = [width]
+    while widths[-1] * MOST_BINS < LONG_MAX:
+        widths.append(widths[-1] * MOST_BINS)
+    level = F.lit(len(widths) - 1)
+    for k in reversed(range(len(widths) - 1)):
+        level = F.when(bin_of(F.col("max_ns"), widths[k]) - bin_of(F.col("min_ns"), widths[k]) < MOST_BINS, F.lit(k)).otherwise(level)
+    of_level = F.array(*[F.lit(w).cast("long") for w in widths])[F.col("level")]
+    leveled = ranges.filter("min_ns is not null").select(*keys, "min_ns", "max_ns", level.alias("level"))
+    r = leveled.select("*", bins(F.col("min_ns"), F.col("max_ns"), of_level).alias("bin"))
+    every = F.explode(F.array(*[F.lit(k) for k in range(len(widths))])).alias("level")
+    w = windows.select("trigger_id", "start_ns", "end_ns", every).select("*", bins(F.col("start_ns"), F.col("end_ns"), of_level).alias("bin"))
+    first = F.greatest(bin_of(F.col("start_ns"), of_level), bin_of(F.col("min_ns"), of_level))
+    return w.join(r, ["level", "bin"]).filter((F.col("max_ns") >= F.col("start_ns")) & (F.col("min_ns") <= F.col("end_ns")) & (F.col("bin") == first)).drop("level", "bin")
 
 
 def segments(windows: DataFrame, planned: DataFrame, counted: DataFrame) -> DataFrame:

@@ -95,6 +95,7 @@ ORACLES = {
     "clip_summary_publish": _summary("wp", "cp"),
     "clip_messages": BASE + 'SELECT trigger_id, recording_id, "offset", topic, stamp_ns, payload FROM cl',
     "clip_messages_publish": BASE + 'SELECT trigger_id, recording_id, "offset", topic, stamp_ns, payload FROM cp',
+    "clip_order": BASE + 'SELECT trigger_id, recording_id, "offset", row_number() OVER (PARTITION BY trigger_id ORDER BY recording_id, "offset") - 1 AS place FROM cp',
     "clip_by_topic": BASE + "SELECT trigger_id, topic, count(*) AS messages, CAST(sum(size) AS BIGINT) AS bytes FROM cl GROUP BY 1, 2",
     "clip_channels": BASE + """, ch AS (SELECT trigger_id, topic, min(recording_id * 1000000000 + "offset") AS seen_at, count(*) AS messages FROM cl GROUP BY 1, 2)
 SELECT trigger_id, topic, row_number() OVER (PARTITION BY trigger_id ORDER BY seen_at) - 1 AS channel_no, messages FROM ch""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +39,22 @@ def clip_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.in_file_order(_clip(spark, sf_dir, LOG)).select("trigger_id", "recording_id", "offset", "topic", "stamp_ns", "payload")
 
 
+def clip_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each message in its clip, as the rows come: in file order, whatever their stamps."""
+    clip = windows.in_file_order(_clip(spark, sf_dir, PUBLISH)).select("trigger_id", "recording_id", "offset")
+
+    def number(batches):
+        trigger, place = None, 0
+        for b in batches:
+            places = []
+            for t in b.column("trigger_id").to_pylist():
+                trigger, place = t, 0 if t != trigger else place + 1
+                places.append(place)
+            yield b.append_column("place", pa.array(places, pa.int64()))
+
+    return clip.mapInArrow(number, "trigger_id long, recording_id long, offset long, place long").select("trigger_id", "recording_id", "offset", "place")
+
+
 def clip_messages_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.in_file_order(_clip(spark, sf_dir, PUBLISH)).select("trigger_id", "recording_id", "offset", "topic", "stamp_ns", "payload")
 
@@ -124,8 +141,11 @@ def pruned_equals_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _extents(spark, sf_dir)
     r = _records(spark, sf_dir)
     full = windows.matches(w, r)
-    plan = index.planned(w, e).select("trigger_id", F.col("recording_id").alias("er"), F.col("offset").alias("es"), (F.col("offset") + F.col("len")).alias("ee"))
-    inside = full.join(plan, ["trigger_id"]).filter((F.col("recording_id") == F.col("er")) & (F.col("offset") >= F.col("es")) & (F.col("offset") < F.col("ee")))
+    # a message meets the extents that touch its own stretch of the file
+    place = lambda at: F.call_function("div", at, F.lit(EXTENT))
+    last = F.col("offset") + F.col("len") - 1
+    plan = index.planned(w, e).select("trigger_id", "recording_id", F.col("offset").alias("es"), last.alias("ee"), F.explode(F.sequence(place(F.col("offset")), place(last))).alias("place"))
+    inside = full.withColumn("place", place(F.col("offset"))).join(plan, ["trigger_id", "recording_id", "place"]).filter(F.col("offset").between(F.col("es"), F.col("ee")))
     count = lambda df, name: df.groupBy("trigger_id").agg(F.count("*").alias(name))
     return count(full, "full_messages").join(count(inside, "pruned_messages"), "trigger_id", "left").na.fill(0)
 
@@ -170,9 +190,9 @@ def late_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cut_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statuses at the middle of the stored time, on the publish clock: triggers and messages that had arrived by then."""
     w, m = _both(spark, sf_dir, PUBLISH)
-    now = m.agg((F.min("log_ns") + F.floor((F.max("log_ns") - F.min("log_ns")) / 2)).alias("now")).withColumn("k", F.lit(0))
-    seen = m.withColumn("k", F.lit(0)).join(now, "k").filter("log_ns <= now").groupBy("k", "now").agg(F.max("publish_ns").alias("covered"))
-    then = w.withColumn("k", F.lit(0)).join(seen, "k").filter("log_ns <= now")
+    now = m.agg((F.min("log_ns") + F.floor((F.max("log_ns") - F.min("log_ns")) / 2)).alias("now")).scalar()
+    covered = m.filter(F.col("log_ns") <= now).agg(F.max("publish_ns").alias("covered")).scalar()
+    then = w.filter(F.col("log_ns") <= now).withColumns({"now": now, "covered": covered})
     return coverage.cut_status(then, F.col("covered"), F.col("now"), 30 * SECOND).select("trigger_id", "end_ns", "status")
 
 
@@ -404,7 +424,7 @@ def mcap_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        clip_summary, clip_summary_publish, clip_messages, clip_messages_publish, clip_by_topic, clip_channels, clip_segments, clip_filenames, completions, empty_windows,
+        clip_summary, clip_summary_publish, clip_messages, clip_order, clip_messages_publish, clip_by_topic, clip_channels, clip_segments, clip_filenames, completions, empty_windows,
         boundary_inclusive, extent_index, extent_tiling_check, planned_extents, pruned_equals_full, recording_bounds, skew_bounds, high_water, high_water_log, high_water_publish,
         coverage_release, coverage_release_publish, late_loss, cut_status, current_recording, retention_prune, retained_plan, newest_recording, oldest_recording, discovery_order,
         seen_anti_join, anchor_matrix, trigger_validate, name_validate, name_sanitize, name_collision, stamp_ns, sat_arith, backoff_schedule, little_endian, producer_stamps,

@@ -169,3 +169,117 @@ def test_admission_refuses_and_frees(spark, tmp_path):
     assert live.submit(TRIGGER | {"name": "a/b"}) == "separator" and live.submit(TRIGGER | {"trigger_time": {"sec": 1, "nanosec": 0}}) == "trigger_time"
     live.state.pending.pop()
     assert live.submit(TRIGGER) is None and len(live.state.refused) == 3
+
+
+def test_a_bad_trigger_stops_no_other(spark, tmp_path, monkeypatch):
+    live = Live(spark, Params(out_dir=str(tmp_path / "out"), grace_ns=0), str(tmp_path / "work"))
+    for name in ("good", "bad", "fine"):
+        assert live.submit(TRIGGER | {"name": name}, now_ns=10**18) is None
+    true = live.cut
+    monkeypatch.setattr(live, "cut", lambda ready, name: (_ for _ in ()).throw(OSError("no space")) if any(p["name"] == "bad" for p in ready) else true(ready, name))
+    done = live.step(10**18 + 20)
+    assert [(d["name"], d["status"], len(d["filenames"])) for d in done] == [("good", "grace_cut", 1), ("bad", "failed", 0), ("fine", "grace_cut", 1)] and "no space" in done[1]["error"]
+    assert live.state.pending == [] and live.state.cutting is None and live.step(10**18 + 30) == []
+    assert sorted(n for n in os.listdir(tmp_path / "out") if n.endswith(".mcap")) == [f"{10**18}_fine.mcap", f"{10**18}_good.mcap"]
+
+
+@pytest.mark.parametrize("crash", ["before", "between", "after"])
+def test_a_crash_makes_no_clip_twice(spark, tmp_path, monkeypatch, crash):
+    """Crashes before the clips are planned, between two of them, and after all but before they are announced."""
+    out, now = tmp_path / "out", 10**18
+    live = Live(spark, Params(out_dir=str(out), grace_ns=0), str(tmp_path / "work"))
+    for name in ("a", "b"):
+        live.submit(TRIGGER | {"name": name}, now_ns=now)
+
+    class Crash(BaseException):
+        pass
+
+    def die(*_, **__):
+        raise Crash
+
+    if crash == "before":
+        monkeypatch.setattr(datasource, "write_clips", die)
+    elif crash == "after":
+        monkeypatch.setattr(live, "_announce", die)
+    else:
+        done = datasource.write_clips
+
+        def half(*a, **k):  # as if only the first had been linked, and had not been taken off the staging folder
+            clips = done(*a, **k)
+            os.unlink(out / f".published-{k['cut']}.jsonl")
+            os.link(clips[1]["path"], clips[1]["staged"])
+            os.unlink(clips[1]["path"])
+            os.link(clips[0]["path"], clips[0]["staged"])
+            datasource._durable(str(out / f".plan-{k['cut']}.jsonl"), [{x: c[x] for x in c if x != "path"} for c in clips])
+            raise Crash
+
+        monkeypatch.setattr(datasource, "write_clips", half)
+    with pytest.raises(Crash):
+        live.step(now + 20)
+    monkeypatch.undo()
+    again = Live(spark, live.params, live.work)
+    assert again.state.cutting is None and len(again.state.pending) == (2 if crash == "before" else 0)
+    again.step(now + 20)
+    Live(spark, live.params, live.work).step(now + 20)
+    assert sorted(n for n in os.listdir(out) if n.endswith(".mcap")) == [f"{now}_a.mcap", f"{now}_b.mcap"]
+    said = [json.loads(x) for x in (out / "completions.jsonl").read_text().splitlines()]
+    assert [(d["name"], [os.path.basename(f) for f in d["filenames"]]) for d in said] == [("a", [f"{now}_a.mcap"]), ("b", [f"{now}_b.mcap"])]
+    assert os.listdir(out / ".staging") == [] and not [n for n in os.listdir(out) if n.startswith((".plan", ".published"))]
+
+
+def test_batches_are_merged_and_unknown_channels_counted(spark, tmp_path, monkeypatch):
+    from tidemark.streaming import live as module
+
+    monkeypatch.setattr(module, "MERGE", 3)
+    folder = tmp_path / "rec"
+    folder.mkdir()
+    out = io.BytesIO()
+    w = mcap.Writer(out, "", 0)
+    for t in range(10, 60, 10):
+        w.add(w.channel("/t", "json"), 0, t, t, b"x%d" % t)
+    raw = out.getvalue() + mcap.message_record(9, 0, 35, 35, b"nobody's") + mcap.record(mcap.MESSAGE, b"runt")
+    live = Live(spark, Params(record_dir=str(folder), out_dir=str(tmp_path / "out"), grace_ns=0, retention_ns=LONG_MAX), str(tmp_path / "work"))
+    live.start()
+    try:
+        cuts = [len(raw) * k // 6 for k in range(1, 6)] + [len(raw)]
+        for a, b in zip([0, *cuts], cuts, strict=False):  # the file grows by pieces
+            with open(folder / "a.mcap", "ab") as f:
+                f.write(raw[a:b])
+            live.query.processAllAvailable()
+    finally:
+        live.query.stop()
+    assert live.state.bounds == {"0": [10, 50, 10, 50]} and live.state.damage == {"0": [1, 0]}
+    assert len(live._batches(str(tmp_path / "work" / "messages"))) <= 4
+    live.submit(TRIGGER, log_ns=30, publish_ns=30, now_ns=60)
+    (done,) = live.step(60)
+    assert (done["messages"], done["bytes"], done["records_skipped"], done["chunks_dropped"]) == (5, 15, 2, 0)
+    assert [t for t, _ in clip(spark, done["filenames"][0])] == [10, 20, 30, 40, 50]
+
+
+def test_headers_tell_where_records_end():
+    """frames() stands where scan() does, reads headers only, and meets the same faults."""
+    out = io.BytesIO()
+    w = mcap.Writer(out, "zstd", 200_000)
+    for t in range(50):
+        w.add(w.channel("/t", "json"), 0, t, t, os.urandom(10_000))
+    w.close()
+    raw = out.getvalue()
+    for data in (raw, raw[:-60], raw[:300_000], raw[:20], raw[:8] + mcap.message_record(1, 0, 1, 1, b"x") + b"\x05" + b"\xff" * 8 + b"abc"):
+        read, reads = [], []
+        for walk, sizes in ((lambda *a: [*mcap.scan(*a)], read), (mcap.frames, reads)):
+            state = mcap.Scan()
+            walk(lambda at, n, sizes=sizes, data=data: (sizes.append(n), data[at : at + n])[1], len(data), state)
+            sizes.append((state.offset, state.ended, str(state.fault)))
+        assert read[-1] == reads[-1]
+    with pytest.raises(mcap.WrongMagic):
+        mcap.frames(lambda at, n: b"not mcap"[at : at + n], 8, mcap.Scan())
+
+
+def test_exit_codes(spark, tmp_path):
+    from tidemark.streaming import live as module
+
+    (tmp_path / "rec").mkdir()
+    given = ["--record-dir", str(tmp_path / "rec"), "--out-dir", str(tmp_path / "out"), "--work-dir", str(tmp_path / "work"), "--seconds", "1"]
+    assert module.main([*given, "--time-source", "noon"], spark) == 2 and module.main(given, spark) == 0
+    (tmp_path / "rec" / "a.mcap").write_bytes(b"not an mcap file")
+    assert module.main([*given[:-1], "60"], spark) == 1

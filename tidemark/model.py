@@ -45,6 +45,8 @@ class Params:
     extent_bytes: int = EXTENT_BYTES
     max_active: int = MAX_ACTIVE
     trigger_topic: str = TRIGGER_TOPIC
+    #: Tasks that write clips at a time; 0 leaves it to Spark.
+    parallelism: int = 0
 
     def __post_init__(self):
         for field, allowed in (("time_source", CLOCKS), ("compression", CODECS), ("trigger_source", ("live", "recorded"))):

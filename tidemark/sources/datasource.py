@@ -9,7 +9,7 @@ the end of each one's last complete record; a later file is only begun once the
 
 Written rows: trigger_id, segment_no, filename, topic, message_encoding, metadata, schema, sequence, log_ns, publish_ns,
 payload, dealt by clip and in file order (`clip_rows` does that); a row without a topic makes an empty clip. Options:
-path, compression (none, lz4, zstd), chunk_bytes.
+path, compression (none, lz4, zstd), chunk_bytes, cut (a name of this write, by which `finish` ends what a crash cut off).
 """
 
 from __future__ import annotations
@@ -146,8 +146,7 @@ class _Stream(DataSourceStreamReader):
             fd, read_at = _reader(path)
             try:
                 state = mcap.Scan(at)
-                for _ in mcap.scan(read_at, os.fstat(fd).st_size, state, with_payload=False):
-                    pass
+                mcap.frames(read_at, os.fstat(fd).st_size, state)  # headers only: the tasks read the bodies
             finally:
                 os.close(fd)
             if state.fault is None or state.offset > at:
@@ -197,16 +196,22 @@ class Staged(WriterCommitMessage):
     clips: list[dict]
 
 
-def publish(staged: str, folder: str, name: str) -> str:
-    """Links a staged clip under its name, or with the first free suffix, and never over another file."""
+def publish(staged: str, folder: str, name: str, inode: int | None = None) -> str:
+    """Links a staged clip under its name, or with the first free suffix, and never over another file.
+
+    inode: the staged file's; a name that it has already is the clip's, whether or not it is still staged.
+    """
     stem, extension = os.path.splitext(name)
+    inode = os.stat(staged).st_ino if inode is None else inode
     for k in range(MOST_SUFFIXES + 1):
         final = os.path.join(folder, name if not k else f"{stem}_{k}{extension}")
         try:
             os.link(staged, final)
-        except FileExistsError:
-            continue
-        os.unlink(staged)
+        except (FileExistsError, FileNotFoundError):
+            if not os.path.exists(final) or os.stat(final).st_ino != inode:
+                continue
+        if os.path.exists(staged):
+            os.unlink(staged)
         fd = os.open(folder, os.O_RDONLY)
         try:
             os.fsync(fd)
@@ -216,6 +221,46 @@ def publish(staged: str, folder: str, name: str) -> str:
     raise FileExistsError(f"{name}: {MOST_SUFFIXES} names are taken")
 
 
+def _durable(path: str, lines: list[dict]) -> None:
+    """Writes lines of JSON under a path that either has all of them or isn't there."""
+    with open(path + ".new", "w") as f:
+        f.writelines(json.dumps(x) + "\n" for x in lines)
+        f.flush()
+        os.fsync(f.fileno())
+    os.replace(path + ".new", path)
+
+
+def _lines(path: str) -> list[dict] | None:
+    try:
+        with open(path) as f:
+            return [json.loads(x) for x in f]
+    except FileNotFoundError:
+        return None
+
+
+def finish(folder: str, cut: str) -> list[dict] | None:
+    """Publishes what a write has staged and planned, each clip once however often this runs, and returns its clips.
+
+    None: the write never came to its plan, so nothing of it is or will be visible.
+    """
+    plan, published = (os.path.join(folder, f".{kind}-{cut}.jsonl") for kind in ("plan", "published"))
+    if (done := _lines(published)) is None:
+        if (done := _lines(plan)) is None:
+            return None
+        for c in done:
+            c["path"] = publish(c["staged"], folder, c["name"], c["inode"])
+        _durable(published, done)
+    if os.path.exists(plan):
+        os.unlink(plan)
+    return done
+
+
+def forget(folder: str, cut: str) -> None:
+    """Deletes the list of a write's clips."""
+    if os.path.exists(path := os.path.join(folder, f".published-{cut}.jsonl")):
+        os.unlink(path)
+
+
 def reset_staging(folder: str) -> None:
     """Empties the staging folder, as nothing in it outlives a run."""
     staging = os.path.join(folder, STAGING)
@@ -229,6 +274,7 @@ class _Clips(DataSourceArrowWriter):
 
     def __init__(self, options: dict):
         self.folder, self.codec, self.chunk = options["path"], CODECS[options.get("compression", "zstd")], int(options.get("chunk_bytes", 1 << 20))
+        self.cut = options.get("cut") or uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
         staging = os.path.join(self.folder, STAGING)
@@ -274,13 +320,8 @@ class _Clips(DataSourceArrowWriter):
 
     def commit(self, messages: list[Staged | None]) -> None:
         clips = sorted((c for m in messages if m for c in m.clips), key=lambda c: (c["trigger_id"], c["segment_no"]))
-        with open(os.path.join(self.folder, STAGING, uuid.uuid4().hex), "w") as log:
-            for c in clips:
-                c["path"] = publish(c["staged"], self.folder, c["name"])
-                log.write(json.dumps(c) + "\n")
-            log.flush()
-            os.fsync(log.fileno())
-        os.replace(log.name, os.path.join(self.folder, f".published-{uuid.uuid4().hex}.jsonl"))
+        _durable(os.path.join(self.folder, f".plan-{self.cut}.jsonl"), [c | {"inode": os.stat(c["staged"]).st_ino} for c in clips])
+        finish(self.folder, self.cut)
 
     def abort(self, messages: list[Staged | None]) -> None:
         for c in (c for m in messages if m for c in m.clips):
@@ -327,22 +368,26 @@ def read_planned(spark: SparkSession, path: str, planned: DataFrame, table: str
     return read(spark, path, table, ranges=ranges)
 
 
-def clip_rows(clips: DataFrame) -> DataFrame:
-    """Rows for the writer, dealt by clip and in file order. clips has CLIP's columns, recording_id, offset and inner_seq."""
-    dealt = clips.repartition("trigger_id", "segment_no").sortWithinPartitions("trigger_id", "segment_no", "recording_id", "offset", "inner_seq")
+def clip_rows(clips: DataFrame, parallelism: int = 0) -> DataFrame:
+    """Rows for the writer, dealt by clip and in file order. clips has CLIP's columns, recording_id, offset and inner_seq.
+
+    parallelism: how many tasks write clips; 0 leaves it to Spark.
+    """
+    dealt = clips.repartition(*([parallelism] if parallelism else []), "trigger_id", "segment_no").sortWithinPartitions("trigger_id", "segment_no", "recording_id", "offset", "inner_seq")
     return dealt.select(*[F.col(f.name).cast(f.dataType) for f in CLIP])
 
 
-def write_clips(clips: DataFrame, folder: str, compression: str = "zstd") -> list[dict]:
-    """Writes and publishes clips; returns a record (trigger_id, segment_no, path, messages, bytes) of each."""
+def write_clips(clips: DataFrame, folder: str, compression: str = "zstd", *, cut: str | None = None, parallelism: int = 0) -> list[dict]:
+    """Writes and publishes clips; returns a record (trigger_id, segment_no, path, messages, bytes) of each.
+
+    cut: a name for this write, whose list of clips then stays until `forget`.
+    """
     spark = clips.sparkSession
     register(spark)
     os.makedirs(folder, exist_ok=True)
-    before = {n for n in os.listdir(folder) if n.startswith(".published-")}
-    clip_rows(clips).write.format("mcap").option("path", folder).option("compression", compression).mode("append").save()
-    done = []
-    for name in sorted({n for n in os.listdir(folder) if n.startswith(".published-")} - before):
-        with open(os.path.join(folder, name)) as f:
-            done += map(json.loads, f)
-        os.unlink(os.path.join(folder, name))
+    name = cut or uuid.uuid4().hex
+    clip_rows(clips, parallelism).write.format("mcap").option("path", folder).option("compression", compression).option("cut", name).mode("append").save()
+    done = finish(folder, name) or []
+    if cut is None:
+        forget(folder, name)
     return done

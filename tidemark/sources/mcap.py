@@ -211,6 +211,31 @@ def scan(read_at: Callable[[int, int], bytes], size: int, state: Scan, *, end: i
             yield Item(kind, place, values | {"chunk_offset": place if op == CHUNK else None, "inner_seq": k if op == CHUNK else 0})
 
 
+def frames(read_at: Callable[[int, int], bytes], size: int, state: Scan, *, step: int = 1 << 16) -> None:
+    """Moves state over the complete records as scan does, by their headers alone: bodies are neither read nor inflated."""
+    if size < len(MAGIC):
+        return
+    if state.offset == len(MAGIC) and read_at(0, len(MAGIC)) != MAGIC:
+        raise WrongMagic("not an MCAP file")
+    buffer, base = b"", state.offset
+    while state.offset < size:
+        at = state.offset - base
+        if at + RECORD_HEADER > len(buffer):
+            buffer, base, at = read_at(state.offset, min(step, size - state.offset)), state.offset, 0
+            if len(buffer) < RECORD_HEADER:
+                return
+        op, length = struct.unpack_from("<BQ", buffer, at)
+        if op in (DATA_END, FOOTER):
+            state.ended = True
+            return
+        if length > MAX_RECORD:
+            state.fault = Fault(state.offset, "length without limit" if length == 2**64 - 1 else f"length {length}")
+            return
+        if state.offset + RECORD_HEADER + length > size:
+            return
+        state.offset += RECORD_HEADER + length
+
+
 def record(op: int, body: bytes) -> bytes:
     return struct.pack("<BQ", op, len(body)) + body
 
@@ -239,7 +264,10 @@ def chunk_record(records: bytes, start: int, end: int, codec: str = "", crc: int
 
 
 class Writer:
-    """A finished MCAP file: chunked, with definitions on first use, statistics and a chunk index in its summary."""
+    """A finished MCAP file: chunked, with definitions on first use, statistics and a chunk index in its summary.
+
+    chunk_bytes 0: records stand in the file as they are, without chunks.
+    """
 
     def __init__(self, out, codec: str = "zstd", chunk_bytes: int = 1 << 20, library: str = "tidemark"):
         self.out, self.codec, self.chunk_bytes, self.place = out, codec, chunk_bytes, 0
@@ -259,9 +287,12 @@ class Writer:
         self.place += len(data)
 
     def _define(self, data: bytes) -> None:
+        self.summary.append(data)
+        if not self.chunk_bytes:
+            self._put(data)
+            return
         self.held.append(data)
         self.size += len(data)
-        self.summary.append(data)
 
     def channel(self, topic: str, encoding: str, metadata: dict[str, str] | None = None, schema: tuple[str, str, bytes] | None = None) -> int:
         """The id of a channel with these contents; equal contents are one channel, equal schemas one schema."""
@@ -278,13 +309,18 @@ class Writer:
         return self.channels[key]
 
     def add(self, channel: int, sequence: int, log: int, publish: int, payload: bytes) -> None:
-        self.held.append(_MESSAGE.pack(MESSAGE, MESSAGE_HEADER + len(payload), channel, sequence & 0xFFFFFFFF, log, publish))
-        self.held.append(payload)
-        self.size += RECORD_HEADER + MESSAGE_HEADER + len(payload)
-        self.times.append(log)
+        head = _MESSAGE.pack(MESSAGE, MESSAGE_HEADER + len(payload), channel, sequence & 0xFFFFFFFF, log, publish)
         self.counts[channel] = self.counts.get(channel, 0) + 1
         self.first = log if self.first is None else min(self.first, log)
         self.last = max(self.last, log)
+        if not self.chunk_bytes:
+            self._put(head)
+            self._put(payload)
+            return
+        self.held.append(head)
+        self.held.append(payload)
+        self.size += RECORD_HEADER + MESSAGE_HEADER + len(payload)
+        self.times.append(log)
         if self.size >= self.chunk_bytes:
             self.flush()
 

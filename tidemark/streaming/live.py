@@ -4,19 +4,27 @@ A streaming query appends what it scans to index tables in the work folder (`ing
 replaces itself) and moves the coverage, the largest time seen on each clock over all recordings; coverage never falls.
 `step` looks at the pending triggers, of which there are at most max_active: one is ready once the wall clock has reached
 its window's end and either coverage has (equality does) or the grace, which starts when both arrival and end are past,
-has run out. Ready triggers are cut by the batch operators in one job and published together. Spark's watermarks aren't
-used: coverage drops no late data, is one for all files, and releases on equality.
+has run out. Ready triggers are cut by the batch operators in one job and published together; if that fails each is cut
+alone, and one that fails alone is announced as failed, so no trigger stops another. Spark's watermarks aren't used:
+coverage drops no late data, is one for all files, and releases on equality.
 
-State is a small JSON file that is replaced atomically; recordings' messages older than the retention leave the index.
+State is a small JSON file that is replaced atomically; recordings' bounds are in it, so nothing reads the index but cuts.
+A cut's name is in the state before it begins: after a crash its clips are published to the end and announced, each once,
+or, if it never came to its plan, cut again. Recordings' messages older than the retention leave the index, whose batches
+are merged when there are many. The work and output folders are mounted where the driver and all executors see them.
 """
 
 from __future__ import annotations
 
+import argparse
 import json
 import os
 import shutil
+import signal
+import sys
 import threading
 import time
+import uuid
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +34,13 @@ from pyspark.sql import types as T
 from tidemark.functions import decode
 from tidemark.model import LOG, LONG_MAX, MAX_AHEAD_NS, MAX_NAME_BYTES, MAX_ROLL_NS, SECOND, TRIGGER, Params
 from tidemark.operators import index, windows
-from tidemark.sources import datasource
+from tidemark.sources import datasource, mcap
 
 POLL_S = 0.2
+#: Batches of an index table after which they are merged.
+MERGE = 64
+#: Refusals that are remembered.
+REFUSED = 100
 INDEX = {"message": "messages", "channel": "channels", "schema": "schemas"}
 _WINDOW = T.StructType([T.StructField("trigger_id", T.LongType()), *TRIGGER.fields, T.StructField("anchor_ns", T.LongType()), T.StructField("start_ns", T.LongType()), T.StructField("end_ns", T.LongType()), T.StructField("arrival_ns", T.LongType())])
 
@@ -58,6 +70,12 @@ class State:
     taken: list[list[int]] = field(default_factory=list)
     #: Paths of the recordings in the index, by id.
     paths: dict[str, str] = field(default_factory=dict)
+    #: The first and last time on each clock, log then publish, of recordings with messages.
+    bounds: dict[str, list[int]] = field(default_factory=dict)
+    #: Runts and chunks of recordings that couldn't be read.
+    damage: dict[str, list[int]] = field(default_factory=dict)
+    #: The cut under way: its name and its triggers.
+    cutting: dict | None = None
 
 
 class Live:
@@ -66,10 +84,11 @@ class Live:
         datasource.register(spark)
         os.makedirs(work_dir, exist_ok=True)
         os.makedirs(params.out_dir, exist_ok=True)
-        datasource.reset_staging(params.out_dir)
         self.state = self._load()
         self.query = None
         self.lock = threading.RLock()  # the scan's callback and step() share the state
+        self._recover()
+        datasource.reset_staging(params.out_dir)
 
     def _load(self) -> State:
         try:
@@ -86,9 +105,32 @@ class Live:
             os.fsync(f.fileno())
         os.replace(path + ".new", path)
 
+    @staticmethod
+    def _batches(folder: str) -> list[str]:
+        return sorted((n for n in os.listdir(folder) if n.startswith("batch=")), key=lambda n: int(n[6:])) if os.path.isdir(folder) else []
+
+    def _merge(self, table: str) -> None:
+        """Many batches become one, whose marker names them until they are gone. The merged batch has the last one's number, negated."""
+        folder = os.path.join(self.work, table)
+        for n in self._batches(folder):  # what a crash left
+            for old in datasource._lines(os.path.join(folder, n, "_merged")) or []:
+                shutil.rmtree(os.path.join(folder, old["batch"]), ignore_errors=True)
+        found = self._batches(folder)
+        if len(found) < MERGE:
+            return
+        new, final = os.path.join(folder, "_new"), os.path.join(folder, f"batch={-int(found[-1][6:]) - 1}")
+        shutil.rmtree(new, ignore_errors=True)
+        fields = datasource.TABLES[table]
+        self.spark.read.schema(fields).option("basePath", folder).parquet(folder).select(*fields.names).repartition("recording_id").write.partitionBy("recording_id").parquet(new)
+        datasource._durable(os.path.join(new, "_merged"), [{"batch": n} for n in found])
+        os.replace(new, final)
+        for n in found:
+            shutil.rmtree(os.path.join(folder, n))
+        os.unlink(os.path.join(final, "_merged"))
+
     def _table(self, kind: str) -> DataFrame | None:
         folder = os.path.join(self.work, INDEX[kind])
-        if not os.path.isdir(folder) or not any(n.startswith("batch=") for n in os.listdir(folder)):
+        if not self._batches(folder):
             return None
         names = datasource.TABLES[INDEX[kind]]
         read = self.spark.read.schema(T.StructType([*names.fields, T.StructField("batch", T.LongType())])).option("basePath", folder)
@@ -111,15 +153,30 @@ class Live:
             batch.unpersist()
 
     def _ingest(self, batch: DataFrame, batch_id: int) -> None:
+        kinds = F.col("kind")
+        of = lambda end, clock: end(F.when(kinds == "message", F.col(clock)))
+        bad = lambda op: F.count_if((kinds == "record") & F.col("damaged") & (F.col("opcode") == op))
+        met = batch.groupBy("recording_id", "path").agg(
+            *[F.count_if(kinds == k).alias(k) for k in INDEX], of(F.min, "log_ns").alias("l0"), of(F.max, "log_ns").alias("l1"), of(F.min, "publish_ns").alias("p0"), of(F.max, "publish_ns").alias("p1"),
+            bad(mcap.MESSAGE).alias("runts"), bad(mcap.CHUNK).alias("chunks"),
+        ).collect()  # a row for each recording
         for kind, table in INDEX.items():
-            rows = batch.filter(F.col("kind") == kind).select(*datasource.TABLES[table].names)
-            rows.write.mode("overwrite").partitionBy("recording_id").parquet(os.path.join(self.work, table, f"batch={batch_id}"))
-        self.state.paths |= {str(r["recording_id"]): r["path"] for r in batch.select("recording_id", "path").distinct().collect()}  # a row for each recording
+            if any(r[kind] for r in met):
+                self._merge(table)
+                rows = batch.filter(kinds == kind).select(*datasource.TABLES[table].names)
+                rows.write.mode("overwrite").partitionBy("recording_id").parquet(os.path.join(self.work, table, f"batch={batch_id}"))
+        self.state.paths |= {str(r["recording_id"]): r["path"] for r in met}
         if self.params.trigger_source == "recorded":
             self._take(batch)
-        high = batch.filter("kind = 'message'").agg(F.max("log_ns"), F.max("publish_ns")).first()
-        for clock, value in zip(("log", "publish"), high, strict=True):
-            self.state.coverage[clock] = max(self.state.coverage[clock], value or 0)
+        for r in met:
+            rid, b = str(r["recording_id"]), self.state.bounds
+            if r["l0"] is not None:
+                old = b.get(rid) or [r["l0"], r["l1"], r["p0"], r["p1"]]
+                b[rid] = [min(old[0], r["l0"]), max(old[1], r["l1"]), min(old[2], r["p0"]), max(old[3], r["p1"])]
+                for clock, value in (("log", r["l1"]), ("publish", r["p1"])):
+                    self.state.coverage[clock] = max(self.state.coverage[clock], value)
+            runts, chunks = self.state.damage.get(rid, [0, 0])
+            self.state.damage[rid] = [runts + r["runts"], chunks + r["chunks"]]
         self.state.batch, self.state.taken = batch_id, []
         self._save()
 
@@ -162,7 +219,7 @@ class Live:
             self.state.pending.append({"trigger_id": self.state.next_id} | trigger | window)
             self.state.next_id += 1
         else:
-            self.state.refused.append({"name": trigger["name"], "why": why})
+            self.state.refused = [*self.state.refused, {"name": trigger["name"], "why": why}][-REFUSED:]
         self._save()
         return why
 
@@ -176,14 +233,14 @@ class Live:
         with self.lock:
             done = []
             if ready := self.ready(now):
-                done = self.cut(ready)
-                with open(os.path.join(self.params.out_dir, "completions.jsonl"), "a") as f:
-                    f.writelines(json.dumps(d) + "\n" for d in done)
-                    f.flush()
-                    os.fsync(f.fileno())
-                gone = {p["trigger_id"] for p in ready}
-                self.state.pending = [p for p in self.state.pending if p["trigger_id"] not in gone]
-                self._save()
+                try:
+                    done = self._cut(ready)
+                except Exception:  # one of them may be at fault: each alone
+                    for p in ready:
+                        try:
+                            done += self._cut([p])
+                        except Exception as e:
+                            done += self._announce([p], [self._completion(p, [], "failed") | {"error": str(e)[:500]}])
             self.prune(now)
             return done
 
@@ -191,8 +248,60 @@ class Live:
         found = self._table("schema")
         return found if found is not None else self.spark.createDataFrame([], datasource.TABLES["schemas"])
 
-    def cut(self, ready: list[dict]) -> list[dict]:
-        """Writes and publishes the clips of triggers: {name, filenames, description, trigger_time, preroll_ns, status}."""
+    def _cut(self, ready: list[dict]) -> list[dict]:
+        """Cuts triggers under a name that a later run can end the cut by."""
+        self.state.cutting = {"name": uuid.uuid4().hex, "triggers": [p["trigger_id"] for p in ready]}
+        self._save()
+        return self._announce(ready, self.cut(ready, self.state.cutting["name"]))
+
+    def _announce(self, ready: list[dict], done: list[dict]) -> list[dict]:
+        """Appends completions, those that aren't there yet, and takes their triggers off."""
+        path = os.path.join(self.params.out_dir, "completions.jsonl")
+        there = {x.get("trigger_id") for x in datasource._lines(path) or []} if self.state.cutting and self.state.cutting.get("again") else set()
+        with open(path, "a") as f:
+            f.writelines(json.dumps(d) + "\n" for d in done if d["trigger_id"] not in there)
+            f.flush()
+            os.fsync(f.fileno())
+        gone = {p["trigger_id"] for p in ready}
+        name = (self.state.cutting or {}).get("name")
+        self.state.pending = [p for p in self.state.pending if p["trigger_id"] not in gone]
+        self.state.cutting = None
+        self._save()
+        if name:
+            datasource.forget(self.params.out_dir, name)
+        return done
+
+    def _recover(self) -> None:
+        """Ends a cut that a crash cut off: its clips are published and announced, or its triggers stay pending."""
+        if (cutting := self.state.cutting) is None:
+            return
+        clips = datasource.finish(self.params.out_dir, cutting["name"])
+        if clips is None:
+            self.state.cutting = None
+            self._save()
+            return
+        cutting["again"] = True
+        ready = [p for p in self.state.pending if p["trigger_id"] in cutting["triggers"]]
+        self._announce(ready, [self._completion(p, clips) for p in ready])
+
+    def _completion(self, p: dict, clips: list[dict], status: str | None = None, skipped: int = 0) -> dict:
+        """A trigger's completion, with the statistics of its clips; damage is that of the recordings in its window."""
+        mine = sorted((c for c in clips if c["trigger_id"] == p["trigger_id"]), key=lambda c: c["segment_no"])
+        damage = [self.state.damage.get(str(r), [0, 0]) for r in self._planned(p)]
+        covered = self.state.coverage[self.params.time_source] >= p["end_ns"]
+        return {
+            "trigger_id": p["trigger_id"], "name": p["name"], "filenames": [c["path"] for c in mine], "description": p["description"], "trigger_time": p["trigger_time"], "preroll_ns": p["preroll_ns"],
+            "status": status or ("covered" if covered else "grace_cut"), "messages": sum(c["messages"] for c in mine), "bytes": sum(c["bytes"] for c in mine),
+            "records_skipped": skipped + sum(x[0] for x in damage), "chunks_dropped": sum(x[1] for x in damage),
+        }
+
+    def _planned(self, p: dict) -> list[int]:
+        """The recordings whose bounds overlap a trigger's window."""
+        at = 0 if self.params.time_source == LOG else 2
+        return sorted(int(r) for r, b in self.state.bounds.items() if b[at + 1] >= p["start_ns"] and b[at] <= p["end_ns"])
+
+    def cut(self, ready: list[dict], name: str | None = None) -> list[dict]:
+        """Writes and publishes the clips of triggers: {name, filenames, description, trigger_time, preroll_ns, status, ...}."""
         clock = self.params.time_source
         w = self.spark.createDataFrame([{f: p[f] for f in _WINDOW.names} for p in ready], _WINDOW)
         messages = self._table("message")
@@ -201,52 +310,50 @@ class Live:
         channels = self._table("channel")
         channels = index.resolved_channels(channels, self._schemas()) if channels is not None else None
         stamp = "log_ns" if clock == LOG else "publish_ns"
-        near = messages.filter(F.col(stamp).between(min(p["start_ns"] for p in ready), max(p["end_ns"] for p in ready)))
+        pairs = [(p["trigger_id"], r) for p in ready for r in self._planned(p)]
+        # partitions of the planned recordings only, and of these what lies near the windows
+        near = messages.filter(F.col("recording_id").isin(sorted({r for _, r in pairs})) & F.col(stamp).between(min(p["start_ns"] for p in ready), max(p["end_ns"] for p in ready)))
         found = windows.matches(w, near, clock=clock)
+        named_ = ["topic", "message_encoding", "metadata", "schema"]
         if channels is not None:
-            found = found.join(channels.select("recording_id", "channel_id", "topic", "message_encoding", "metadata", "schema"), ["recording_id", "channel_id"])
+            every = found.join(channels.select("recording_id", "channel_id", *named_), ["recording_id", "channel_id"], "left")
         else:
-            found = found.limit(0).withColumns({"topic": F.lit(None).cast("string"), "message_encoding": F.lit(None).cast("string"), "metadata": F.lit(None).cast("map<string,string>"), "schema": F.lit(None).cast(datasource.CLIP["schema"].dataType)})
-        spans = messages.groupBy("recording_id").agg(F.min(stamp).alias("min_ns"), F.max(stamp).alias("max_ns"))
-        # few windows and one row for each recording: a plain range condition, as spans may be far wider than bins
-        planned = w.hint("broadcast").join(spans, (spans["max_ns"] >= w["start_ns"]) & (spans["min_ns"] <= w["end_ns"]))
+            every = found.withColumns({c: F.lit(None).cast(datasource.CLIP[c].dataType) for c in named_})
+        found = every.filter("topic is not null")
+        skipped = {r["trigger_id"]: r["n"] for r in every.filter("topic is null").groupBy("trigger_id").agg(F.count("*").alias("n")).collect()}  # a row for each trigger
+        planned = self.spark.createDataFrame(pairs, "trigger_id long, recording_id long")
         counted = found.groupBy("trigger_id", "recording_id").agg(F.count("*").alias("messages"))
         named = windows.file_names(w, windows.segments(w, planned, counted))
         body = found.drop("start_ns", "end_ns", "stamp_ns").withColumnRenamed("trigger_id", "of_trigger")
         names = named.select("trigger_id", F.col("recording_id").alias("of_recording"), "segment_no", "filename")
         rows = names.join(body, (F.col("trigger_id") == F.col("of_trigger")) & (F.col("of_recording") == F.col("recording_id")), "left")
-        clips = datasource.write_clips(rows, self.params.out_dir, self.params.compression)
-        covered = self.state.coverage[clock]
-        return [
-            {"name": p["name"], "filenames": [c["path"] for c in sorted(clips, key=lambda c: c["segment_no"]) if c["trigger_id"] == p["trigger_id"]], "description": p["description"], "trigger_time": p["trigger_time"], "preroll_ns": p["preroll_ns"], "status": "covered" if covered >= p["end_ns"] else "grace_cut"}
-            for p in ready
-        ]
+        clips = datasource.write_clips(rows, self.params.out_dir, self.params.compression, cut=name, parallelism=self.params.parallelism)
+        return [self._completion(p, clips, skipped=skipped.get(p["trigger_id"], 0)) for p in ready]
 
     def prune(self, now_ns: int) -> list[int]:
         """Recordings, other than the newest, whose last log time is older than the retention leave the index."""
-        messages = self._table("message")
-        if messages is None:
-            return []
-        last = {r["recording_id"]: r["last"] for r in messages.groupBy("recording_id").agg(F.max("log_ns").alias("last")).collect()}  # a row for each recording
+        last = {int(r): b[1] for r, b in self.state.bounds.items()}
         gone = [r for r, at in last.items() if r != max(last) and at < max(now_ns - self.params.retention_ns, 0)]
         for r in gone:
             for table in INDEX.values():
                 folder = os.path.join(self.work, table)
-                for batch in os.listdir(folder):
+                for batch in self._batches(folder):
                     shutil.rmtree(os.path.join(folder, batch, f"recording_id={r}"), ignore_errors=True)
             path = self.state.paths.pop(str(r), None)
+            del self.state.bounds[str(r)]
+            self.state.damage.pop(str(r), None)
             if self.params.delete_pruned and path and os.path.exists(path):
                 os.unlink(path)
         if gone:
             self._save()
         return gone
 
-    def run(self, seconds: float, on_done=print) -> None:
-        """Scans and cuts for a time; a failed scan ends it with its error."""
+    def run(self, seconds: float, on_done=print, stopped=lambda: False) -> None:
+        """Scans and cuts for a time, or until it is to stop; a failed scan ends it with its error."""
         self.start()
         end = time.monotonic() + seconds
         try:
-            while time.monotonic() < end:
+            while time.monotonic() < end and not stopped():
                 if not self.query.isActive:
                     raise self.query.exception() or RuntimeError("the scan ended")
                 for done in self.step():
@@ -254,3 +361,34 @@ class Live:
                 time.sleep(POLL_S)
         finally:
             self.query.stop()
+
+
+def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    """Runs until a signal or the time is up. Exit codes: 0 for a stop that was asked for, 1 for a failed scan, 2 for wrong settings."""
+    parser = argparse.ArgumentParser(prog="tidemark.streaming.live")
+    parser.add_argument("--work-dir", required=True)
+    parser.add_argument("--seconds", type=float, default=float("inf"))
+    for name, kind in Params.__annotations__.items():
+        parser.add_argument(f"--{name.replace('_', '-')}", type={"int": int, "bool": lambda x: x.lower() in ("1", "true", "yes")}.get(kind, str))
+    given = vars(parser.parse_args(arguments))
+    work, seconds = given.pop("work_dir"), given.pop("seconds")
+    try:
+        params = Params.load(given, dict(os.environ))
+    except ValueError as e:
+        print(e, file=sys.stderr)
+        return 2
+    stop = threading.Event()
+    before = {s: signal.signal(s, lambda *_: stop.set()) for s in (signal.SIGINT, signal.SIGTERM)}
+    try:
+        Live(spark or SparkSession.builder.getOrCreate(), params, work).run(seconds, lambda d: print(json.dumps(d), flush=True), stop.is_set)
+    except Exception as e:
+        print(f"the scan failed: {e}", file=sys.stderr)
+        return 1
+    finally:
+        for s, handler in before.items():
+            signal.signal(s, handler)
+    return 0
+
+
+if __name__ == "__main__":
+    sys.exit(main())

@@ -44,6 +44,45 @@ def test_written_files_read_back(codec):
     assert out.getvalue().endswith(mcap.MAGIC)
 
 
+#: A file written out by hand from the format's description, with nothing of the writer under test: a header, a schema, a
+#: channel, a message, a chunk (stored, its crc 0) with one more, a message index, the end of data, a footer.
+FOREIGN = bytes.fromhex(
+    "894d434150300d0a"
+    "01" "0a00000000000000" "01000000" "70" "01000000" "71"
+    "03" "1200000000000000" "0700" "01000000" "53" "02000000" "6a73" "01000000" "64"
+    "04" "2100000000000000" "0500" "0700" "02000000" "2f78" "04000000" "6a736f6e" "0d000000" "02000000" "6b31" "03000000" "766131"
+    "05" "1800000000000000" "0500" "2a000000" "6400000000000000" "5a00000000000000" "6869"
+    "06" "4800000000000000" "c800000000000000" "c800000000000000" "2000000000000000" "00000000" "00000000" "2000000000000000"
+    "05" "1700000000000000" "0500" "2b000000" "c800000000000000" "be00000000000000" "21"
+    "07" "0600000000000000" "0500" "00000000"
+    "0f" "0400000000000000" "00000000"
+    "02" "1400000000000000" "0000000000000000" "0000000000000000" "00000000"
+    "894d434150300d0a"
+)
+
+
+def test_a_file_of_another_writer():
+    items, state = scan(FOREIGN)
+    assert state.ended and state.fault is None and state.damaged == state.unreadable_chunks == state.runts == 0
+    (schema,), (channel,) = ([i.values for i in items if i.kind == k] for k in ("schema", "channel"))
+    assert (schema["schema_id"], schema["name"], schema["encoding"], schema["data"]) == (7, "S", "js", b"d")
+    assert (channel["channel_id"], channel["schema_id"], channel["topic"], channel["message_encoding"], channel["metadata"]) == (5, 7, "/x", "json", {"k1": "va1"})
+    found = [(i.values["sequence"], i.values["log_ns"], i.values["publish_ns"], i.values["payload"], i.values["chunk_offset"] is None) for i in items if i.kind == "message"]
+    assert found == [(42, 100, 90, b"hi", True), (43, 200, 190, b"!", False)]
+    assert [i.values["opcode"] for i in items if i.kind == "record"] == [1, 3, 4, 5, 6, 7]
+
+
+def test_unchunked_files_hold_plain_records():
+    out = io.BytesIO()
+    w = mcap.Writer(out, "zstd", 0)
+    for k in range(3):
+        w.add(w.channel("/t", "json", None, ("S", "e", b"d")), k, 10 * k, 5 * k, b"x" * k)
+    w.close()
+    items, state = scan(out.getvalue())
+    assert state.ended and [i.values["opcode"] for i in items if i.kind == "record"] == [1, 3, 4, 5, 5, 5]
+    assert [(i.values["log_ns"], i.values["payload"]) for i in items if i.kind == "message"] == [(0, b""), (10, b"x"), (20, b"xx")]
+
+
 def test_records_tile_the_file():
     items, _ = scan(raw(SCHEMA, CHANNEL, msg(1), RUNT, msg(2)))
     at = len(mcap.MAGIC)

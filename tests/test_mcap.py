@@ -50,7 +50,7 @@ FOREIGN = bytes.fromhex(
     "894d434150300d0a"
     "01" "0a00000000000000" "01000000" "70" "01000000" "71"
     "03" "1200000000000000" "0700" "01000000" "53" "02000000" "6a73" "01000000" "64"
-    "04" "2100000000000000" "0500" "0700" "02000000" "2f78" "04000000" "6a736f6e" "0d000000" "02000000" "6b31" "03000000" "766131"
+    "04" "2300000000000000" "0500" "0700" "02000000" "2f78" "04000000" "6a736f6e" "0d000000" "02000000" "6b31" "03000000" "766131"
     "05" "1800000000000000" "0500" "2a000000" "6400000000000000" "5a00000000000000" "6869"
     "06" "4800000000000000" "c800000000000000" "c800000000000000" "2000000000000000" "00000000" "00000000" "2000000000000000"
     "05" "1700000000000000" "0500" "2b000000" "c800000000000000" "be00000000000000" "21"

@@ -91,14 +91,19 @@ def edits(a, b):
     """The places (from 0) of a's paragraphs that b lacks, looked for below the sections of a that b lacks; none if the roots are equal."""
     level = lambda fp, k: F.split(F.element_at(F.split(fp, r"\|"), k), ",")
 
-    def below(s):
-        lost = F.array_except(s["sections"], s["other_sections"])
-        open_ = F.filter(F.sequence(F.lit(0), F.size(s["paragraphs"]) - 1), lambda i: F.array_contains(lost, F.element_at(s["sections"], F.floor(i / SECTION).cast("int") + 1)))
-        found = F.array_except(F.transform(open_, lambda i: F.element_at(s["paragraphs"], i + 1)), s["other_paragraphs"])
-        return F.filter(open_, lambda i: F.array_contains(found, F.element_at(s["paragraphs"], i + 1)))
-
+    # what a lambda's body holds is computed for each element, so each step is bound to a name before the next
+    let = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
     tree = F.struct(level(a, 2).alias("sections"), level(b, 2).alias("other_sections"), level(a, 3).alias("paragraphs"), level(b, 3).alias("other_paragraphs"))
-    return F.when(F.substring(a, 1, 32) == F.substring(b, 1, 32), F.array().cast("array<int>")).otherwise(F.element_at(F.transform(F.array(tree), below), 1))
+
+    def below(s):
+        section = lambda i: F.element_at(s["sections"], F.floor(i / SECTION).cast("int") + 1)
+        paragraph = lambda i: F.element_at(s["paragraphs"], i + 1)
+        places = F.sequence(F.lit(0), F.size(s["paragraphs"]) - 1)
+        inside = lambda lost: F.filter(places, lambda i: F.array_contains(lost, section(i)))
+        edited_ = lambda open_: let(F.array_except(F.transform(open_, paragraph), s["other_paragraphs"]), lambda found: F.filter(open_, lambda i: F.array_contains(found, paragraph(i))))
+        return let(F.array_except(s["sections"], s["other_sections"]), lambda lost: let(inside(lost), edited_))
+
+    return F.when(F.substring(a, 1, 32) == F.substring(b, 1, 32), F.array().cast("array<int>")).otherwise(let(tree, below))
 
 
 def edited(text, following):

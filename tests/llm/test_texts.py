@@ -169,6 +169,18 @@ def test_op2_on_few_words(spark, block):
     assert all(ours[i] == r for (i, _), r in zip(rows, theirs, strict=True))
 
 
+def test_op2_sifts_documents_for_many_blocks():
+    rng = random.Random(6)
+    items = [[(str(k), [b"w%d" % rng.randrange(40) for _ in range(n)]) for k, n in enumerate((3, 15, 40, 0))]]
+    held, sizes = decontam.window_filter(iter(items), 13, 1 << 12)
+    assert sizes == [3, 13]
+    for _, item in items[0]:
+        for size in sizes:
+            for i in range(len(item) - size + 1):
+                at = decontam.window_places([b"x", *item[i : i + size], b"y"], size, 1 << 12).reshape(2, -1)[:, 1]
+                assert size != min(13, len(item)) or all(held[x >> 3] >> (x & 7) & 1 for x in at)
+
+
 def test_op2_edges_and_removal(spark, edges):
     b = spark.createDataFrame([(1, "one"), (2, "")], "item_id long, text string")
     assert sorted(decontam.report(edges, b).toPandas().n_hit) == [0, 0, 0, 0, 0, 1, 1]
@@ -618,3 +630,34 @@ def test_benjamini_hochberg():
     counts = [(8, 0, 100), (8, 80, 3), (9, 10, 5), (8, -1, 50)]
     assert 60 < secrets.limits(counts, 0.01)[8] <= 80 and set(secrets.limits(counts, 0.01)) == {8}
     assert secrets.limits([], 0.01) == {}
+
+
+# very long texts
+
+
+def test_very_long_texts(spark):
+    """A text of some megabytes goes through every operator on documents whole, with the results of its definition."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    line = lambda: " ".join(rng.choice(vocabulary) for _ in range(40)) + ".\n"
+    long_ = "".join(line() for _ in range(6000)) + "password=abcdefghijkl12 " + "".join(line() for _ in range(2000))
+    short = [line() for _ in range(20)]
+    rows = [(0, long_, "xx"), *((k, t, "xx" if k % 2 else "yy") for k, t in enumerate(short, 1))]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    w = words(long_)
+    items = [(1, " ".join(w[-30:])), (2, " ".join(w[100_000:100_020])), (3, "nowhere " * 14)]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert len(long_) > 1_500_000
+    found = decontam.report(d, b).filter("doc_id = 0").first()
+    assert (found.n_words, found.n_hit, found.n_items, found.contaminated) == (len(w), 50, 2, False)
+    assert simhash.report(d).filter("doc_id = 0").first().fingerprint == f"{simhash.fingerprint(long_.encode()):016x}"
+    at = long_.index("password")
+    assert secrets.report(d).filter("doc_id = 0").first().spans == f"assign:{at}:{at + 23}"
+    assert 0 <= langid.report(d).filter("doc_id = 0").first().score <= 1
+    m = merkle.report(d).filter("doc_id = 0").first()
+    assert (m.n_chars, m.fingerprint[:32]) == (len(long_), tree(long_)[0])
+    q = len(long_) // 4
+    assert m.edited_sha256 == hashlib.sha256((long_[: len(long_) - q] + short[0][:q]).encode()).hexdigest() and m.near_edited > 0.7
+    twice = spark.createDataFrame([(0, long_), (1, "q" * 50 + long_[1_000_000:1_000_900] + "z" * 30)], "doc_id long, text string")
+    assert [r.n_removed for r in suffixdedup.report(twice).orderBy("doc_id").collect()] == [900, 900]
+    assert packing.report(d).filter("doc_id = 0").agg(F.sum("length"), F.max("doc_tokens")).first()[0] > 300_000

@@ -8,7 +8,9 @@ to remove, and a document whose share of hit words reaches the coverage limit is
 Words that occur in no item send the automaton to its root, so only runs of known words that are as long as the
 shortest window are walked.
 
-The items are read in blocks of a bounded number of words; each block is one broadcast automaton and one pass.
+The items are read in blocks of a bounded number of words; each block is one broadcast automaton and one pass. Where there
+is more than one block, a first pass holds the documents' windows against a filter of all items' windows, FILTER bits
+that are broadcast, so only documents that may be hit go through the blocks.
 
 Defined results: null or empty texts have no words and are not contaminated. Items without words match nothing.
 An item is an item_id: rows of one id are one item, whatever their texts. Rows of a null item_id are one item too, which
@@ -23,11 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import annotate, column, cut, drop, packed
+from .suffixdedup import _powers, mixed
 
 WINDOW = 13
 #: The least share of hit words, as a fraction.
@@ -35,6 +39,9 @@ COVERAGE = (1, 20)
 #: Words of the items in one broadcast automaton; the bound of what is broadcast.
 BLOCK_WORDS = 200_000
 
+#: Bits of the filter of windows, a power of two; too many items let more documents through, and lose none.
+FILTER = 1 << 27
+
 #: A-Z to lower case; every byte that is neither a digit, a letter nor part of a non-ASCII character to a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -166,6 +173,55 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def window_places(tokens: list[bytes], size: int, bits: int) -> np.ndarray:
+    """Two places in the filter for each window of a size."""
+    n = len(tokens)
+    if not 0 < size <= n:
+        return np.zeros(0, np.int64)
+    _, up, down = _powers(n, 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, n) * up[:n], out=sums[1:])
+    h = mixed((sums[size:] - sums[:-size]) * down[: n - size + 1])
+    shift = np.uint64(64 - (bits.bit_length() - 1))
+    return np.concatenate([h >> shift, mixed(h) >> shift]).astype(np.int64)
+
+
+def window_filter(items: Iterator[list[tuple[str | None, list[bytes]]]], window: int, bits: int) -> tuple[np.ndarray, list[int]]:
+    """The filter of the windows of blocks of items, packed, and the sizes of windows."""
+    held, sizes = np.zeros(bits >> 3, np.uint8), set()
+    for block in items:
+        for _, item in block:
+            if item:
+                sizes.add(size := min(len(item), window))
+                at = window_places(item, size, bits)
+                np.bitwise_or.at(held, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return held, sorted(sizes)
+
+
+def _maybe(rows: DataFrame, text: str, items: Iterator, window: int) -> DataFrame:
+    """Packed rows with n_words and `maybe`, whether a window may occur."""
+    shared = rows.sparkSession.sparkContext.broadcast(window_filter(items, window, FILTER))
+
+    def make():
+        held, sizes = shared.value
+
+        def met(tokens):
+            for size in sizes:
+                at = window_places(tokens, size, FILTER)
+                hit = held[at >> 3] >> (at & 7) & 1
+                if (hit[: len(at) // 2] & hit[len(at) // 2 :]).any():
+                    return True
+            return False
+
+        def work(texts):
+            every = [words(t) for t in texts]
+            return [[len(t) for t in every], [met(t) for t in every]]
+
+        return work
+
+    return annotate(rows, text, make, T.StructType([FOUND["n_words"], T.StructField("maybe", T.BooleanType())]))
+
+
 def blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """The items in blocks of at most block_words words (an item is never split)."""
     held, n = [], 0
@@ -187,7 +243,12 @@ def find(rows: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, text: s
     spark, earlier, out = rows.sparkSession, "", None
     found = blocks(benchmark, item_id, item_text, block_words)
     block, following = next(found), next(found, None)
-    several = following is not None
+    several, passed = following is not None, None
+    if several:
+        sifted, _ = cut(_maybe(rows, text, blocks(benchmark, item_id, item_text, block_words), window), "decontam-sifted")
+        nothing = {f.name: F.lit(0 if f.name in ("n_hit", "n_items", "longest") else None).cast(f.dataType) for f in FOUND} | {"items": F.array().cast("array<string>"), "spans": F.array().cast(SPANS), "n_words": F.col("n_words")}
+        passed = sifted.filter("not maybe").select("row", *[nothing[f.name].alias(f.name) for f in FOUND])
+        rows = sifted.filter("maybe").select("row")
     while block is not None:
         shared = spark.sparkContext.broadcast(Automaton(block, window))
 
@@ -223,7 +284,8 @@ def find(rows: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, text: s
     if clean and several:  # spans are whole only now
         made = packed(out, *out.columns).select(F.struct(F.col("row.row")[text].alias("text"), F.col("row.spans").alias("spans"), F.col("row").alias("found")).alias("row"))
         out = _cleaned(made).select("row.found.*", "body")
-    return out
+        passed = passed.withColumn("body", F.lit(None).cast("string"))
+    return out if passed is None else out.unionByName(passed)
 
 
 def _cleaned(rows: DataFrame) -> DataFrame:

@@ -68,7 +68,9 @@ def test_op1_edges(spark, edges):
     assert set(nobody.lang_pred) == {"und"} and set(nobody.score) == {0.0}
 
 
-def test_op1_backs_off_to_shorter_grams():
+@pytest.mark.parametrize("dense", [0, 1000])
+def test_op1_backs_off_to_shorter_grams(monkeypatch, dense):
+    monkeypatch.setattr(langid, "DENSE", dense)
     m = langid.Model(["a", "b"], [("a", 0, "abc", 9), ("b", 0, "xyz", 9), ("a", 3, "abc", 5), ("b", 2, "xy", 5), ("a", 1, "q", 1)], {})
     of = lambda o, key: m.summed(o, [m.places[o][key]])
     assert np.allclose(of(0, "abc"), np.log([9.5 / 2, 0.5 / 2]))

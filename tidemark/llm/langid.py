@@ -36,6 +36,8 @@ SAMPLE = 4000
 #: Counts of words and n-grams in a model, and its languages: the bounds of what is collected and broadcast.
 KEYS = 2_000_000
 LANGUAGES = 4096
+#: Numbers up to which a model's vectors are written out too, which is the same and faster.
+DENSE = 16_000_000
 ORDERS = (5, 4, 3, 2, 1)
 STEP_BACK = 0.7
 SHARP = 12
@@ -77,8 +79,17 @@ class Model:
             self.edges[o] = np.searchsorted(place[order], np.arange(len(self.places[o]) + 1))
             self.langs[o], self.adds[o] = lang[order].astype(np.int32), np.log(2 * n[order] + 1).astype(np.float32)
 
+        self.whole: dict[int, np.ndarray] = {}
+        if sum(map(len, self.places.values())) * len(self.languages) <= DENSE:
+            for o, found in self.places.items():
+                full = np.tile(self.base[o], (len(found), 1))
+                full[np.repeat(np.arange(len(found)), np.diff(self.edges[o])), self.langs[o]] += self.adds[o]
+                self.whole[o] = full
+
     def summed(self, o: int, places: list[int]) -> np.ndarray:
         """The sum of the vectors of some keys of an order."""
+        if self.whole:
+            return self.whole[o][places[0]] if len(places) == 1 else self.whole[o][places].sum(0)
         out, edges = self.base[o] * np.float32(len(places)), self.edges[o]
         for k in places:
             s, e = edges[k], edges[k + 1]

@@ -1,9 +1,11 @@
+import itertools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import coverage, discovery, index, windows
+from tidemark.plans import queries
 
 MESSAGE = "recording_id long, offset long, log_ns long, publish_ns long, size long, topic string"
 
@@ -44,6 +46,30 @@ def test_the_join_equals_brute_force(spark, width):
     assert inside.count() == sum(min(a for a, _ in spans) <= t <= max(b for _, b in spans) for t in times)
 
 
+def test_clips_come_whole_and_in_file_order(spark):
+    """Each window's rows together, by recording and place, equal to brute force for widths and stamps of any size."""
+    random.seed(4)
+    far = 2**63 - 1
+    spans = [(a := random.randrange(-300, 300), a + random.choice([0, 1, 3, 9, 60, 500])) for _ in range(40)]
+    spans += [(0, far), (-far, far), (far - 5, far), (-far, 5 - far), (10, 9), (-5, 5 << 40)]
+    times = [random.randrange(-400, 800) for _ in range(200)] + [far, -far, far - 1, 1 << 40, None]
+    rows = [(random.randrange(3), t, t, "/t") for t in times]
+    got = windows.clips(window(spark, *spans), messages(spark, rows)).select("trigger_id", "recording_id", "offset", "stamp_ns").rdd.glom().collect()
+    got = [tuple(r) for part in got for r in part]
+    seen = [k for k, _ in itertools.groupby(r[0] for r in got)]
+    assert len(seen) == len(set(seen))
+    want = sorted((k, r, i, t) for k, (a, b) in enumerate(spans) for i, (r, t, _, _) in enumerate(rows) if t is not None and a <= t <= b)
+    assert sorted(got, key=lambda r: r[0]) == want
+    assert windows.clips(window(spark, (0, 9)).limit(0), messages(spark, rows)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["clip_messages"])
+def test_joined_clips_are_not_shuffled(spark, sf, name):
+    """The rows of overlapping windows grow with the square of the input, so only the join's inputs may be."""
+    plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Exchange" not in plan[: plan.index("Join")]
+
+
 def test_overlaps_come_once(spark):
     ranges = spark.createDataFrame([(0, 100, 200), (1, 0, 1000), (2, None, None)], "recording_id long, min_ns long, max_ns long")
     w = window(spark, (200, 500), (0, 100), (201, 500), (0, 99))

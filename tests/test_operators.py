@@ -63,7 +63,7 @@ def test_clips_come_whole_and_in_file_order(spark):
     assert windows.clips(window(spark, (0, 9)).limit(0), messages(spark, rows)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["clip_messages"])
+@pytest.mark.parametrize("name", ["clip_messages", "clip_messages_publish"])
 def test_joined_clips_are_not_shuffled(spark, sf, name):
     """The rows of overlapping windows grow with the square of the input, so only the join's inputs may be."""
     plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()

@@ -109,3 +109,48 @@ def test_crowds_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "CELL", 4)
     test_crowds_across_components(spark)
     test_edited_copies_are_found(spark)
+
+
+def test_local_components_equal_brute_force():
+    """SimHash candidates of cells, small and large: within the size, the Manhattan bound and the Hamming distance."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 64, (6, neardup.WORDS), np.uint64)
+    fp = base[rng.integers(0, 6, 300)]
+    for _ in range(12):
+        fp ^= np.uint64(1) << rng.integers(0, 64, fp.shape, np.uint64)
+    size, cell = rng.integers(90, 130, 300), np.sort(rng.choice([0, 0, 0, 0, 1, 2, 3, 4, 5, 6], 300))
+    assert np.bincount(cell)[0] > neardup.SIDE
+    root = list(range(300))
+    bits = np.unpackbits(fp.astype(">u8").view(np.uint8), axis=1).astype(int)
+    segments = bits.reshape(300, -1, 2).sum(2)
+    for i, j in itertools.combinations(range(300), 2):
+        differ = int((bits[i] != bits[j]).sum())
+        assert int(np.abs(segments[i] - segments[j]).sum()) <= differ
+        if cell[i] == cell[j] and differ <= neardup.DISTANCE and 5 * min(size[i], size[j]) >= 4 * max(size[i], size[j]):
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+    at, head = neardup.company(fp.T.copy(), size, cell)
+    assert dict(zip(at.tolist(), head.tolist(), strict=True)) == {i: r for i, r in enumerate(root) if root.count(r) > 1}
+
+
+def test_similar_sets_share_a_cell_and_a_fingerprint():
+    """Pairs at exactly 0.8, the hardest: of sets of any size 0.98 or more meet in a cell, nearly all within the distance."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    met, close, runs = 0, 0, 300
+    for run in range(runs):
+        n = (9, 18, 45, 180)[run % 4]
+        whole = rng.integers(0, 1 << 64, n + n // 9, np.uint64)
+        a, b = neardup.votes(whole[:n]), neardup.votes(whole[n // 9 :])
+        met += bool({*neardup.bands(whole[:n], a)} & {*neardup.bands(whole[n // 9 :], b)})
+        close += int(((a > 0) != (b > 0)).sum()) <= neardup.DISTANCE
+    assert met >= 0.98 * runs and close >= 0.99 * runs
+    assert neardup.fingerprint(np.array([1] + [-1] * (64 * neardup.WORDS - 1))) == [-(1 << 63)] + [0] * (neardup.WORDS - 1)
+
+
+def test_hot_cells_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "GRID_CELL", 4)
+    test_crowds_across_components(spark)

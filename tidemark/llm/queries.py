@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, htmltext, langid, merkle, packing, secrets, simhash, suffixdedup, urlgraph, warc
+from . import align, chat, decontam, htmltext, langid, lexical, merkle, packing, secrets, simhash, suffixdedup, urlgraph, warc
 from .common import documents, pages
 
 #: (host, path, verdict)
@@ -51,6 +51,21 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(documents(spark, sf_dir))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, a row for each turn, and one record of another layout, whose texts hold control strings."""
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, [("user", said), ("assistant", said)])], "conv_id long, messages array<struct<role: string, content: string>>")
+    return chat.report(spark.read.parquet(f"{sf_dir}/conversations.parquet").unionByName(extra, allowMissingColumns=True))
+
+
+def op12_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.report(documents(spark, sf_dir))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_decontaminate": op2_decontaminate,
@@ -62,6 +77,9 @@ QUERIES = {
     "op8_merkle": op8_merkle,
     "op9_url_graph": op9_url_graph,
     "op10_secrets": op10_secrets,
+    "op11_chat_format": op11_chat_format,
+    "op12_align_tokens": op12_align_tokens,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 #: DuckDB SQL where it can express a query; the others are held against brute force in the tests.
@@ -85,5 +103,27 @@ d AS (SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_byte
   list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT) + CAST(substr(bits, 5 * i + 5, 1) AS INT) + 1 AS INT), 1)), 'string_agg', '') AS payload_digest,
   max(page_id) OVER (PARTITION BY body) AS first FROM b)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d
+""",
+    "op11_chat_format": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, role = 'assistant' AS learned,
+  CASE role WHEN 'user' THEN 13 WHEN 'system' THEN 15 WHEN 'assistant' THEN 7 ELSE 25 + length(regexp_replace(role, '(<<|<|\[)(~*)(/?INST\]|/?s>|/?SYS>>|/?TURN>>|SAYS>>)', '\1~\2\3', 'g')) END
+  + length(regexp_replace(text, '(<<|<|\[)(~*)(/?INST\]|/?s>|/?SYS>>|/?TURN>>|SAYS>>)', '\1~\2\3', 'g')) AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE learned), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE learned), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+""",
+    "op13_lexical_search": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents WHERE text IS NOT NULL),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE text IS NOT NULL),
+s AS (SELECT count(*) AS docs, CAST(sum(len(ws)) AS BIGINT) AS length FROM d WHERE len(ws) > 0),
+p AS (SELECT term, doc_id, any_value(n) AS n, count(*) AS tf FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY term, doc_id),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term),
+c AS (SELECT term, doc_id, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // length))) AS c FROM p JOIN w USING (term), s),
+r AS (SELECT item_id, doc_id, CAST(sum(c) AS BIGINT) AS score FROM c JOIN q USING (term) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50
 """,
 }

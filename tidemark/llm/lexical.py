@@ -4,12 +4,13 @@ A posting is (term, document, contribution): what the term adds to the document'
 falling contribution and dealt by range of both, so each list stands in order and a list that a third of all documents
 are in is cut into several ranges. The rounds, for all items of a block at once:
 
-1. heads: the HEAD largest contributions of each list. Summed by item and document they give scores that documents have
-   at least; the k-th largest is the item's bound.
+1. heads: the HEAD largest contributions of each list, summed by item and document. The k documents of the largest sums
+   are looked up; the least of their scores, which k documents reach, is the item's bound.
 2. one threshold for every list of an item: the largest T for which a document whose contributions all lie under T
-   stays under the bound. Postings from T on are fetched, each once for all items of the block, dealt by document and
-   summed inside the tasks. A document whose sum and what its other lists could still give (less than T each, no more
-   than the list's largest) stay under the k-th largest sum is out.
+   stays under the share ALPHA of the bound. With all of the bound any document with a posting from T on could still
+   reach it; what a smaller T fetches more spares many lookups. Postings from T on are fetched, each once for all items
+   of the block, dealt by document and summed inside the tasks. A document whose sum and what its other lists could still give (less than T each, no more
+   than the list's largest) stay under the bound, or under the k-th largest sum, is out.
 3. lookup: the postings under T of the documents that are left, by term and document, make their scores exact.
 
 All three bounds are strict, so documents that tie with the k-th stay and no document of the result is lost. Items are
@@ -43,6 +44,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 K = 50
 #: Postings of a list's head; at least k.
 HEAD = 200
+#: Share of an item's bound that its threshold leaves to documents that aren't fetched, one in ALPHA.
+ALPHA = 8
 #: Terms of the items of a block, about.
 BLOCK = 100_000
 #: Terms that tokenizing tasks are given to sift by; with more of them Spark joins.
@@ -153,12 +156,13 @@ class Plan:
         terms = sorted({r["term"] for r in rows})
         place = {t: k for k, t in enumerate(terms)}
         self.terms, self.items = terms, sorted({r["item"] for r in rows})
+        self.bounds = bounds
         self.lists: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
         lists: dict[int, list] = {}
         for r in rows:
             lists.setdefault(r["item"], []).append((place[r["term"]], r["most"]))
         for item, found in lists.items():
-            t = threshold(bounds.get(item, 0), np.array([m for _, m in found], np.int64))
+            t = threshold(bounds.get(item, 0) // ALPHA, np.array([m for _, m in found], np.int64))
             self.lists[item] = np.array([p for p, _ in found]), np.array([min(m, t - 1) for _, m in found], np.int64), t
         self.least = np.full(len(terms), np.iinfo(np.int64).max)
         for found, _, t in self.lists.values():
@@ -182,7 +186,7 @@ def _sums(plan: Plan, k: int, doc_type):
                 high = low + np.searchsorted(-c[low:high], -t, side="right")
                 sums[doc[low:high]] += c[low:high]
                 could[doc[low:high]] -= most
-            met = np.flatnonzero(sums)
+            met = np.flatnonzero((sums > 0) & (sums + could >= plan.bounds.get(item, 0)))
             if len(met) > k:  # the k-th largest of these documents is no more than that of all
                 least = np.partition(sums[met], len(met) - k)[len(met) - k]
                 met = met[sums[met] + could[met] >= least]
@@ -222,8 +226,10 @@ def searched(index: DataFrame, terms: DataFrame, k: int = K) -> DataFrame:
     heads, heads_path = cut(best(index.join(wanted, "term", "left_semi"), "term", max(HEAD, k), F.desc("c"), "row").select("term", "c", "row"), "lexical-heads")
     lists = terms.join(heads.groupBy("term").agg(F.max("c").alias("most")), "term").select("item", "term", "most").collect()  # a block's terms
     reached = terms.join(heads, "term").groupBy("item", "row").agg(F.sum("c").alias("sum"))
-    plan = Plan(lists, {r["item"]: r["bound"] for r in bound(reached, k).collect()})  # a row for each item
-    drop(spark, heads_path)
+    first, first_path = cut(best(reached, "item", k, F.desc("sum"), "row").select("item", "row").join(terms, "item"), "lexical-first")
+    scores = index.select("term", "row", "c").join(first, ["term", "row"]).groupBy("item", "row").agg(F.sum("c").alias("sum"))
+    plan = Plan(lists, {r["item"]: r["bound"] for r in bound(scores, k).collect()})  # a row for each item
+    drop(spark, heads_path, first_path)
     marks = spark.createDataFrame([(t, p, int(plan.least[p])) for p, t in enumerate(plan.terms)], "term string, list int, least long")
     fetched = index.join(marks, "term").filter("c >= least").select("list", "c", "row", "doc_id").repartition("row").sortWithinPartitions("row")
     run, schema = _sums(plan, k, index.schema["doc_id"].dataType)

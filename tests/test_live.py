@@ -168,7 +168,7 @@ def test_admission_refuses_and_frees(spark, tmp_path):
     assert [live.submit(TRIGGER) for _ in range(3)] == [None, None, "busy"]
     assert live.submit(TRIGGER | {"name": "a/b"}) == "separator" and live.submit(TRIGGER | {"trigger_time": {"sec": 1, "nanosec": 0}}) == "trigger_time"
     live.state.pending.pop()
-    assert live.submit(TRIGGER) is None and len(live.state.refused) == 3
+    assert live.submit(TRIGGER) is None and live.state.refused == {"busy": 1, "separator": 1, "trigger_time": 1}
 
 
 def test_a_bad_trigger_stops_no_other(spark, tmp_path, monkeypatch):
@@ -228,9 +228,9 @@ def test_a_crash_makes_no_clip_twice(spark, tmp_path, monkeypatch, crash):
 
 
 def test_batches_are_merged_and_unknown_channels_counted(spark, tmp_path, monkeypatch):
-    from tidemark.streaming import live as module
+    from tidemark.streaming import snapshots
 
-    monkeypatch.setattr(module, "MERGE", 3)
+    monkeypatch.setattr(snapshots, "MERGE", 3)
     folder = tmp_path / "rec"
     folder.mkdir()
     out = io.BytesIO()
@@ -248,8 +248,10 @@ def test_batches_are_merged_and_unknown_channels_counted(spark, tmp_path, monkey
             live.query.processAllAvailable()
     finally:
         live.query.stop()
-    assert live.state.bounds == {"0": [10, 50, 10, 50]} and live.state.damage == {"0": [1, 0]}
-    assert len(live._batches(str(tmp_path / "work" / "messages"))) <= 4
+    assert live.state.bounds == {"0": [10, 50, 10, 50]}
+    live.index.merge(spark, "scan", live.state.batch)
+    files = [e for e in live.index.entries if e.table == "messages"]
+    assert len(files) <= 4 and max(e.level for e in files) >= 1 and sorted(os.listdir(tmp_path / "work" / "index" / "messages")) == sorted(f"file={e.file}" for e in files)
     live.submit(TRIGGER, log_ns=30, publish_ns=30, now_ns=60)
     (done,) = live.step(60)
     assert (done["messages"], done["bytes"], done["records_skipped"], done["chunks_dropped"]) == (5, 15, 2, 0)

@@ -47,6 +47,10 @@ class Params:
     trigger_topic: str = TRIGGER_TOPIC
     #: Tasks that write clips at a time; 0 leaves it to Spark.
     parallelism: int = 0
+    #: A folder of live triggers, read as it fills; empty: none.
+    inbox: str = ""
+    #: Seconds without a sign of life after which a scan counts as hung; an idle one gives one every 10 s.
+    stall_s: int = 600
 
     def __post_init__(self):
         for field, allowed in (("time_source", CLOCKS), ("compression", CODECS), ("trigger_source", ("live", "recorded"))):

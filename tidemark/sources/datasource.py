@@ -4,8 +4,11 @@ Read options: path (a folder or file that every node reaches), table (messages,
 union of the four with a kind column), with_payload (default true), ranges (JSON list of [recording_id, path, start, end]:
 byte ranges on record boundaries, such as planned extents; only these are read, and a range whose records don't end
 where it does is an error). A file is one partition, scanned in order; recorders
-roll their files over, which bounds a partition. Streaming offsets hold the files in the order of their discovery and
-the end of each one's last complete record; a later file is only begun once the earlier ones are read.
+roll their files over, which bounds a partition. Streaming offsets hold the files on disk in the order of their
+discovery and the end of each one's last complete record; a later file is only begun once the earlier ones are read. A
+recording's number is given once and never again: a file that is gone leaves the offsets, and another one that gets its
+inode is told from it, if not by its absence in between, by its size or its first bytes. With the option `state`, a path,
+the numbers outlive a restart on any set of files; without it they are given anew then, to the files there are.
 
 Written rows: trigger_id, segment_no, filename, topic, message_encoding, metadata, schema, sequence, log_ns, publish_ns,
 payload, dealt by clip and in file order (`clip_rows` does that); a row without a topic makes an empty clip. Options:
@@ -19,7 +22,7 @@ import os
 import time
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +57,7 @@ class Part(InputPartition):
     start: int
     end: int | None
     strict: bool = False
+    head: list[int] | None = None
 
 
 def _reader(path: str):
@@ -114,69 +118,140 @@ class _Batch(DataSourceReader):
         return rows(partition, self.table, self.with_payload)
 
 
+@dataclass
+class Known:
+    """A recording that a stream knows. head: how many of its first bytes were seen, and their checksum."""
+
+    recording_id: int
+    path: str
+    device: int
+    inode: int
+    at: int = len(mcap.MAGIC)
+    ended: bool = False
+    head: list[int] = field(default_factory=lambda: [0, 0])
+
+    def is_other(self, f: files.Found) -> bool:
+        """Whether the file with this identity is another one, which was given the inode of one that is gone."""
+        try:
+            return f.size < max(self.at if self.at > len(mcap.MAGIC) else 0, self.head[0]) or files.head(f.path, self.head[0]) != self.head
+        except FileNotFoundError:
+            return True
+
+
 class _Stream(DataSourceStreamReader):
-    """Offsets: [[path, device, inode, byte, ended], ...] in the order of discovery, as JSON text under `files`."""
+    """Offsets: the next recording's number and the known files in the order of discovery, as JSON text."""
 
     def __init__(self, options: dict):
         self.path, self.table, self.with_payload = options["path"], options.get("table", "all"), options.get("with_payload", "true") == "true"
         self.from_start = options.get("startingOffsets", "earliest") == "earliest"
-        self.known: list[list] | None = None
-        self.faults: dict[str, tuple[int, float]] = {}
+        self.state = options.get("state")
+        self.known: list[Known] | None = None
+        self.next = 0
+        #: Path and change time at which a file's first bytes were last looked at, by recording.
+        self.looked: dict[int, tuple] = {}
+        self.faults: dict[int, tuple[int, float]] = {}
+
+    @staticmethod
+    def _read(offset: dict) -> list[Known]:
+        return [Known(**x) for x in json.loads(offset["files"])]
+
+    def _offset(self) -> dict:
+        return {"next": self.next, "files": json.dumps([asdict(x) for x in self.known or []])}
+
+    def _take(self, offset: dict) -> None:
+        self.next, self.known = int(offset["next"]), self._read(offset)
 
     def initialOffset(self) -> dict:
         """Nothing read yet; unless reading from the start, files older than the newest count as ended."""
-        found = files.listed(self.path)
-        skipped = [] if self.from_start else found[:-1]
-        self.known = [[f.path, f.device, f.inode, len(mcap.MAGIC), True] for f in skipped]
-        return {"files": json.dumps(self.known)}
+        self.next, self.known = 0, []
+        self._meet(files.listed(self.path))
+        if self.from_start:
+            self.next, self.known = 0, []
+        else:
+            self.known = [replace(x, ended=True) for x in self.known[:-1]]
+            self.next = len(self.known)
+        return self._offset()
+
+    def _meet(self, found: list[files.Found]) -> None:
+        """Forgets the files that are gone, follows renamed ones and takes up new ones, the oldest first."""
+        there = {f.identity: f for f in found}
+        kept = []
+        for x in self.known or []:
+            if (f := there.get((x.device, x.inode))) is None:
+                continue
+            if self.looked.get(x.recording_id) != (f.path, f.ctime_ns):
+                if x.is_other(f):
+                    continue
+                x.path = f.path
+                self.looked[x.recording_id] = (f.path, f.ctime_ns)
+            kept.append(x)
+        mine = {(x.device, x.inode) for x in kept}
+        for f in found:
+            if f.identity not in mine:
+                kept.append(Known(self.next, f.path, *f.identity))
+                self.next += 1
+        self.known = kept
+        ids = {x.recording_id for x in kept}
+        self.looked = {k: v for k, v in self.looked.items() if k in ids}
+        self.faults = {k: v for k, v in self.faults.items() if k in ids}
 
     def latestOffset(self) -> dict:
-        known = [list(x) for x in self.known or []]
-        seen = {(x[1], x[2]) for x in known}
-        known += [[f.path, f.device, f.inode, len(mcap.MAGIC), False] for f in files.listed(self.path) if f.identity not in seen]
-        for k, entry in enumerate(known):
-            path, device, inode, at, ended = entry
-            if ended:
+        if self.known is None and self.state and (saved := _lines(self.state)):
+            self._take(saved[0])
+        before = self._offset()
+        self._meet(files.listed(self.path))
+        for k, x in enumerate(self.known):
+            if x.ended:
                 continue
-            if time.monotonic() < self.faults.get(path, (0, 0.0))[1]:
+            if time.monotonic() < self.faults.get(x.recording_id, (0, 0.0))[1]:
                 break
-            if files.changed(path, (device, inode)):
-                entry[4] = True
+            try:
+                fd, read_at = _reader(x.path)
+            except FileNotFoundError:  # it leaves with the next look
                 continue
-            fd, read_at = _reader(path)
             try:
-                state = mcap.Scan(at)
+                state = mcap.Scan(x.at)
                 mcap.frames(read_at, os.fstat(fd).st_size, state)  # headers only: the tasks read the bodies
+                if x.head[0] < files.HEAD:
+                    x.head = files.head(x.path)
             finally:
                 os.close(fd)
-            if state.fault is None or state.offset > at:
-                self.faults.pop(path, None)
+            if state.fault is None or state.offset > x.at:
+                self.faults.pop(x.recording_id, None)
             if state.fault is not None:
-                n = self.faults.get(path, (0, 0.0))[0] + 1
+                n = self.faults.get(x.recording_id, (0, 0.0))[0] + 1
                 if n >= FAULTS:
                     raise state.fault
-                self.faults[path] = (n, time.monotonic() + min(0.2 * 2 ** (n - 1), 3.2))
-            entry[3] = state.offset
+                self.faults[x.recording_id] = (n, time.monotonic() + min(0.2 * 2 ** (n - 1), 3.2))
             # a file ends at its end of data, or when a newer one is there and it grows no more
-            entry[4] = state.ended or state.offset == at and k + 1 < len(known)
-            if not entry[4]:
+            x.ended = state.ended or state.offset == x.at and k + 1 < len(self.known)
+            x.at = state.offset
+            if not x.ended:
                 break  # strictly one after the other
-        self.known = known
-        return {"files": json.dumps(known)}
+        now = self._offset()
+        if self.state and now != before:
+            _durable(self.state, [now])
+        return now
 
     def partitions(self, start: dict, end: dict) -> list[Part]:
-        before = {(x[1], x[2]): x[3] for x in json.loads(start["files"])}
+        before = {x.recording_id: x.at for x in self._read(start)}
         if self.known is None:
-            self.known = json.loads(end["files"])
+            self._take(end)
         parts = []
-        for k, (path, device, inode, to, _) in enumerate(json.loads(end["files"])):
-            from_ = before.get((device, inode), len(mcap.MAGIC))
-            if to > from_:
-                parts.append(Part(k, path, from_, to))
+        for x in self._read(end):
+            from_ = before.get(x.recording_id, len(mcap.MAGIC))
+            if x.at > from_:
+                parts.append(Part(x.recording_id, x.path, from_, x.at, head=x.head))
         return parts
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        return rows(partition, self.table, self.with_payload)
+        """The rows of a part; none if its recording is gone or another file stands in its place, as it can't be read again."""
+        try:
+            if files.head(partition.path, partition.head[0]) != partition.head:
+                return
+            yield from rows(partition, self.table, self.with_payload)
+        except FileNotFoundError:
+            return
 
     def commit(self, end: dict) -> None:
         pass

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 EXTENSION = ".mcap"
+#: Bytes at a file's beginning that tell it from another one with its identity.
+HEAD = 4096
 
 
 @dataclass(frozen=True, order=True)
@@ -17,6 +20,8 @@ class Found:
     path: str
     device: int
     inode: int
+    size: int = field(default=0, compare=False)
+    ctime_ns: int = field(default=0, compare=False)
 
     @property
     def identity(self) -> tuple[int, int]:
@@ -33,7 +38,7 @@ def listed(folder: str) -> list[Found]:
         except FileNotFoundError:
             continue
         if os.path.isfile(path):
-            out.append(Found(s.st_mtime_ns, path, s.st_dev, s.st_ino))
+            out.append(Found(s.st_mtime_ns, path, s.st_dev, s.st_ino, s.st_size, s.st_ctime_ns))
     return sorted(out)
 
 
@@ -72,3 +77,10 @@ def changed(path: str, identity: tuple[int, int]) -> bool:
     except FileNotFoundError:
         return True
     return (s.st_dev, s.st_ino) != identity
+
+
+def head(path: str, size: int = HEAD) -> list[int]:
+    """How many bytes were read of a file's beginning, at most `size`, and their checksum."""
+    with open(path, "rb") as f:
+        data = f.read(size)
+    return [len(data), zlib.crc32(data)]

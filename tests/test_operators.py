@@ -46,8 +46,28 @@ def test_the_join_equals_brute_force(spark, width):
     assert inside.count() == sum(min(a for a, _ in spans) <= t <= max(b for _, b in spans) for t in times)
 
 
-def test_clips_come_whole_and_in_file_order(spark):
-    """Each window's rows together, by recording and place, equal to brute force for widths and stamps of any size."""
+@pytest.fixture
+def conf(spark):
+    """Sets the session's settings until the test is over."""
+    before = {}
+
+    def put(**values):
+        for k, v in values.items():
+            k = "spark.sql." + k.replace("_", ".")
+            before.setdefault(k, spark.conf.get(k, None))
+            spark.conf.set(k, str(v))
+
+    yield put
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("least", [windows.LEAST_PAIRS, 0])
+def test_clips_come_whole_and_in_file_order(spark, monkeypatch, conf, least):
+    """Each window's rows together, by recording and place, equal to brute force for widths and stamps of any size; with
+    and without split cells, under adaptive plans that would split or reorder any skewed side of a join that lets them."""
+    monkeypatch.setattr(windows, "LEAST_PAIRS", least)
+    conf(adaptive_enabled="true", adaptive_skewJoin_enabled="true", adaptive_skewJoin_skewedPartitionThresholdInBytes="1KB", adaptive_skewJoin_skewedPartitionFactor="1.1", adaptive_advisoryPartitionSizeInBytes="1KB")
     random.seed(4)
     far = 2**63 - 1
     spans = [(a := random.randrange(-300, 300), a + random.choice([0, 1, 3, 9, 60, 500])) for _ in range(40)]
@@ -63,6 +83,31 @@ def test_clips_come_whole_and_in_file_order(spark):
     assert windows.clips(window(spark, (0, 9)).limit(0), messages(spark, rows)).count() == 0
 
 
+def test_a_hot_moment_is_joined_in_all_tasks(spark, monkeypatch, conf):
+    """Messages of one second in 200 windows, beside others: 16 tasks with about equal work, and whole clips in order."""
+    monkeypatch.setattr(windows, "LEAST_PAIRS", 1000)
+    conf(shuffle_partitions=16)
+    n, at = 2000, 10**9
+    rows = spark.range(n + 200).select(F.col("id").alias("offset"), F.pmod("id", F.lit(3)).alias("recording_id"), F.when(F.col("id") < n, at + F.pmod(F.col("id") * 7919, F.lit(1000))).otherwise(F.col("id") * 10**10).alias("log_ns"))
+    m = rows.withColumn("publish_ns", F.col("log_ns"))
+    spans = [(at - k * 1000, at + 1_000_000 - k) for k in range(200)] + [(k * 10**10, k * 10**10 + 500_000) for k in range(2000, 2100)]
+    got = windows.clips(window(spark, *spans), m).select("trigger_id", "recording_id", "offset").rdd.glom().collect()
+    sizes = sorted(len(part) for part in got)
+    assert len(sizes) == 16 and sum(sizes) == 200 * n + 100 and sizes[-1] < 1.3 * sizes[8]
+    rows = [tuple(r) for part in got for r in part]
+    clips = [[x[1:] for x in group] for _, group in itertools.groupby(rows, key=lambda r: r[0])]
+    assert len(clips) == 300 and all(c == sorted(c) for c in clips) and {len(c) for c in clips} == {1, n}
+
+
+def test_hot_cells_are_bounded_in_number(spark, monkeypatch):
+    monkeypatch.setattr(windows, "LEAST_PAIRS", 0)
+    timed = spark.createDataFrame([(k, 0, 0, 0, k % 50) for k in range(500)], "trigger_id long, start_ns long, end_ns long, level int, cell long")
+    cells = spark.range(5000).select(F.lit(0).alias("level"), F.pmod("id", F.lit(50)).alias("cell"))
+    hot = windows._hot(timed, cells, 4)
+    assert len(hot) <= windows.PARTS * 4 and sum(r["groups"] for r in hot) <= 2 * windows.PARTS * 4
+    assert len(windows._hot(timed, cells, 100)) == 50
+
+
 @pytest.mark.parametrize("name", ["clip_messages", "clip_messages_publish"])
 def test_joined_clips_are_not_shuffled(spark, sf, name):
     """The rows of overlapping windows grow with the square of the input, so only the join's inputs may be."""

@@ -7,6 +7,8 @@ width, no pair appears twice, and Spark picks broadcast or sort-merge (with skew
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,10 @@ BIN_NS = 4 * MINUTE
 MOST_BINS = 64
 #: Widths of windows, as powers of two, that share the cells of one level.
 CELL_POWERS = 4
+#: Pairs of windows and messages in cells under which no cell is split.
+LEAST_PAIRS = 1_000_000
+#: Parts of the pairs' number, for each task, over which a cell counts as hot; a split cell's groups are about one such part.
+PARTS = 4
 
 
 def with_windows(triggers: DataFrame, *, clock: str = LOG, anchor: Column | None = None) -> DataFrame:
@@ -57,6 +63,52 @@ def in_file_order(clip: DataFrame) -> DataFrame:
     return clip.repartition("trigger_id").sortWithinPartitions("trigger_id", "recording_id", "offset")
 
 
+def _hot(timed: DataFrame, cells: DataFrame, tasks: int) -> list:
+    """Hot cells: level, cell, windows, groups and messages. cells: level and cell of every row of a message.
+
+    A cell's pairs are its windows times its messages. Each hot one has over 1 / (PARTS * tasks) of all pairs, so there are
+    at most PARTS * tasks of them, with at most twice as many groups.
+    """
+    by = ["level", "cell"]
+    counted = timed.groupBy(*by).agg(F.count("*").alias("windows")).join(cells.groupBy(*by).agg(F.count("*").alias("messages")), by)
+    pairs = counted.select(*by, "windows", "messages", (F.col("windows").cast("double") * F.col("messages")).alias("pairs")).persist()
+    try:
+        total = pairs.agg(F.sum("pairs")).first()[0] or 0.0
+        if total < LEAST_PAIRS:
+            return []
+        part = total / (PARTS * tasks)
+        groups = F.least(F.col("windows"), F.ceil(F.col("pairs") / part)).cast("int").alias("groups")
+        return pairs.filter(F.col("pairs") > part).select(*by, "windows", groups, "messages").collect()
+    finally:
+        pairs.unpersist()
+
+
+def _dealt(timed: DataFrame, hot: list, tasks: int) -> tuple[DataFrame, DataFrame]:
+    """Windows with group and spin, and the groups of hot cells with the times from low to high that they need.
+
+    A hot cell's windows are cut at quantiles of their starts into groups, and the largest group left goes to the task with
+    the least pairs. Tasks are chosen by the hash of level, cell, group and spin, so spin is the first number whose hash is the wanted task.
+    """
+    spark = timed.sparkSession
+    by = ["level", "cell"]
+    marks = F.broadcast(spark.createDataFrame([tuple(r) for r in hot], "level int, cell long, windows long, groups int, messages long"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("start_ns", "trigger_id")) - 1
+    inside = timed.join(marks, by).withColumn("group", (1 + F.call_function("div", place * F.col("groups"), F.col("windows"))).cast("int")).drop("windows", "groups")
+    found = inside.groupBy(*by, "group").agg(F.min("start_ns").alias("low"), F.max("end_ns").alias("high"), F.sum("messages").alias("pairs")).collect()
+    inside = inside.drop("messages")
+    load, dealt = [(0, k) for k in range(tasks)], []
+    for r in sorted(found, key=lambda r: (-r["pairs"], r[:3])):
+        least, task = heapq.heappop(load)
+        heapq.heappush(load, (least + r["pairs"], task))
+        dealt.append((*r[:5], task))
+    numbered = spark.createDataFrame(dealt, "level int, cell long, group int, low long, high long, task int")
+    fits = F.filter(F.sequence(F.lit(0), F.lit(20 * tasks)), lambda j: F.pmod(F.hash("level", "cell", "group", j), F.lit(tasks)) == F.col("task"))
+    groups = numbered.withColumn("spin", F.coalesce(F.try_element_at(fits, F.lit(1)), F.lit(0))).drop("task")
+    split = inside.join(F.broadcast(groups.select(*by, "group", "spin")), [*by, "group"])
+    whole = timed.join(marks, by, "left_anti").withColumns({"group": F.lit(0), "spin": F.lit(0)})
+    return split.select(*whole.columns).unionByName(whole), groups
+
+
 def clips(windows: DataFrame, messages: DataFrame, *, clock: str = LOG) -> DataFrame:
     """The rows of matches, each window's together and in file order as in in_file_order; no row is moved once it is joined.
 
@@ -64,6 +116,10 @@ def clips(windows: DataFrame, messages: DataFrame, *, clock: str = LOG) -> DataF
     message goes to its own cell and the one before, in file order, and a merge join gives every window its cell's messages
     in that order. Cells come in levels by the widths of the given windows (one small aggregate), so wide windows don't
     make narrow ones see many messages, and a message has two rows for each level in use.
+
+    Where a cell holds many of all pairs of windows and messages, its windows are cut into groups by their starts, each
+    with the messages between its first start and last end, and groups are dealt evenly to the tasks: a hot moment that many
+    windows hold is joined in all tasks, and a clip still stays whole. Only a message's copies grow, with the groups.
     """
     power = F.ceil(F.log2((F.col("end_ns").cast("double") - F.col("start_ns").cast("double")) * (1 + 1e-9) + 2)).cast("int")
     timed = windows.filter("start_ns <= end_ns").select("trigger_id", "start_ns", "end_ns", power.alias("power"))
@@ -85,7 +141,13 @@ def clips(windows: DataFrame, messages: DataFrame, *, clock: str = LOG) -> DataF
     every = F.explode(F.array(*[place(level, c) for level in levels for c in cells(F.col("stamp_ns"), level)]))
     stamped = messages.withColumn("stamp_ns", stamp(clock)).filter("stamp_ns is not null")
     right = stamped.select("*", every.alias("at")).select(*stamped.columns, "at.level", "at.cell")
-    by, tasks = ["level", "cell"], int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if hot := _hot(left, right.select("level", "cell"), tasks):
+        left, groups = _dealt(left, hot, tasks)
+        right = right.join(F.broadcast(groups), ["level", "cell"], "left").filter("low is null or stamp_ns between low and high").drop("low", "high").na.fill(0, ["group", "spin"])
+    else:
+        left, right = (x.withColumns({"group": F.lit(0), "spin": F.lit(0)}) for x in (left, right))
+    by = ["level", "cell", "group", "spin"]
     # the number keeps the optimizer from dropping the sort, which it takes for useless below a join
     right = right.repartition(tasks, *by).sortWithinPartitions(*by, "recording_id", "offset").withColumn("nth", F.monotonically_increasing_id())
     left = left.repartition(tasks, *by).hint("merge")

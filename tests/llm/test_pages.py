@@ -131,6 +131,33 @@ def test_op7_takes_time_in_proportion(page):
     assert took(40_000) < 12 * max(took(8000), 0.05)
 
 
+@pytest.mark.parametrize("page", ["<a" + "a" * 1_000_000, "<a" + "\"'" * 500_000 + "<", "<a " + "\"'" * 500_000 + "<", "<a b='" * 200_000, "<a b=\"" * 200_000 + ">", "<" * 1_000_000, "</" * 500_000, "<!--" * 250_000, "<a" + " b" * 500_000, "<a" + " b=" * 300_000 + "<p>x", "<![CDATA[" * 100_000, "<script" * 150_000, "<script>" * 150_000, "&" * 1_000_000, "<p " + "=" * 1_000_000 + ">x"])
+def test_op7_ends_on_unfinished_markup(page):
+    """A megabyte of tags, quotes and comments that never end takes seconds."""
+    import time
+
+    start = time.perf_counter()
+    htmltext.extract(page)
+    assert time.perf_counter() - start < 20
+
+
+def test_op7_ratios_decide_where_no_mark_does(monkeypatch):
+    """Equal priors everywhere: only the lengths and punctuation along a path part the text from what stands around it."""
+    body = "".join(f"<p>{LONG} {k}</p>" for k in range(5))
+    page = f"<body><div><b>Home</b></div><div><i>Menu of things</i></div><section><h4>Title</h4>{body}</section><div><i>All rights</i></div></body>"
+    want = [f"{LONG} {k}" for k in range(5)]
+    got = htmltext.extract(page).split("\n\n")
+    assert got[-5:] == want and not {"Home", "Menu of things", "All rights"} & set(got)
+    true = htmltext.ratios
+    monkeypatch.setattr(htmltext, "ratios", lambda p: dict.fromkeys(true(p), 1.0))
+    assert "Home" in htmltext.extract(page)
+    monkeypatch.setattr(htmltext, "ratios", true)
+    monkeypatch.setattr(htmltext, "LAMBDA", 0.001)
+    assert "Home" in htmltext.extract(page)
+    monkeypatch.setattr(htmltext, "LAMBDA", 3.0)
+    assert htmltext.extract(page) == ""
+
+
 @pytest.mark.parametrize(("page", "text"), [("", ""), ("plain text", "plain text"), ("<p>x<td", "x"), ("<div>a</div><div>b.<scr", "a\n\nb."), ("a < b & c &lt; d", "a < b & c < d"), ("<p>x</p><!-- open", "x"), ("<p title='a>b'>x", "x"), ('<p title="open>x</p>', "x"), ("<script>alert(1)", ""), ("</p></div>x", "x")])
 def test_op7_odd_pages(page, text):
     assert htmltext.extract(page) == text

@@ -92,11 +92,14 @@ def base_spans(text: bytes) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: bytes, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    found = []
+    """Tokens that touch no base span; both lists stand in order, so each is walked once."""
+    found, at, reach = [], 0, 0
     for m in TOKEN.finditer(text):
         a, b = m.span()
-        classes = {int(_CLASS[c]) for c in m[0]} - {4}
-        if len(classes) > 1 and not any(s < b and a < e for s, _, e in base):
+        while at < len(base) and base[at][0] < b:
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= a and len({int(_CLASS[c]) for c in m[0]} - {4}) > 1:
             found.append((a, b))
     return found
 

@@ -120,7 +120,7 @@ class Automaton:
         return copy
 
     def walk(self, run: list[int], found: list[tuple[int, int]], items: set[int], base: int) -> int:
-        """Streams known words; adds hit intervals, [start, end), and items, and returns the longest matching length."""
+        """Streams known words; adds hit intervals, [start, end), and items, and returns the longest stretch of an item that has a hit."""
         step, link, size, short, window = self.step, self.link, self.size, self.short, self.window
         v = length = longest = 0
         for i, c in enumerate(run, base + 1):
@@ -130,8 +130,8 @@ class Automaton:
             if c in step[v]:
                 v = step[v][c]
                 length += 1
-            longest = max(longest, length)
             if length >= window:
+                longest = max(longest, length)
                 found.append((i - window, i))
                 u = v
                 while size[link[u]] >= window:
@@ -140,13 +140,14 @@ class Automaton:
             u = short[v]
             while u:
                 if size[u] <= length:
+                    longest = max(longest, size[u])
                     found.append((i - size[u], i))
                     items.update(self.whole[u])
                 u = short[link[u]]
         return longest
 
     def search(self, tokens: list[bytes]) -> tuple[list[tuple[int, int]], set[int], int]:
-        """Merged hit spans in words, the items with occurring windows, and the longest matching length walked."""
+        """Merged hit spans in words, the items with occurring windows, and the longest stretch of an item that has a hit."""
         found: list[tuple[int, int]] = []
         items: set[int] = set()
         longest, n, get = 0, len(tokens), self.vocabulary.get
@@ -238,6 +239,8 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> I
 def find(rows: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS, clean: bool = False) -> DataFrame:
     """Packed rows with n_words, n_hit, items (ids, sorted as strings), n_items, longest and spans (in words, merged).
 
+    longest: the length of the longest stretch, of a window or more, that the text shares with an item, 0 without a hit.
+    Like all else it doesn't depend on block_words.
     clean: adds `body`, the text without the spans, null where it has none.
     """
     spark, earlier, out = rows.sparkSession, "", None

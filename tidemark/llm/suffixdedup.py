@@ -45,6 +45,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import column, cut, drop, packed, prepare
 
 LENGTH = 400
+#: A name is hot if it has over one in HOT of the rows that a task has on average.
+HOT = 4
 #: Positions of a text that are held as names at a time.
 BLOCK = 1 << 20
 #: Bytes of candidate documents in one unit.
@@ -232,6 +234,19 @@ def _shared(found: list[dict]) -> np.ndarray:
     return np.unique(_known(a, b, f))
 
 
+def _flagged(left: DataFrame, names: DataFrame, by: list[str], flag: str, rows: int) -> DataFrame:
+    """left with a flag, true for the rows whose name is in names (by and n, its number of rows) and null for others.
+
+    A name that many rows have is met where they are: those of over 1 / (HOT * tasks) of the rows are fewer than
+    HOT * tasks, so they are broadcast, and only the rows of other names are shuffled.
+    """
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    often = F.col("n") * HOT * tasks > rows
+    hot = left.join(F.broadcast(names.filter(often).select(*by, F.lit(True).alias("hot"))), by, "left")
+    rest = hot.filter("hot is null").drop("hot").join(names.filter(~often).select(*by, F.lit(True).alias(flag)), by, "left")
+    return rest.unionByName(hot.filter("hot").withColumnRenamed("hot", flag))
+
+
 def doubled(marks: DataFrame) -> tuple[DataFrame, list[str]]:
     """The anchors' rounds: (rid, a, b, f, level) of the anchors that double the start length at least.
 
@@ -242,21 +257,24 @@ def doubled(marks: DataFrame) -> tuple[DataFrame, list[str]]:
     paths = []
 
     def again(df, *by):
-        """What stands in two texts or at two places of one; rows of equal texts are alike, so they are told apart by neither."""
+        """What stands in two texts or at two places of one, and how often; rows of equal texts are alike, so they are told apart by neither."""
         all_ = F.xxhash64("a", "b", "f", "z")
-        seen = df.groupBy(*by).agg(F.min("text").alias("t0"), F.max("text").alias("t1"), F.min(all_).alias("p0"), F.max(all_).alias("p1"), F.max("twice").alias("two"))
-        return seen.filter("t0 <> t1 or p0 <> p1 or two").select(*by)
+        seen = df.groupBy(*by).agg(F.min("text").alias("t0"), F.max("text").alias("t1"), F.min(all_).alias("p0"), F.max(all_).alias("p1"), F.max("twice").alias("two"), F.count("*").alias("n"))
+        return seen.filter("t0 <> t1 or p0 <> p1 or two").select(*by, "n")
 
     def kept_(df, tag):
         made, path = cut(df, tag)
         paths.append(path)
         return made
 
-    one = kept_(marks.join(again(marks, "a"), "a"), "suffix-rank-1")
-    two = kept_(one.join(again(one, "a", "b"), ["a", "b"]).withColumn("ab", F.xxhash64("a", "b")), "suffix-rank-2")
-    on = again(two.filter("f >= 0"), "ab", "f").withColumn("on", F.lit(True))
-    back = again(two.filter("z >= 0"), "z", "ab").withColumn("back", F.lit(True))
-    both = two.join(on, ["ab", "f"], "left").join(back, ["z", "ab"], "left")
+    def shared_(df, *by):
+        return _flagged(df, again(df, *by), list(by), "shared", df.count()).filter("shared").select(*df.columns)
+
+    one = kept_(shared_(marks, "a"), "suffix-rank-1")
+    two = kept_(shared_(one, "a", "b").withColumn("ab", F.xxhash64("a", "b")), "suffix-rank-2")
+    rows = two.count()
+    on = _flagged(two, again(two.filter("f >= 0"), "ab", "f"), ["ab", "f"], "on", rows)
+    both = _flagged(on, again(two.filter("z >= 0"), "z", "ab"), ["z", "ab"], "back", rows)
     level = F.when(F.col("on"), 4).when(F.col("back"), 3).otherwise(2)
     return both.select("rid", "a", "b", "f", level.alias("level")), paths
 

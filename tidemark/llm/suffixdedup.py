@@ -234,17 +234,18 @@ def _shared(found: list[dict]) -> np.ndarray:
     return np.unique(_known(a, b, f))
 
 
-def _flagged(left: DataFrame, names: DataFrame, by: list[str], flag: str, rows: int) -> DataFrame:
-    """left with a flag, true for the rows whose name is in names (by and n, its number of rows) and null for others.
+def _met(left: DataFrame, names: DataFrame, by: list[str], rows: int, how: str) -> DataFrame:
+    """left joined (inner or left) with names: `by`, n (the rows of left that have the name) and what they bring.
 
     A name that many rows have is met where they are: those of over 1 / (HOT * tasks) of the rows are fewer than
     HOT * tasks, so they are broadcast, and only the rows of other names are shuffled.
     """
-    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    often = F.col("n") * HOT * tasks > rows
-    hot = left.join(F.broadcast(names.filter(often).select(*by, F.lit(True).alias("hot"))), by, "left")
-    rest = hot.filter("hot is null").drop("hot").join(names.filter(~often).select(*by, F.lit(True).alias(flag)), by, "left")
-    return rest.unionByName(hot.filter("hot").withColumnRenamed("hot", flag))
+    often = F.col("n") * HOT * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")) > rows
+    hot = names.filter(often).drop("n")
+    if hot.isEmpty():
+        return left.join(names.drop("n"), by, how)
+    rest = left.join(F.broadcast(hot.select(*by)), by, "left_anti")
+    return rest.join(names.filter(~often).drop("n"), by, how).unionByName(left.join(F.broadcast(hot), by))
 
 
 def doubled(marks: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -268,13 +269,14 @@ def doubled(marks: DataFrame) -> tuple[DataFrame, list[str]]:
         return made
 
     def shared_(df, *by):
-        return _flagged(df, again(df, *by), list(by), "shared", df.count()).filter("shared").select(*df.columns)
+        return _met(df, kept_(again(df, *by), "suffix-names"), list(by), df.count(), "inner").select(*df.columns)
 
     one = kept_(shared_(marks, "a"), "suffix-rank-1")
     two = kept_(shared_(one, "a", "b").withColumn("ab", F.xxhash64("a", "b")), "suffix-rank-2")
     rows = two.count()
-    on = _flagged(two, again(two.filter("f >= 0"), "ab", "f"), ["ab", "f"], "on", rows)
-    both = _flagged(on, again(two.filter("z >= 0"), "z", "ab"), ["z", "ab"], "back", rows)
+    on = kept_(again(two.filter("f >= 0"), "ab", "f").withColumn("on", F.lit(True)), "suffix-names")
+    back = kept_(again(two.filter("z >= 0"), "z", "ab").withColumn("back", F.lit(True)), "suffix-names")
+    both = _met(_met(two, on, ["ab", "f"], rows, "left"), back, ["z", "ab"], rows, "left")
     level = F.when(F.col("on"), 4).when(F.col("back"), 3).otherwise(2)
     return both.select("rid", "a", "b", "f", level.alias("level")), paths
 
@@ -309,12 +311,12 @@ def repeats(docs: DataFrame, *, text: str = "text", length: int = LENGTH, keep_t
     left, rank_paths = doubled(marks)
     # copies: for each row of a group of equal texts, whether it takes part for the others; null for short ones
     digests = table.filter(long_ >= 4 * q).select("rid", "d1", "d2", (long_ >= length).alias("enough"))
-    same = digests.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("rid").alias("first")).filter("n > 1")
-    copies = digests.join(same, ["d1", "d2"]).select("rid", F.when(F.col("enough"), F.col("rid") == F.col("first")).alias("part"))
+    same, same_path = cut(digests.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("rid").alias("first")).filter("n > 1"), "suffix-same")
+    copies = _met(digests, same, ["d1", "d2"], digests.count(), "inner").select("rid", F.when(F.col("enough"), F.col("rid") == F.col("first")).alias("part"))
     none = F.lit(None)
     every = left.select("rid", F.when(F.col("level") == 4, F.struct("a", "b", "f")).alias("anchor"), F.least("level", F.lit(3)).alias("level"), none.cast("boolean").alias("part")).unionByName(copies.select("rid", none.cast("struct<a:long,b:long,f:long>").alias("anchor"), F.lit(3).alias("level"), "part"))
     shared, shared_path = cut(every.groupBy("rid").agg(F.collect_list("anchor").alias("shared"), F.max("level").alias("level"), F.max("part").alias("part")), "suffix-shared")
-    drop(spark, marks_path, *rank_paths)
+    drop(spark, marks_path, same_path, *rank_paths)
     row = table.schema["row"]
     row_type = to_arrow_type(row.dataType)
     anchor = T.StructType([T.StructField(k, T.LongType()) for k in "abf"])

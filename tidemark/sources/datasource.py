@@ -3,8 +3,9 @@
 Read options: path (a folder or file that every node reaches), table (messages, channels, schemas, records, or all, the
 union of the four with a kind column), with_payload (default true), ranges (JSON list of [recording_id, path, start, end]:
 byte ranges on record boundaries, such as planned extents; only these are read, and a range whose records don't end
-where it does is an error). A file is one partition, scanned in order; recorders
-roll their files over, which bounds a partition. Streaming offsets hold the files on disk in the order of their
+where it does is an error), split_bytes (default 128 MB). A finished file's list of chunks tells where it can be cut
+into partitions of about that size; any other is one partition, scanned in order, which recorders bound by rolling their
+files over; a fault in the framing ends its partition. Filters on log_ns and publish_ns are pushed down. Streaming offsets hold the files on disk in the order of their
 discovery and the end of each one's last complete record; a later file is only begun once the earlier ones are read. A
 recording's number is given once and never again: a file that is gone leaves the offsets, and another one that gets its
 inode is told from it, if not by its absence in between, by its size or its first bytes. With the option `state`, a path,
@@ -28,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage,
+)
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark import on_workers
-from tidemark.model import CODECS, MESSAGES
+from tidemark.model import CLOCKS, CODECS, LONG_MAX, MESSAGES
 from tidemark.sources import files, mcap
 
 _LONG, _INT, _TEXT, _BYTES = T.LongType(), T.IntegerType(), T.StringType(), T.BinaryType()
@@ -46,6 +49,8 @@ _FIELDS = {
 _FIELDS["all"] = [("kind", _TEXT), ("path", _TEXT), *dict(x for t in ("messages", "channels", "schemas", "records") for x in _FIELDS[t]).items()]
 TABLES = {k: T.StructType([T.StructField(n, t) for n, t in v]) for k, v in _FIELDS.items()}
 ROWS = 4096
+#: Bytes of a finished recording that a task reads, about.
+SPLIT = 128 << 20
 #: Consecutive scans that meet a fault without progress, after which the stream fails.
 FAULTS = 5
 
@@ -65,8 +70,11 @@ def _reader(path: str):
     return fd, lambda at, n: os.pread(fd, n, at)
 
 
-def rows(part: Part, table: str, with_payload: bool) -> Iterator[pa.RecordBatch]:
-    """The rows of a part of a file. A fault in the framing ends the file there: what stands before it is kept."""
+def rows(part: Part, table: str, with_payload: bool, near: dict[str, tuple[int, int]] | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of a part of a file. A fault in the framing ends the file there: what stands before it is kept.
+
+    near: ranges by clock outside which messages needn't be given.
+    """
     schema = to_arrow_schema(TABLES[table])
     wanted = None if table == "all" else table.removesuffix("s")
     fd, read_at = _reader(part.path)
@@ -74,7 +82,7 @@ def rows(part: Part, table: str, with_payload: bool) -> Iterator[pa.RecordBatch]
         held: list[dict] = []
         size = 0
         state = mcap.Scan(part.start)
-        for item in mcap.scan(read_at, os.fstat(fd).st_size, state, end=part.end, with_payload=with_payload):
+        for item in mcap.scan(read_at, os.fstat(fd).st_size, state, end=part.end, with_payload=with_payload, near=near):
             if wanted and item.kind != wanted:
                 continue
             values = item.values | {"recording_id": part.recording_id, "offset": item.offset, "kind": item.kind, "path": part.path}
@@ -104,18 +112,59 @@ def merged(ranges: list[list]) -> list[list]:
     return out
 
 
+def split(index: list[tuple[int, int, int, int]], end: int, size: int, near: tuple[int, int] | None) -> list[tuple[int, int]]:
+    """Ranges of a file's bytes, cut at chunks where they reach `size`; chunks with no time in `near` are left out."""
+    out, start = [], len(mcap.MAGIC)
+    for offset, length, first, last in index:
+        if near and (first or last) and (last < near[0] or first > near[1]):
+            if offset > start:
+                out.append((start, offset))
+            start = offset + length
+        elif offset - start >= size:
+            out.append((start, offset))
+            start = offset
+    return out + ([(start, end)] if end > start else [])
+
+
 class _Batch(DataSourceReader):
+    """Batch reads. Comparisons of log_ns and publish_ns reach the scan: by a finished file's list of chunks whole ranges
+    aren't planned, and tasks pass over other messages and chunks by their first bytes. Spark still tests every row.
+    """
+
     def __init__(self, options: dict):
         self.path, self.table, self.with_payload = options["path"], options.get("table", "messages"), options.get("with_payload", "true") == "true"
         self.ranges = json.loads(options["ranges"]) if "ranges" in options else None
+        self.split = int(options.get("split_bytes", SPLIT))
+        self.near: dict[str, tuple[int, int]] = {}
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            clock = f.attribute[0].removesuffix("_ns") if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) else None
+            if clock in CLOCKS and self.table == "messages" and isinstance(f.value, int):
+                low, high = self.near.get(clock, (-LONG_MAX - 1, LONG_MAX))
+                if not isinstance(f, (LessThan, LessThanOrEqual)):
+                    low = max(low, f.value + isinstance(f, GreaterThan))
+                if not isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    high = min(high, f.value - isinstance(f, LessThan))
+                self.near[clock] = low, high
+            yield f
 
     def partitions(self) -> list[Part]:
         if self.ranges is not None:
             return [Part(*r, strict=True) for r in merged(self.ranges)] or [Part(0, os.devnull, 0, 0)]
-        return [Part(k, f.path, len(mcap.MAGIC), None) for k, f in enumerate(files.listed(self.path))]
+        parts = []
+        for k, f in enumerate(files.listed(self.path)):
+            fd, read_at = _reader(f.path)
+            try:
+                size = os.fstat(fd).st_size
+                index = mcap.chunk_index(read_at, size) if size > self.split or self.near else []
+            finally:
+                os.close(fd)
+            parts += [Part(k, f.path, a, b if b < size else None) for a, b in split(index, size, self.split, self.near.get("log"))] if index else [Part(k, f.path, len(mcap.MAGIC), None)]
+        return parts or [Part(0, os.devnull, 0, 0)]
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        return rows(partition, self.table, self.with_payload)
+        return rows(partition, self.table, self.with_payload, self.near or None)
 
 
 @dataclass
@@ -424,6 +473,7 @@ class McapSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     on_workers(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(McapSource)
 
 

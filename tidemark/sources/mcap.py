@@ -18,6 +18,8 @@ MAGIC = b"\x89MCAP0\r\n"
 HEADER, FOOTER, SCHEMA, CHANNEL, MESSAGE, CHUNK, MESSAGE_INDEX, CHUNK_INDEX = range(1, 9)
 STATISTICS, DATA_END = 0x0B, 0x0F
 READ = 4 << 20
+#: Bytes read at a time where most may be passed over.
+PEEK = 1 << 12
 _MESSAGE = struct.Struct("<BQHIQQ")
 
 
@@ -150,9 +152,51 @@ def _inside(data: bytes, with_payload: bool) -> list[tuple[str, dict]]:
     return out
 
 
-def scan(read_at: Callable[[int, int], bytes], size: int, state: Scan, *, end: int | None = None, with_payload: bool = True) -> Iterator[Item]:
+def outside(op: int, body: bytes | memoryview, near: dict[str, tuple[int, int]]) -> bool:
+    """Whether a message, or a chunk by its header's log times, has no time that `near` asks for; told by its first bytes.
+
+    near: inclusive ranges by clock (log, publish). A chunk's header has no publish times, and none where it has no message.
+    """
+    if op == MESSAGE and len(body) >= MESSAGE_HEADER:
+        times = dict(zip(("log", "publish"), struct.unpack_from("<QQ", body, 6), strict=True))
+        return any(not low <= clamped(times[c]) <= high for c, (low, high) in near.items())
+    if op == CHUNK and len(body) >= 16 and "log" in near:
+        first, last = struct.unpack_from("<QQ", body)
+        return (first or last) and (clamped(last) < near["log"][0] or clamped(first) > near["log"][1])
+    return False
+
+
+def chunk_index(read_at: Callable[[int, int], bytes], size: int) -> list[tuple[int, int, int, int]]:
+    """(offset, length, first, last log time) of a finished file's chunks in order, as its summary lists them.
+
+    Empty where there is no summary, or one that can't be true: chunks overlap or leave the file's data.
+    """
+    tail = RECORD_HEADER + 20 + len(MAGIC)
+    if size < len(MAGIC) + tail or (end := read_at(size - tail, tail))[-len(MAGIC) :] != MAGIC or end[0] != FOOTER:
+        return []
+    start = struct.unpack_from("<Q", end, RECORD_HEADER)[0]
+    if not len(MAGIC) <= start <= size - tail:
+        return []
+    data, at, out = read_at(start, size - tail - start), 0, []
+    while at + RECORD_HEADER <= len(data):
+        op, length = struct.unpack_from("<BQ", data, at)
+        at += RECORD_HEADER
+        if length > len(data) - at:
+            return []
+        if op == CHUNK_INDEX and length >= 32:
+            first, last, offset, whole = struct.unpack_from("<QQQQ", data, at)
+            out.append((offset, whole, clamped(first), clamped(last)))
+        at += length
+    out.sort()
+    ends = [len(MAGIC), *(o + n for o, n, _, _ in out)]
+    return out if all(e <= o and n >= RECORD_HEADER for e, (o, n, _, _) in zip(ends, out, strict=False)) and ends[-1] <= start else []
+
+
+def scan(read_at: Callable[[int, int], bytes], size: int, state: Scan, *, end: int | None = None, with_payload: bool = True, near: dict[str, tuple[int, int]] | None = None) -> Iterator[Item]:
     """The items of the complete records from state.offset on; state moves with them.
 
+    near: messages and chunks outside it are passed over by their first bytes; what is read at a time is small then.
+
     A record that isn't complete yet is left for a later scan. The scan ends at the end of data, which isn't consumed.
     A record whose length can't be true is a fault: what stands before it has been given, and state stays before it.
     """
@@ -162,10 +206,11 @@ def scan(read_at: Callable[[int, int], bytes], size: int, state: Scan, *, end: i
         raise WrongMagic("not an MCAP file")
     limit = size if end is None else min(size, end)
     buffer, base = b"", state.offset
+    step = PEEK if near else READ
     while not state.ended:
         at = state.offset - base
-        if at + RECORD_HEADER > len(buffer):
-            buffer, base, at = read_at(state.offset, min(READ, limit - state.offset)), state.offset, 0
+        if at + RECORD_HEADER + (MESSAGE_HEADER if near else 0) > len(buffer) and base + len(buffer) < limit or at + RECORD_HEADER > len(buffer):
+            buffer, base, at = read_at(state.offset, min(step, limit - state.offset)), state.offset, 0
             if len(buffer) < RECORD_HEADER:
                 return
         op, length = struct.unpack_from("<BQ", buffer, at)
@@ -178,8 +223,11 @@ def scan(read_at: Callable[[int, int], bytes], size: int, state: Scan, *, end: i
         whole = RECORD_HEADER + length
         if state.offset + whole > limit:
             return
+        if near and outside(op, buffer[at + RECORD_HEADER : at + min(whole, RECORD_HEADER + MESSAGE_HEADER)], near):
+            state.offset += whole
+            continue
         if at + whole > len(buffer):
-            buffer, base, at = read_at(state.offset, max(whole, min(READ, limit - state.offset))), state.offset, 0
+            buffer, base, at = read_at(state.offset, max(whole, min(step, limit - state.offset))), state.offset, 0
             if len(buffer) < whole:
                 return
         body = memoryview(buffer)[at + RECORD_HEADER : at + whole]

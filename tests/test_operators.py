@@ -216,6 +216,26 @@ def test_admission(spark):
     assert [r["admitted"] for r in coverage.admitted(t).orderBy("trigger_id").collect()] == [True] * 16 + [False, True, False]
 
 
+@pytest.mark.parametrize("spell", [3, 40, 10**6])
+def test_one_admission_count_over_all_sources(spark, conf, spell):
+    """Ranges of arrival, busy spells shorter and longer than a range, against the fold over all triggers."""
+    conf(shuffle_partitions=8, adaptive_coalescePartitions_enabled="false")
+    random.seed(spell)
+    rows = []
+    for k in range(400):
+        at = random.randrange(1000)
+        rows.append((k % 3, k, at, at + random.randrange(1, spell + 2), "name" if k % 11 == 0 else None))
+    t = spark.createDataFrame(rows, "recording_id long, trigger_id long, log_ns long, finish_ns long, reject_reason string")
+    active, want = [], {}
+    for _, k, at, finish, reason in sorted(rows, key=lambda r: (r[2], r[1])):
+        active = [x for x in active if x > at]
+        want[k] = reason is None and len(active) < 3
+        active += [finish] if want[k] else []
+    found = coverage.admitted(t, limit=3, by=None)
+    assert {r["trigger_id"]: r["admitted"] for r in found.collect()} == want and found.rdd.getNumPartitions() == 8
+    assert coverage.admitted(t.limit(0), by=None).collect() == []
+
+
 def test_discovery(spark):
     f = spark.createDataFrame([("a", 1, 5), ("b", 2, 3), ("b2", 2, 3), ("c", 3, 9)], "path string, inode long, mtime long")
     assert discovery.newest(f, "mtime", "path").first()["path"] == "c"
@@ -253,34 +273,6 @@ def test_first_passage_equals_brute_force(spark, width):
     assert found == [min((a for v, a in rows if v >= x), default=None) for x in points]
 
 
-def test_status(spark):
-    w = window(spark, (0, 100))
-    status = lambda covered, now: coverage.cut_status(w, F.lit(covered), F.lit(now), 30).first()["status"]
-    assert [status(100, 99), status(100, 100), status(99, 100), status(99, 129), status(99, 130)] == ["pending", "covered", "pending", "pending", "grace_cut"]
-
-
-def test_retention_keeps_the_current_and_the_empty(spark):
-    f = spark.createDataFrame([(0, 1000), (1, None), (2, 5000), (3, 10)], "recording_id long, log_max long")
-    s = coverage.states(f, F.col("recording_id") < 3)
-    gone = lambda now: [r["recording_id"] for r in s.filter(coverage.pruned(s, F.lit(now), 1000)).orderBy("recording_id").collect()]
-    assert gone(2000) == [] and gone(2001) == [0] and gone(2**62) == [0, 2]
-    assert [(r["state"], r["has_successor"], r["is_current"]) for r in s.orderBy("recording_id").collect()] == [("Ended", True, False)] * 3 + [("Tailing", False, True)]
-
-
-def test_admission(spark):
-    rows = [(0, k, k, 100, None) for k in range(17)] + [(0, 17, 100, 200, None), (0, 18, 101, 300, "name")]
-    t = spark.createDataFrame(rows, "recording_id long, trigger_id long, log_ns long, finish_ns long, reject_reason string")
-    assert [r["admitted"] for r in coverage.admitted(t).orderBy("trigger_id").collect()] == [True] * 16 + [False, True, False]
-
-
-def test_discovery(spark):
-    f = spark.createDataFrame([("a", 1, 5), ("b", 2, 3), ("b2", 2, 3), ("c", 3, 9)], "path string, inode long, mtime long")
-    assert discovery.newest(f, "mtime", "path").first()["path"] == "c"
-    assert discovery.oldest(f, "mtime", "path").first()["path"] == "b"
-    assert discovery.oldest(f.limit(0), "mtime", "path").count() == 0
-    assert sorted(r["inode"] for r in discovery.unseen(f, f.filter("inode = 3"), ["inode"]).collect()) == [1, 2]
-
-
 def test_wild_ranges_meet_their_windows(spark):
     """Ranges of any width, from a stamp of 0 to the largest long, against pair by pair."""
     import random

@@ -81,27 +81,91 @@ def pruned(recordings: DataFrame, now: Column, retention_ns: int) -> Column:
     return (F.col("state") == "Ended") & ~F.col("is_current") & F.col("log_max").isNotNull() & (F.col("log_max") < sat_sub(now, retention_ns))
 
 
-def admitted(triggers: DataFrame, *, limit: int = MAX_ACTIVE, by: str = "recording_id") -> DataFrame:
+def _admitting(rows, active: list[int], limit: int) -> list[bool]:
+    """Whether each of (log_ns, finish_ns, reject_reason), in order, is admitted; active, a heap of finish times, moves on."""
+    out = []
+    for at, finish, reason in rows:
+        while active and active[0] <= at:
+            heapq.heappop(active)
+        ok = reason is None and len(active) < limit
+        if ok:
+            heapq.heappush(active, finish)
+        out.append(ok)
+    return out
+
+
+_ADMITTED = ("log_ns", "finish_ns", "reject_reason")
+
+
+def admitted(triggers: DataFrame, *, limit: int = MAX_ACTIVE, by: str | None = "recording_id") -> DataFrame:
     """triggers (trigger_id, log_ns, finish_ns, reject_reason) with admitted: valid, and fewer than `limit` active then.
 
-    A fold in order of arrival within each source `by`: a task streams its sources and holds at most `limit` finish
-    times. Refused triggers are dropped, not queued. A slot is free again at its finish time.
+    A fold in order of arrival (log_ns, then trigger_id) within each source `by`, or over all sources if that is None: a
+    task streams its triggers and holds at most `limit` finish times. Refused triggers are dropped, not queued. A slot is
+    free again at its finish time.
     """
+    if by is None:
+        return _admitted_by_all(triggers, limit)
 
     def fold(batches):
         source, active = None, []
         for b in batches:
             out = []
-            for s, at, finish, reason in zip(*(b.column(k).to_pylist() for k in (by, "log_ns", "finish_ns", "reject_reason")), strict=True):
+            for s, *row in zip(*(b.column(k).to_pylist() for k in (by, *_ADMITTED)), strict=True):
                 if s != source:
                     source, active = s, []
-                while active and active[0] <= at:
-                    heapq.heappop(active)
-                ok = reason is None and len(active) < limit
-                if ok:
-                    heapq.heappush(active, finish)
-                out.append(ok)
+                out += _admitting([row], active, limit)
             yield b.append_column("admitted", pa.array(out, type=pa.bool_()))
 
     ordered = triggers.repartition(by).sortWithinPartitions(by, "log_ns", "trigger_id")
     return ordered.mapInArrow(fold, T.StructType([*ordered.schema.fields, T.StructField("admitted", T.BooleanType())]))
+
+
+def _admitted_by_all(triggers: DataFrame, limit: int) -> DataFrame:
+    """One count over all sources.
+
+    Triggers are dealt by range of arrival. A range is a function from the finish times active before it to those active
+    after it, and its decisions follow from the former. Each range is first taken from nothing active; then those whose
+    predecessor ended otherwise are taken again from what it ended with, until none changes. That is the fold: the first
+    range is right at once, and a range that follows a right one is right in the next round. Ranges forget: a busy spell
+    that ends within a range makes its end the same from any beginning, so few rounds are usual, and a round runs only
+    the ranges that changed. The driver holds at most `limit` finish times of each range.
+    """
+    spark = triggers.sparkSession
+    number = T.StructField("range", T.IntegerType())
+    order = triggers.repartitionByRange("log_ns", "trigger_id").sortWithinPartitions("log_ns", "trigger_id")
+    ranged = order.withColumn("range", F.spark_partition_id()).persist()
+    states = T.StructType([number, T.StructField("active", T.ArrayType(T.LongType()))])
+
+    def ends(before: dict[int, list[int]], which: set[int]) -> dict[int, list[int]]:
+        def fold(batches):
+            active, at = [], None
+            for b in batches:
+                if at is None and b.num_rows:
+                    at = b.column("range")[0].as_py()
+                    active = list(before.get(at, []))
+                _admitting(zip(*(b.column(k).to_pylist() for k in _ADMITTED), strict=True), active, limit)
+            if at is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([sorted(active)], pa.list_(pa.int64()))], names=states.names)
+
+        rows = ranged.select("range", *_ADMITTED)
+        some = rows if not before else rows.filter(F.col("range").isin(sorted(which)))
+        return {r["range"]: list(r["active"]) for r in some.mapInArrow(fold, states).collect()}
+
+    after = ends({}, set())
+    order_ = sorted(after)
+    before = dict.fromkeys(order_, [])
+    while changed := {k: after[j] for j, k in zip(order_, order_[1:], strict=False) if before[k] != after[j]}:
+        before |= changed
+        after |= ends(before, set(changed))
+    held = spark.sparkContext.broadcast(before)
+
+    def decide(batches):
+        active, begun = [], False
+        for b in batches:
+            if not begun and b.num_rows:
+                active, begun = list(held.value.get(b.column("range")[0].as_py(), [])), True
+            out = _admitting(zip(*(b.column(k).to_pylist() for k in _ADMITTED), strict=True), active, limit)
+            yield b.append_column("admitted", pa.array(out, type=pa.bool_()))
+
+    return ranged.mapInArrow(decide, T.StructType([*ranged.schema.fields, T.StructField("admitted", T.BooleanType())])).drop("range")

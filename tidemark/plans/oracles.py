@@ -168,6 +168,15 @@ af AS (
     CASE WHEN o.valid AND len(list_filter(a.active, lambda x: x > o.log_ns)) < 2 THEN list_append(list_filter(a.active, lambda x: x > o.log_ns), o.end_ns) ELSE list_filter(a.active, lambda x: x > o.log_ns) END
   FROM af a JOIN o ON o.recording_id = a.recording_id AND o.k = a.k + 1)
 SELECT trigger_id, admitted FROM af""",
+    "admission_all_sources": BASE + f"""
+, o AS (SELECT *, end_ns + 120 * {MINUTE} AS finish_ns, row_number() OVER (ORDER BY log_ns, trigger_id) AS k, trigger_id % 10 <> 0 AS valid FROM wl),
+af AS (
+  SELECT k, trigger_id, recording_id, valid AS admitted, CASE WHEN valid THEN [finish_ns] ELSE [] END AS active FROM o WHERE k = 1
+  UNION ALL
+  SELECT o.k, o.trigger_id, o.recording_id, o.valid AND len(list_filter(a.active, lambda x: x > o.log_ns)) < 3,
+    CASE WHEN o.valid AND len(list_filter(a.active, lambda x: x > o.log_ns)) < 3 THEN list_append(list_filter(a.active, lambda x: x > o.log_ns), o.finish_ns) ELSE list_filter(a.active, lambda x: x > o.log_ns) END
+  FROM af a JOIN o ON o.k = a.k + 1)
+SELECT trigger_id, recording_id, admitted FROM af""",
     "two_clock_windows": """WITH s AS (SELECT epoch_us(l_shipdate) * 1000 AS log_ns, epoch_us(o_orderdate) * 1000 AS publish_ns FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 w AS (SELECT o_orderkey AS trigger_id, epoch_us(o_orderdate) * 1000 AS placed FROM orders)
 SELECT trigger_id, count(*) AS messages, min(log_ns) AS first_log_ns, max(log_ns) AS last_log_ns FROM w JOIN s ON publish_ns BETWEEN placed AND placed GROUP BY 1""",

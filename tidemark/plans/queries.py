@@ -388,6 +388,13 @@ def admission_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("trigger_id", "admitted")
 
 
+def admission_all_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triggers of all days admitted three at a time by one count: a slot is taken until two hours after the window's end."""
+    w = windows.with_windows(adapters.triggers(spark, sf_dir)).withColumn("reject_reason", F.when(F.col("trigger_id") % 10 == 0, "name"))
+    found = coverage.admitted(w.select("recording_id", "trigger_id", "log_ns", (F.col("end_ns") + 120 * MINUTE).alias("finish_ns"), "reject_reason"), limit=3, by=None)
+    return found.select("trigger_id", "recording_id", "admitted")
+
+
 def two_clock_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per order, the shipments (log) whose orders (publish) were placed at the same time, on the publish clock."""
     # dates recur, so shipments are reduced to a row for each before they meet the windows
@@ -428,6 +435,6 @@ QUERIES = {
         boundary_inclusive, extent_index, extent_tiling_check, planned_extents, pruned_equals_full, recording_bounds, skew_bounds, high_water, high_water_log, high_water_publish,
         coverage_release, coverage_release_publish, late_loss, cut_status, current_recording, retention_prune, retained_plan, newest_recording, oldest_recording, discovery_order,
         seen_anti_join, anchor_matrix, trigger_validate, name_validate, name_sanitize, name_collision, stamp_ns, sat_arith, backoff_schedule, little_endian, producer_stamps,
-        trigger_json_decode, channel_schemas, trigger_tap, unknown_channel_skips, clip_stats, message_sequence, union_of_recordings, admission_fold, two_clock_windows, mcap_roundtrip, producer_ticks, producer_envelopes,
+        trigger_json_decode, channel_schemas, trigger_tap, unknown_channel_skips, clip_stats, message_sequence, union_of_recordings, admission_fold, admission_all_sources, two_clock_windows, mcap_roundtrip, producer_ticks, producer_envelopes,
     )
 }

@@ -216,6 +216,31 @@ def test_admission(spark):
     assert [r["admitted"] for r in coverage.admitted(t).orderBy("trigger_id").collect()] == [True] * 16 + [False, True, False]
 
 
+@pytest.mark.parametrize(("limit", "part", "sizes"), [(100, 64, (7,)), (100, 1000, (7, 30, 1)), (50, 333, (10,)), (10**9, 100, (9, 90)), (1, 200, (5, 40)), (500, 10**9, (3, 200, 700)), (40, 1, (20, 60, 13))])
+def test_extents_of_parts_equal_the_fold(spark, limit, part, sizes):
+    """Recordings cut into parts of any size, with extents that span parts and parts that span extents; record by record."""
+    random.seed(limit)
+    rows, want = [], []
+    for r in range(4):
+        at, number, held = 8, 0, []
+        for k in range(random.choice([1, 3, 300])):
+            size = random.choice(sizes)
+            times = (k * 3 % 50, 100 - k) if k % 5 else (None, None)
+            rows.append((r, at, size, *times))
+            held.append(rows[-1])
+            at += size
+            if sum(x[2] for x in held) >= limit:
+                want.append((r, number, held))
+                number, held = number + 1, []
+        want += [(r, number, held)] if held else []
+    span = lambda held, k: (min(x), max(x)) if (x := [h[k] for h in held if h[k] is not None]) else None
+    want = [(r, n, held[0][1], sum(h[2] for h in held), len(held), span(held, 3), span(held, 4)) for r, n, held in want]
+    df = spark.createDataFrame(rows, "recording_id long, offset long, len long, log_ns long, publish_ns long")
+    got = index.extents(df, limit=limit, part=part)
+    assert sorted((*r[:5], r[5] and tuple(r[5]), r[6] and tuple(r[6])) for r in got.collect()) == want
+    assert index.extents(df.limit(0), limit=limit, part=part).collect() == []
+
+
 @pytest.mark.parametrize("spell", [3, 40, 10**6])
 def test_one_admission_count_over_all_sources(spark, conf, spell):
     """Ranges of arrival, busy spells shorter and longer than a range, against the fold over all triggers."""

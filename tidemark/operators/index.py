@@ -4,64 +4,133 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemark.model import EXTENT_BYTES, EXTENTS
+from tidemark.model import EXTENT_BYTES, EXTENTS, LONG_MAX
 from tidemark.operators.windows import overlapping
 from tidemark.sources.mcap import CHUNK as CHUNK_RECORD
 from tidemark.sources.mcap import MESSAGE
 
 #: Width in offsets of a chunk of arrivals in a running maximum.
 CHUNK = 1 << 20
+#: Bytes of a part of a recording, whose extents a task finds.
+PART = 64 << 20
 
 
-def extents(records: DataFrame, *, limit: int = EXTENT_BYTES) -> DataFrame:
+def _part(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A part of a recording as a function of the bytes that the open extent holds before it.
+
+    Returns the bytes up to the end of each record, the record that next closes an extent after one is closed at each
+    (len(sizes): none), and the last that does, by pointer jumping.
+    """
+    ends = np.cumsum(sizes)
+    after = np.searchsorted(ends, ends + limit)
+    n = len(ends)
+    last = np.where(after < n, after, np.arange(n))
+    while True:
+        jumped = last[last]
+        if (jumped == last).all():
+            return ends, after, last
+        last = jumped
+
+
+_TABLE = T.StructType([T.StructField("recording_id", T.LongType()), T.StructField("part", T.LongType()), T.StructField("total", T.LongType()), T.StructField("closes", T.ArrayType(T.LongType())), T.StructField("left", T.ArrayType(T.LongType()))])
+_ENTRY = T.StructType([T.StructField("recording_id", T.LongType()), T.StructField("part", T.LongType()), T.StructField("held", T.LongType())])
+_PIECE = T.StructType([
+    T.StructField("recording_id", T.LongType()), T.StructField("part", T.LongType()), T.StructField("k", T.LongType()), T.StructField("begins", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("len", T.LongType()),
+    T.StructField("records", T.LongType()), *[T.StructField(f"{c}_{e}", T.LongType()) for c in ("log", "publish") for e in ("min", "max")],
+])
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each part of a recording, of batches sorted by both."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = np.stack([batch.column(k).to_numpy() for k in (0, 1)])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+        if held and batch.num_rows and (held[-1].column(0)[-1], held[-1].column(1)[-1]) != (batch.column(0)[0], batch.column(1)[0]):
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            if a:
+                yield pa.Table.from_batches(held)
+                held = []
+            if b > a:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def extents(records: DataFrame, *, limit: int = EXTENT_BYTES, part: int = PART) -> DataFrame:
     """Extents of each recording: records in file order, closed once they hold `limit` bytes; they tile the file.
 
     records: recording_id, offset (bytes), len (with its header) and log_ns, publish_ns, or for chunks log_min, log_max,
     publish_min, publish_max (null where a record has no times).
-    A fold in file order: a task streams its recordings one after the other and holds one extent's bounds.
-    """
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("recording_id", pa.int64()), ("extent_no", pa.int32()), ("offset", pa.int64()), ("len", pa.int64()), ("records", pa.int64()), ("log", pa.struct([("min", pa.int64()), ("max", pa.int64())])), ("publish", pa.struct([("min", pa.int64()), ("max", pa.int64())]))])
-        recording, number, start, size, n, bounds = None, 0, 0, 0, 0, None
-        out: list[dict] = []
-
-        def close() -> None:
-            nonlocal number, size, n, bounds
-            if n:
-                log, publish = ({"min": bounds[0], "max": bounds[1]}, {"min": bounds[2], "max": bounds[3]}) if bounds else (None, None)
-                out.append({"recording_id": recording, "extent_no": number, "offset": start, "len": size, "records": n, "log": log, "publish": publish})
-                number += 1
-            size, n, bounds = 0, 0, None
-
-        for batch in batches:
-            for r, at, length, *times in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-                if r != recording:
-                    close()
-                    recording, number = r, 0
-                if not n:
-                    start = at
-                size += length
-                n += 1
-                if times[0] is not None:
-                    bounds = times if bounds is None else [min(bounds[0], times[0]), max(bounds[1], times[1]), min(bounds[2], times[2]), max(bounds[3], times[3])]
-                if size >= limit:
-                    close()
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
-                out = []
-        close()
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
 
+    Where an extent ends depends on where the one before did, but a recording isn't one task. It is cut into parts of
+    `part` bytes, and each part tells, from its own records, what the open extent holds after it for whatever it may hold
+    before: a table over the records of the part's first `limit` bytes, of which one is the first to close an extent.
+    The tables, a row for each part, are followed in order; then every part knows its beginning, and extents that lie in
+    several parts are summed up from their pieces.
+    """
     one = "log_min" not in records.columns
     clocks = [F.col(f"{c}_ns" if one else f"{c}_{end}").alias(f"{c}_{end}") for c in ("log", "publish") for end in ("min", "max")]
-    ordered = records.select("recording_id", "offset", "len", *clocks).repartition("recording_id").sortWithinPartitions("recording_id", "offset")
-    return ordered.mapInArrow(fold, EXTENTS)
+    parted = records.select("recording_id", F.call_function("div", F.col("offset"), F.lit(part)).alias("part"), "offset", "len", *clocks)
+    in_order = lambda df: df.repartition("recording_id", "part").sortWithinPartitions("recording_id", "part", "offset")
+
+    def tabled(batches):
+        for t in _parts(batches):
+            ends, _, last = _part(t.column("len").to_numpy(), limit)
+            m = min(int(np.searchsorted(ends, limit)) + 1, len(ends))
+            row = [t.column(0)[0], t.column(1)[0], int(ends[-1]), ends[:m], ends[-1] - ends[last[:m]]]
+            yield pa.RecordBatch.from_arrays([pa.array([x.as_py() if k < 2 else x], type=to_arrow_type(f.dataType)) for k, (x, f) in enumerate(zip(row, _TABLE, strict=True))], names=_TABLE.names)
+
+    def followed(batches):
+        recording, held = None, 0
+        for b in batches:
+            out = []
+            for r, p, total, closes, left in zip(*(b.column(k) for k in range(5)), strict=True):
+                if r != recording:
+                    recording, held = r, 0
+                out.append((r.as_py(), p.as_py(), held))
+                closes, left = closes.values.to_numpy(), left.values.to_numpy()
+                k = int(np.searchsorted(closes, limit - held))
+                held = int(left[k]) if k < len(closes) else held + total.as_py()
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=_ENTRY.names)
+
+    def cut(batches):
+        for t in _parts(batches):
+            sizes, offset = t.column("len").to_numpy(), t.column("offset").to_numpy()
+            ends, after, _ = _part(sizes, limit)
+            held, n = t.column("held")[0].as_py(), len(sizes)
+            starts, k = [0], int(np.searchsorted(ends, limit - held))
+            while k + 1 < n:
+                starts.append(k + 1)
+                k = int(after[k])
+            starts = np.array(starts)
+            begins = np.ones(len(starts), np.int64)
+            begins[0] = held == 0
+            columns = [np.full(len(starts), t.column(c)[0].as_py()) for c in (0, 1)] + [np.arange(len(starts)), begins, offset[starts], np.add.reduceat(sizes, starts), np.diff(np.append(starts, n))]
+            made = [pa.array(c, pa.int64()) for c in columns]
+            for name in _PIECE.names[7:]:
+                values, none = t.column(name).combine_chunks(), LONG_MAX if name.endswith("min") else -LONG_MAX - 1
+                least = (np.minimum if name.endswith("min") else np.maximum).reduceat(values.fill_null(none).to_numpy(zero_copy_only=False), starts)
+                some = np.logical_or.reduceat(values.is_valid().to_numpy(zero_copy_only=False), starts)
+                made.append(pa.array(least, pa.int64(), mask=~some))
+            yield pa.RecordBatch.from_arrays(made, names=_PIECE.names)
+
+    tables = in_order(parted).mapInArrow(tabled, _TABLE)
+    entries = tables.repartition("recording_id").sortWithinPartitions("recording_id", "part").mapInArrow(followed, _ENTRY)
+    pieces = in_order(parted.join(entries, ["recording_id", "part"])).mapInArrow(cut, _PIECE)
+    number = F.sum("begins").over(Window.partitionBy("recording_id").orderBy("part", "k")) - 1
+    span = lambda c: F.when(F.min(f"{c}_min").isNotNull(), F.struct(F.min(f"{c}_min").alias("min"), F.max(f"{c}_max").alias("max"))).alias(c)
+    whole = pieces.withColumn("extent_no", number.cast("int")).groupBy("recording_id", "extent_no").agg(F.min("offset").alias("offset"), F.sum("len").alias("len"), F.sum("records").alias("records"), span("log"), span("publish"))
+    return whole.select(*[F.col(f.name).cast(f.dataType) for f in EXTENTS])
 
 
 def planned(windows: DataFrame, extent_index: DataFrame, *, clock: str = "log") -> DataFrame:

@@ -117,6 +117,7 @@ SELECT recording_id, count_if("offset" <> coalesce(ends, 8)) AS gaps, CAST(sum(l
     "high_water_publish": BASE + 'SELECT "offset", max(publish_ns) OVER (ORDER BY recording_id, "offset" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS high_ns FROM m',
     "coverage_release": _release("wl", "log_ns") + "SELECT trigger_id, end_ns, release_ns FROM rel",
     "coverage_release_publish": _release("wp", "publish_ns") + "SELECT trigger_id, end_ns, release_ns FROM rel",
+    "release_states": _release("wp", "publish_ns") + "SELECT trigger_id, end_ns, release_ns FROM rel",
     "late_loss": _release("wp", "publish_ns") + "SELECT trigger_id, count(*) AS late FROM cp JOIN rel USING (trigger_id) WHERE cp.log_ns > release_ns GROUP BY 1",
     "cut_status": BASE + """, n AS (SELECT min(log_ns) + (max(log_ns) - min(log_ns)) // 2 AS now FROM m),
 v AS (SELECT now, max(publish_ns) AS covered FROM m, n WHERE log_ns <= now GROUP BY 1)

@@ -182,6 +182,22 @@ def coverage_release_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _released(spark, sf_dir, PUBLISH).select("trigger_id", "end_ns", "release_ns")
 
 
+def release_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """coverage_release_publish by a stream over the events, with pending triggers in the state store."""
+    from tidemark.sources import roundtrip
+    from tidemark.streaming import release
+
+    folder = roundtrip.shared_folder(spark, "release-")
+    w = windows.with_windows(adapters.triggers(spark, sf_dir, stream=True), clock=PUBLISH)
+    with release.rocksdb(spark):
+        found = release.releases(w, adapters.messages(spark, sf_dir, stream=True), clock=PUBLISH)
+        query = found.writeStream.format("parquet").option("path", f"{folder}/released").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    released = spark.read.schema(release.RELEASED).parquet(f"{folder}/released")
+    every = windows.with_windows(adapters.triggers(spark, sf_dir), clock=PUBLISH)
+    return every.select("trigger_id", "end_ns").join(released, "trigger_id", "left").select("trigger_id", "end_ns", "release_ns")
+
+
 def late_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, m = _both(spark, sf_dir, PUBLISH)
     return coverage.late(windows.matches(w, m, clock=PUBLISH), coverage.releases(w, m, clock=PUBLISH))
@@ -433,7 +449,7 @@ QUERIES = {
     for f in (
         clip_summary, clip_summary_publish, clip_messages, clip_order, clip_messages_publish, clip_by_topic, clip_channels, clip_segments, clip_filenames, completions, empty_windows,
         boundary_inclusive, extent_index, extent_tiling_check, planned_extents, pruned_equals_full, recording_bounds, skew_bounds, high_water, high_water_log, high_water_publish,
-        coverage_release, coverage_release_publish, late_loss, cut_status, current_recording, retention_prune, retained_plan, newest_recording, oldest_recording, discovery_order,
+        coverage_release, coverage_release_publish, release_states, late_loss, cut_status, current_recording, retention_prune, retained_plan, newest_recording, oldest_recording, discovery_order,
         seen_anti_join, anchor_matrix, trigger_validate, name_validate, name_sanitize, name_collision, stamp_ns, sat_arith, backoff_schedule, little_endian, producer_stamps,
         trigger_json_decode, channel_schemas, trigger_tap, unknown_channel_skips, clip_stats, message_sequence, union_of_recordings, admission_fold, admission_all_sources, two_clock_windows, mcap_roundtrip, producer_ticks, producer_envelopes,
     )

@@ -19,22 +19,23 @@ def nanos(ts):
     return (F.unix_micros(F.col(ts).cast("timestamp")) * 1000).cast("long")
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")  # event times carry no zone
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    found = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spark.readStream.schema(found.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir) if stream else found
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def messages(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     log = nanos("ts")
-    return events(spark, sf_dir).select(
+    return events(spark, sf_dir, stream).select(
         F.call_function("div", log, F.lit(DAY)).alias("recording_id"), F.col("event_id").alias("offset"), F.col("event_type").alias("topic"), log.alias("log_ns"),
         (log - ((F.col("event_id") * 37) % 101 - 50) * MINUTE).alias("publish_ns"), F.octet_length("props").cast("long").alias("size"), F.col("props").alias("payload"),
     )
 
 
-def triggers(spark: SparkSession, sf_dir: str, topic: str = "error") -> DataFrame:
+def triggers(spark: SparkSession, sf_dir: str, topic: str = "error", stream: bool = False) -> DataFrame:
     log = nanos("ts")
-    return events(spark, sf_dir).filter(F.col("event_type") == topic).select(
+    return events(spark, sf_dir, stream).filter(F.col("event_type") == topic).select(
         F.col("event_id").alias("trigger_id"), F.concat(F.lit("evt "), (F.col("user_id") % 7).cast("string")).alias("name"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("description"),
         log.alias("log_ns"), (log - ((F.col("event_id") * 37) % 101 - 50) * MINUTE).alias("publish_ns"), ((F.col("user_id") % 10 + 1) * MINUTE).alias("preroll_ns"), ((F.col("user_id") % 5 + 1) * MINUTE).alias("postroll_ns"),
         F.call_function("div", log, F.lit(DAY)).alias("recording_id"),

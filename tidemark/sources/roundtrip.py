@@ -23,18 +23,24 @@ def as_clips(messages: DataFrame) -> DataFrame:
     )
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events written as recordings, one for each day, and read back: counts and bounds per day."""
+def shared_folder(spark: SparkSession, prefix: str) -> str:
+    """A new folder that the driver and all executors see, until this process ends."""
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     where = urlparse(given or "")
     local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
     if not local and (not where.path or where.scheme not in ("", "file")):
-        raise ValueError("recordings need a mounted folder that the driver and all executors share: set spark.checkpoint.dir to one")
+        raise ValueError("this needs a mounted folder that the driver and all executors share: set spark.checkpoint.dir to one")
     shared = where.path if where.path and where.scheme in ("", "file") else None
     if shared:
         os.makedirs(shared, exist_ok=True)
-    folder = tempfile.mkdtemp(prefix="mcap-", dir=shared)
+    folder = tempfile.mkdtemp(prefix=prefix, dir=shared)
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as recordings, one for each day, and read back: counts and bounds per day."""
+    folder = shared_folder(spark, "mcap-")
     datasource.write_clips(as_clips(adapters.messages(spark, sf_dir)), folder)
     found = datasource.read(spark, folder)
     topics = datasource.read(spark, folder, "channels").select("recording_id", "channel_id", "topic")

@@ -85,6 +85,8 @@ class State:
     paths: dict[str, str] = field(default_factory=dict)
     #: The first and last time on each clock, log then publish, of recordings with messages.
     bounds: dict[str, list[int]] = field(default_factory=dict)
+    #: Encodings of the channels that carry triggers, by recording and channel id.
+    taps: dict[str, dict[str, str | None]] = field(default_factory=dict)
     #: The cut under way: its name, its triggers and, once they are known, their figures.
     cutting: dict | None = None
 
@@ -180,9 +182,13 @@ class Live:
         for kind, table in INDEX.items():
             if some := {str(r["recording_id"]) for r in met if r[kind]}:
                 written[table] = self.index.write(table, batch.filter(kinds == kind)), {r: bounds[r] if kind == "message" else [] for r in some}
-        found = self._recorded(batch) if self.params.trigger_source == "recorded" else None
+        taps = json.loads(json.dumps(self.state.taps))
+        if any(r["channel"] for r in met):
+            self._tap(batch, taps)
+        found = self._recorded(batch, taps) if self.params.trigger_source == "recorded" else None
         with self.lock:
             state = State(**json.loads(json.dumps(asdict(self.state))))
+            state.taps = {r: t for r, t in taps.items() if r in state.bounds or r in bounds}
             if found is not None and (dead := self._take(state, found, "scan")) is not None:
                 written["dead"] = self.index.write("dead", dead), {"-1": []}
             self.index.add("scan", batch_id, written)
@@ -226,34 +232,47 @@ class Live:
 
         return triggers.writeStream.foreachBatch(take).option("checkpointLocation", os.path.join(self.work, "listen")).start()
 
-    def _recorded(self, batch: DataFrame) -> DataFrame:
-        """The trigger records of a batch, decoded; their channels may be those of any batch so far."""
-        with self.index.pinned() as entries:
-            every = lambda kind: self.index.read(self.spark, INDEX[kind], entries).unionByName(batch.filter(F.col("kind") == kind).select(*datasource.TABLES[INDEX[kind]].names))
-            channels = index.resolved_channels(every("channel"), every("schema")).select("recording_id", "channel_id", "topic", "message_encoding")
-            tapped = index.tapped(batch.filter("kind = 'message'").select(*datasource.TABLES["messages"].names), channels, self.params.trigger_topic)
-            found = tapped.select("*", decode.trigger(F.col("message_encoding"), F.col("payload")).alias("d"))
-            found = found.select("d.trigger", "d.error", "payload", "message_encoding", "log_ns", "publish_ns", "recording_id", "offset", "inner_seq").persist()
-            found.count()  # while the entries are pinned
-        return found
+    def _tap(self, batch: DataFrame, taps: dict) -> None:
+        """Follows a batch's definitions of channels, of which the last one of an id counts, in `taps`."""
+        place, what = F.struct("offset", "inner_seq"), F.struct("topic", "message_encoding")
+        last = batch.filter("kind = 'channel'").groupBy("recording_id", "channel_id").agg(F.max_by(what, place).alias("d"))
+        for r in last.toLocalIterator():  # a row for each channel
+            mine = taps.setdefault(str(r["recording_id"]), {})
+            if r["d"]["topic"] == self.params.trigger_topic:
+                mine[str(r["channel_id"])] = r["d"]["message_encoding"]
+            else:
+                mine.pop(str(r["channel_id"]), None)
+
+    def _recorded(self, batch: DataFrame, taps: dict) -> DataFrame | None:
+        """The trigger records of a batch, decoded, or None if it has none."""
+        known = [(int(r), int(c), e) for r, mine in taps.items() for c, e in mine.items()]
+        if not known:
+            return None
+        tapped = batch.filter((F.col("kind") == "message") & F.col("channel_id").isin(sorted({c for _, c, _ in known})))
+        if tapped.isEmpty():
+            return None
+        channels = self.spark.createDataFrame(known, "recording_id long, channel_id int, of_encoding string")
+        found = tapped.drop("message_encoding").join(channels.withColumnRenamed("of_encoding", "message_encoding"), ["recording_id", "channel_id"])
+        found = found.withColumn("d", decode.trigger(F.col("message_encoding"), F.col("payload")))
+        return found.select("d.trigger", "d.error", "payload", "message_encoding", "log_ns", "publish_ns", "recording_id", "offset", "inner_seq").persist()
 
     def _take(self, state: State, found: DataFrame, source: str) -> DataFrame | None:
         """Takes up triggers in order, in `state`; returns those that aren't, with their reasons, or None."""
-        refused = []
-        for r in found.filter("error is null").orderBy("recording_id", "offset", "inner_seq").toLocalIterator():
-            if why := self._admit(state, r["trigger"].asDict(recursive=True), r["log_ns"], r["publish_ns"], time.time_ns()):
+        refused, bad = [], 0
+        for r in found.coalesce(1).sortWithinPartitions("recording_id", "offset", "inner_seq").toLocalIterator():
+            if r["error"] is not None:
+                bad += 1
+            elif why := self._admit(state, r["trigger"].asDict(recursive=True), r["log_ns"], r["publish_ns"], time.time_ns()):
                 refused.append((r["recording_id"], r["offset"], r["inner_seq"], why, r["trigger"]["name"]))
-        bad = found.filter("error is not null")
-        n = bad.count()
-        if n:
-            state.refused["undecodable"] = state.refused.get("undecodable", 0) + n
-        if not n and not refused:
+        if bad:
+            state.refused["undecodable"] = state.refused.get("undecodable", 0) + bad
+        if not bad and not refused:
             return None
         whys = self.spark.createDataFrame(refused, "r long, o long, i int, reason string, name string")
         same = F.col("recording_id").eqNullSafe(F.col("r")) & (F.col("offset") == F.col("o")) & (F.col("inner_seq") == F.col("i"))
         rest = ["log_ns", "publish_ns", "message_encoding", "payload"]
         of = F.col("recording_id").alias("of_recording")
-        lost = bad.select(of, "offset", "inner_seq", F.col("error").alias("reason"), F.lit(None).cast("string").alias("name"), *rest).unionByName(found.filter("error is null").join(whys, same).select(of, "offset", "inner_seq", "reason", "name", *rest))
+        lost = found.filter("error is not null").select(of, "offset", "inner_seq", F.col("error").alias("reason"), F.lit(None).cast("string").alias("name"), *rest).unionByName(found.filter("error is null").join(whys, same).select(of, "offset", "inner_seq", "reason", "name", *rest))
         return lost.withColumns({"recording_id": F.lit(-1).cast("long"), "source": F.lit(source)})
 
     def dead_letters(self) -> DataFrame:
@@ -413,6 +432,7 @@ class Live:
             self.index.prune([str(r) for r in gone])
             for r in gone:
                 path = self.state.paths.pop(str(r), None)
+                self.state.taps.pop(str(r), None)
                 del self.state.bounds[str(r)]
                 if self.params.delete_pruned and path and path not in self.state.paths.values() and os.path.exists(path):
                     os.unlink(path)

@@ -24,6 +24,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -304,13 +305,17 @@ def _cleaned(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("body", T.StringType())]))
 
 
+@F.pandas_udf(T.ArrayType(SPANS.elementType))
+def _union(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The merged spans of two lists of spans."""
+    every = (merged([(s["start"], s["end"]) for x in both for s in x]) for both in zip(a, b, strict=True))
+    return pd.Series([[{"start": s, "end": e} for s, e in spans] for spans in every], dtype=object)
+
+
 def _joined() -> list:
     """The findings of two blocks as one."""
     old = F.col("row.before")
-    spans = F.aggregate(
-        F.array_sort(F.concat(old["spans"], F.col("spans"))), F.array().cast(SPANS),
-        lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] <= F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))),
-    )
+    spans = _union(old["spans"], F.col("spans"))
     hit = F.aggregate(spans, F.lit(0).cast("long"), lambda acc, s: acc + (s["end"] - s["start"]))
     items = F.array_sort(F.array_union(old["items"], F.col("items")))
     nameless = F.greatest(old["n_items"] - F.size(old["items"]), F.col("n_items") - F.size("items"))

@@ -300,10 +300,10 @@ def _grid(nodes: DataFrame) -> tuple[DataFrame, list[str]]:
     """The candidates: key, size and `at`, the local component of a cell that the node is in; components of one are left out."""
     prints = [f"f{k}" for k in range(WORDS)]
     put = nodes.select("key", "size", *[F.col("fp")[k].alias(f) for k, f in enumerate(prints)], F.explode("bands").alias("cell"))
-    # hot cells are dealt as pairs of blocks; they are few, as each has many nodes
+    # hot cells are dealt as pairs of blocks; they are few, as each has many nodes, so Spark broadcasts them by their table's size
     hot = put.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > GRID_CELL).select("cell", F.ceil(F.col("n") / GRID_CELL).cast("int").alias("blocks"))
     hot, hot_path = cut(hot, "neardup-hot")
-    held = put.join(F.broadcast(hot), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("side", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    held = put.join(hot, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("side", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("side", o).alias("i"), F.greatest("side", o).alias("j"))))
     by = ["cell", "i", "j"]
     dealt = held.select("cell", "key", "size", *prints, pairs.alias("p")).select("cell", "p.i", "p.j", "key", "size", *prints)

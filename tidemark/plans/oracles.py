@@ -104,7 +104,10 @@ SELECT trigger_id, topic, row_number() OVER (PARTITION BY trigger_id ORDER BY se
     "completions": BASE + ALL_SEGMENTS + f"""SELECT trigger_id, name, string_agg({FILE}, ',' ORDER BY segment_no) AS filenames, description, CAST(0 AS BIGINT) AS trigger_time_ns, preroll_ns
 FROM seg JOIN wp USING (trigger_id) GROUP BY trigger_id, name, description, preroll_ns""",
     "empty_windows": BASE + "SELECT trigger_id, start_ns, end_ns, CAST(0 AS BIGINT) AS messages FROM wl w WHERE NOT EXISTS (SELECT 1 FROM m WHERE topic <> 'error' AND log_ns BETWEEN w.start_ns AND w.end_ns)",
-    "boundary_inclusive": BASE + "SELECT trigger_id, count(*) AS messages, min(m.log_ns) AS stamp_ns FROM t JOIN m ON m.log_ns BETWEEN t.log_ns AND t.log_ns GROUP BY 1",
+    "boundary_inclusive": BASE + """
+, n AS (SELECT "offset" AS trigger_id, lag(log_ns) OVER o AS before, lead(log_ns) OVER o AS after FROM m WINDOW o AS (PARTITION BY recording_id ORDER BY log_ns, "offset")),
+w AS (SELECT trigger_id, CASE WHEN trigger_id % 2 = 0 THEN log_ns ELSE coalesce(before, log_ns) END AS start_ns, CASE WHEN trigger_id % 2 = 0 THEN coalesce(after, log_ns) ELSE log_ns END AS end_ns FROM t JOIN n USING (trigger_id))
+SELECT trigger_id, count(*) AS messages, min(log_ns) AS first_ns, max(log_ns) AS last_ns FROM w JOIN m ON m.log_ns BETWEEN start_ns AND end_ns GROUP BY 1""",
     "extent_index": BASE + RECORDS + 'SELECT recording_id, extent_no, "offset", len, records, log_min, log_max, publish_min, publish_max FROM x',
     "extent_tiling_check": BASE + RECORDS + """, g AS (SELECT *, lag("offset" + len) OVER (PARTITION BY recording_id ORDER BY extent_no) AS ends FROM x)
 SELECT recording_id, count_if("offset" <> coalesce(ends, 8)) AS gaps, CAST(sum(len) AS BIGINT) AS bytes FROM g GROUP BY 1""",

@@ -102,11 +102,15 @@ def empty_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boundary_inclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows that end exactly at a message: half of each window's end moved to the next message's stamp."""
+    """Windows from a trigger exactly to the next message of its recording, or exactly from the one before: both ends belong to it."""
     m = adapters.messages(spark, sf_dir)
-    t = adapters.triggers(spark, sf_dir).withColumn("preroll_ns", F.lit(0))
-    found = windows.matches(windows.with_windows(t).withColumn("end_ns", F.col("anchor_ns")), m)
-    return found.groupBy("trigger_id").agg(F.count("*").alias("messages"), F.min("stamp_ns").alias("stamp_ns"))
+    order = Window.partitionBy("recording_id").orderBy("log_ns", "offset")
+    near = m.select(F.col("offset").alias("trigger_id"), F.lag("log_ns").over(order).alias("before"), F.lead("log_ns").over(order).alias("after"))
+    t = adapters.triggers(spark, sf_dir).withColumns({"preroll_ns": F.lit(0), "postroll_ns": F.lit(0)})
+    even = F.col("trigger_id") % 2 == 0
+    ends = {"end_ns": F.when(even, F.coalesce("after", "end_ns")).otherwise(F.col("end_ns")), "start_ns": F.when(even, F.col("start_ns")).otherwise(F.coalesce("before", "start_ns"))}
+    w = windows.with_windows(t).join(near, "trigger_id").withColumns(ends)
+    return windows.matches(w, m).groupBy("trigger_id").agg(F.count("*").alias("messages"), F.min("stamp_ns").alias("first_ns"), F.max("stamp_ns").alias("last_ns"))
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,8 +80,10 @@ def test_op1_backs_off_to_shorter_grams(monkeypatch, dense):
     assert m.vector("777") is None and langid.judge(m)("q q")[0] == "a"
 
 
-def test_op1_equals_brute_force(spark, sf, docs):
+@pytest.mark.parametrize("keys", [langid.KEYS, 0])
+def test_op1_equals_brute_force(spark, sf, docs, monkeypatch, keys):
     """Counts, vectors and scores anew from the texts that are not held out; the sample holds all of them here."""
+    monkeypatch.setattr(langid, "KEYS", keys)
     found = run("op1_language", spark, sf).set_index("doc_id")
     split = lambda t: [w for w in re.findall(r"[^\W\d_]+", t.lower())]
     counts, seen = {}, set()
@@ -117,6 +119,31 @@ def test_op1_equals_brute_force(spark, sf, docs):
         assert found.lang_pred[i] == langs[mean.index(best)] and abs(found.score[i] - 1 / sum(math.exp(v - best) for v in mean)) < 1e-4
 
 
+@pytest.mark.parametrize("keys", [langid.KEYS, 0])
+def test_op1_learns_every_language_and_key(spark, monkeypatch, keys):
+    """Of 5,000 languages, each with words of its own, every one is predicted, in memory and from shards."""
+    monkeypatch.setattr(langid, "KEYS", keys)
+    name = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(3))
+    own = lambda k: f"{name(k)}qq{name(k)} zz{name(k)}"
+    rows = spark.createDataFrame([(k, f"l{k:04}", own(k)) for k in range(5000)], "doc_id long, lang string, text string")
+    model = langid.train(rows)
+    assert len(model.languages) == 5000 and isinstance(model, langid.Mapped) == (keys == 0)
+    asked = spark.createDataFrame([(k, own(k)) for k in [*range(0, 5000, 250), 4999]], "doc_id long, text string")
+    found = langid.predict(langid.packed(asked), model).select("row.doc_id", "lang_pred").collect()
+    assert len(found) == 21 and all(r["lang_pred"] == f"l{r['doc_id']:04}" for r in found)
+
+
+def test_op1_mapped_model_is_the_model_in_memory(spark, docs, monkeypatch):
+    labelled = spark.createDataFrame(docs[["text", "lang"]])
+    whole = langid.train(labelled)
+    monkeypatch.setattr(langid, "KEYS", 0)
+    mapped = langid.train(labelled)
+    assert isinstance(mapped, langid.Mapped) and mapped.languages == whole.languages
+    for word in [*list(whole.places[0])[::50], "zabcz", "qqqqq", "x", "9", "\u4f60\u597d", "a" * 300]:
+        a, b = whole.vector(word), mapped.vector(word)
+        assert (a is None) == (b is None) and (a is None or np.allclose(a, b, rtol=1e-4))
+
+
 # benchmark decontamination
 
 

@@ -7,10 +7,12 @@ greatest sum is predicted; the score is its share in a softmax over the mean per
 words up to SHARP.
 
 Training reads a sample of labelled texts that is bounded by SAMPLE distinct texts a language in expectation: a text is
-in it if a hash of it and its language falls under the language's rate. Words and n-grams are counted in Spark. The model
-is a classifier fitted on that sample, so its size is bounded too: of at most LANGUAGES languages (the most frequent), it
-keeps KEYS counts in all, the most frequent ones of each language and length; with a few languages that is all of them.
-Vectors are sparse, a key costs what its own languages do.
+in it if a hash of it and its language falls under the language's rate. Words and n-grams are counted in Spark. Every
+language of the sample and every word and n-gram of its texts is in the model. Vectors are sparse, a key costs what its
+own languages do. A model of up to KEYS counts is held in memory and broadcast. A larger one never passes the driver:
+Spark sorts its counts by a 64-bit hash of the key into shards, flat files in the shared folder, which workers map and
+search; vectors and results are the same (two keys of n share a hash with a chance of n^2 / 2^65). What the driver and
+each worker hold then grows with the number of languages only: twelve numbers a language, and the list of shards.
 
 Defined results: a text that is null or has no letter is `und` with score 0. Rows without a language or text teach
 nothing; with no labelled rows at all every text is `und`. Ties of score go to the language that sorts first. Texts are
@@ -21,21 +23,26 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from array import array
 from collections import Counter
 from collections.abc import Iterable
+from contextlib import ExitStack
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, column, packed
+from .common import annotate, column, cut, drop, new_path, packed
+from .warc import _store
 
 SAMPLE = 4000
-#: Counts of words and n-grams in a model, and its languages: the bounds of what is collected and broadcast.
+#: Counts of words and n-grams up to which a model is held in memory: the bound of what is collected and broadcast.
 KEYS = 2_000_000
-LANGUAGES = 4096
 #: Numbers up to which a model's vectors are written out too, which is the same and faster.
 DENSE = 16_000_000
 ORDERS = (5, 4, 3, 2, 1)
@@ -48,6 +55,7 @@ CACHE_BYTES = 64 << 20
 
 #: Letters and numbers that are no decimal digits, in Python's and in Java's words.
 _WORD, _JAVA_WORD = re.compile(r"[^\W\d_]+"), r"[\p{L}\p{Nl}\p{No}]+"
+_SHARD = T.StructType([T.StructField("path", T.StringType()), T.StructField("first", T.LongType()), T.StructField("n", T.LongType()), T.StructField("counts", T.LongType())])
 FOUND = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
@@ -55,6 +63,17 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def base(languages: list[str], totals: dict[tuple[str, int], int], sizes: dict[int, int]) -> dict[int, np.ndarray]:
+    """The vector of a key that no language has, by order. sizes: distinct keys of each order."""
+    total = {o: np.array([totals.get((x, o), 0) for x in languages], float) for o in sizes}
+    return {o: np.log(0.5 / (total[o] + 0.5 * n + 1)).astype(np.float32) for o, n in sizes.items()}
+
+
+def added(counts: np.ndarray) -> np.ndarray:
+    """What counts add to the vector of a key that no language has."""
+    return np.log(2 * counts + 1).astype(np.float32)
+
+
 class Model:
     """Log-frequency vectors over the languages, for words (order 0) and for n-grams by length.
 
@@ -70,14 +89,13 @@ class Model:
         for lang, o, key, c in rows:
             for column_, x in zip(counts[o], (self.places[o].setdefault(key, len(self.places[o])), column_of[lang], c), strict=True):
                 column_.append(x)
-        self.base, self.edges, self.langs, self.adds = {}, {}, {}, {}
+        self.base = base(self.languages, totals, {o: len(x) for o, x in self.places.items()})
+        self.edges, self.langs, self.adds = {}, {}, {}
         for o, found in counts.items():
             place, lang, n = (np.array(x, np.int64) for x in found)
             order = np.lexsort((lang, place))
-            total = np.array([totals.get((x, o), 0) for x in self.languages], float)
-            self.base[o] = np.log(0.5 / (total + 0.5 * len(self.places[o]) + 1)).astype(np.float32)
             self.edges[o] = np.searchsorted(place[order], np.arange(len(self.places[o]) + 1))
-            self.langs[o], self.adds[o] = lang[order].astype(np.int32), np.log(2 * n[order] + 1).astype(np.float32)
+            self.langs[o], self.adds[o] = lang[order].astype(np.int32), added(n[order])
 
         self.whole: dict[int, np.ndarray] = {}
         if sum(map(len, self.places.values())) * len(self.languages) <= DENSE:
@@ -86,6 +104,11 @@ class Model:
                 full[np.repeat(np.arange(len(found)), np.diff(self.edges[o])), self.langs[o]] += self.adds[o]
                 self.whole[o] = full
 
+    def find(self, o: int, keys: list[str]) -> list[int]:
+        """The places of those of the keys that the model knows."""
+        get = self.places[o].get
+        return [k for x in keys if (k := get(x)) is not None]
+
     def summed(self, o: int, places: list[int]) -> np.ndarray:
         """The sum of the vectors of some keys of an order."""
         if self.whole:
@@ -98,22 +121,115 @@ class Model:
 
     def vector(self, word: str) -> np.ndarray | None:
         """The word's vector; for an unseen word that of its longest known n-grams; None if it has none."""
-        if (k := self.places[0].get(word)) is not None:
-            return self.summed(0, [k])
+        if known := self.find(0, [word]):
+            return self.summed(0, known)
         padded = f" {word} "
         for step, n in enumerate(ORDERS, 1):
-            get, text = self.places[n].get, padded if n > 1 else word
-            known = [k for i in range(len(text) - n + 1) if (k := get(text[i : i + n])) is not None]
-            if known:
+            text = padded if n > 1 else word
+            if known := self.find(n, [text[i : i + n] for i in range(len(text) - n + 1)]):
                 return self.summed(n, known) * np.float32(STEP_BACK**step / len(known))
         return None
 
 
+class Mapped(Model):
+    """A model whose counts are sorted shards in the shared folder.
+
+    A shard has a place for each key, by its hash: its languages and what they add lie between its edge and the next.
+    Where the shared folder isn't a path that every node mounts, each worker reads the shards whole.
+    """
+
+    def __init__(self, languages: list[str], base: dict[int, np.ndarray], listed: list[tuple[str, int, int, int]]):
+        """listed: path, first hash, keys and counts of each shard."""
+        self.languages, self.base, self.listed = languages, base, sorted(listed, key=lambda x: x[1])
+        self.firsts = np.array([x[1] for x in self.listed], np.int64)
+        self.starts = np.cumsum([0, *[x[2] for x in self.listed]])  # places before each shard
+        self.open: dict[int, tuple[np.ndarray, ...]] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"open": {}}
+
+    def shard(self, k: int) -> tuple[np.ndarray, ...]:
+        """The hashes, edges, languages and additions of a shard."""
+        if k not in self.open:
+            path, _, n, counts = self.listed[k]
+            self.open[k] = tuple(_mapped(path + end, kind, size) for (end, kind), size in zip(_FILES, (n, n + 1, counts, counts), strict=True))
+        return self.open[k]
+
+    def find(self, o: int, keys: list[str]) -> list[int]:
+        if not len(self.firsts):
+            return []
+        sought = np.array([xxhash.xxh64_intdigest(f"{o}{x}", 42) for x in keys], np.uint64).view(np.int64)
+        out = np.full(len(keys), -1)
+        of = np.searchsorted(self.firsts, sought, side="right") - 1
+        for k in np.unique(of[of >= 0]):
+            here = np.flatnonzero(of == k)
+            hashes = self.shard(k)[0]
+            at = np.searchsorted(hashes, sought[here])
+            hit = hashes[np.minimum(at, len(hashes) - 1)] == sought[here]
+            out[here[hit]] = self.starts[k] + at[hit]
+        return out[out >= 0].tolist()
+
+    def summed(self, o: int, places: list[int]) -> np.ndarray:
+        out = self.base[o] * np.float32(len(places))
+        for p in places:
+            k = int(np.searchsorted(self.starts, p, side="right")) - 1
+            _, edges, langs, adds = self.shard(k)
+            s, e = edges[p - self.starts[k]], edges[p - self.starts[k] + 1]
+            out[langs[s:e]] += adds[s:e]
+        return out
+
+
+#: A shard's files and the kinds of their numbers.
+_FILES = ((".keys", "<i8"), (".edges", "<i8"), (".langs", "<i4"), (".adds", "<f4"))
+
+
+def _mapped(path: str, kind: str, n: int) -> np.ndarray:
+    store, where = _store(path)
+    if store.type_name == "local":
+        return np.memmap(where, kind, "r", shape=(n,))
+    with store.open_input_file(where) as f:
+        return np.frombuffer(f.read(), kind)
+
+
+def shards(counted: DataFrame, numbers: DataFrame, folder: str) -> DataFrame:
+    """Sorts counts (lang, o, key, n) by their keys' hashes into shards in `folder`; returns the list of shards.
+
+    numbers: each lang's number. All counts of a key, one a language, meet in one range and are written as they stream by.
+    """
+
+    def run(batches):
+        store, where = _store(folder)
+        store.create_dir(where, recursive=True)
+        path = f"{folder.rstrip('/')}/{TaskContext.get().partitionId()}-{uuid.uuid4().hex}"
+        first, last, n, done = None, None, 0, 0
+        with ExitStack() as stack:
+            keys, edges, langs, adds = (stack.enter_context(store.open_output_stream(_store(path + end)[1], compression=None)) for end, _ in _FILES)
+            for batch in batches:
+                h, number, count = (c.to_numpy() for c in batch.columns)
+                if not len(h):
+                    continue
+                new = np.flatnonzero(np.diff(h, prepend=h[0]) != 0)
+                if last is None or h[0] != last:
+                    new = np.concatenate([[0], new])
+                keys.write(h[new].astype("<i8").tobytes())
+                edges.write((done + new).astype("<i8").tobytes())
+                langs.write(number.astype("<i4").tobytes())
+                adds.write(added(count).astype("<f4").tobytes())
+                first, last = int(h[0]) if first is None else first, h[-1]
+                n, done = n + len(new), done + len(h)
+            edges.write(np.array([done], "<i8").tobytes())
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([path]), *[pa.array([x], pa.int64()) for x in (first, n, done)]], names=_SHARD.names)
+
+    hashed = counted.join(numbers, "lang").select(F.xxhash64(F.concat(F.col("o").cast("string"), "key")).alias("h"), "number", "n")
+    return hashed.repartitionByRange("h").sortWithinPartitions("h", "number").mapInArrow(run, _SHARD)
+
+
 def judge(model: Model):
     """A function from texts to predicted languages and scores."""
     limit = max(1, min(CACHE, CACHE_BYTES // (4 * max(1, len(model.languages)))))
     cache: dict[str, int] = {}
-    store = np.zeros((1024, len(model.languages)), np.float32)  # row 0 is that of words without any known n-gram
+    store = np.zeros((min(1024, limit + 1), len(model.languages)), np.float32)  # row 0 is that of words without any known n-gram
 
     def place(word: str) -> int:
         nonlocal store
@@ -122,7 +238,7 @@ def judge(model: Model):
             return 0
         k = len(cache) + 1
         if k >= len(store):
-            store = np.concatenate([store, np.zeros_like(store)])
+            store = np.concatenate([store, np.zeros((min(len(store), limit + 1 - len(store)), store.shape[1]), np.float32)])
         store[k] = v
         cache[word] = k
         return k
@@ -147,16 +263,19 @@ def judge(model: Model):
     return one
 
 
-def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", sample: int = SAMPLE, keys: int = KEYS, languages: int = LANGUAGES) -> Model:
+def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
     """A model from a bounded sample of rows with text and language."""
     rows = labelled.select(column(lang).cast("string").alias("lang"), column(text).alias("body")).filter("lang is not null and body is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    spark = labelled.sparkSession
+    sizes = sorted(rows.groupBy("lang").count().collect())  # a row for each language
     if not sizes:
         return Model([], [], {})
+    languages = [r["lang"] for r in sizes]
     scale = 1 << 30
-    rate = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(scale, math.ceil(scale * sample / r["count"]))))])
+    listed = [(r["lang"], k, min(scale, math.ceil(scale * sample / r["count"]))) for k, r in enumerate(sizes)]
+    numbers, _ = cut(spark.createDataFrame(listed, "lang string, number int, rate long"), "language-numbers")  # Spark sees the size and broadcasts a small one
     mark = F.xxhash64("lang", "body")
-    chosen = rows.filter(F.pmod(mark, F.lit(scale)) < F.coalesce(rate[F.col("lang")], F.lit(0)))
+    chosen = rows.join(numbers, "lang").filter(F.pmod(mark, F.lit(scale)) < F.col("rate")).select("lang", "body")
     chosen = chosen.groupBy("lang", mark.alias("mark")).agg(F.first("body").alias("body"))  # a text teaches once, however often it is repeated
     # words are counted once; n-grams follow from the counted words
     word = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("body"), F.lit(_JAVA_WORD), F.lit(0))).alias("w")).groupBy("lang", "w").count()
@@ -164,18 +283,16 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", sample
     cut_ = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded if n > 1 else F.col("w")) - n + 1, F.lit(1))), lambda i: F.struct(F.lit(n).alias("o"), F.substring(padded if n > 1 else F.col("w"), i, F.lit(n)).alias("key")))
     every = F.concat(F.array(F.struct(F.lit(0).alias("o"), F.col("w").alias("key"))), *[cut_(n) for n in ORDERS])
     counted = word.select("lang", "count", F.explode(every).alias("g")).groupBy("lang", "g.o", "g.key").agg(F.sum("count").alias("n"))
-    ranked = counted.withColumn("all", F.sum("n").over(Window.partitionBy("lang", "o"))).withColumn("k", F.row_number().over(Window.partitionBy("lang", "o").orderBy(F.desc("n"), "key")))
-    top = max(1, keys // (len(sizes) * (len(ORDERS) + 1)))
-    kept = ranked.filter(F.col("k") <= top).select("lang", "o", "key", "n", "all").toArrow()  # at most `keys` rows
-    totals: dict[tuple[str, int], int] = {}
-
-    def entries():
-        for batch in kept.to_batches(max_chunksize=10_000):
-            for lang_, o, key, n, whole in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                totals[lang_, o] = whole
-                yield lang_, o, key, n
-
-    return Model([r["lang"] for r in sizes], entries(), totals)
+    counted, path = cut(counted, "language-counts")
+    totals = {(r["lang"], r["o"]): r["n"] for r in counted.groupBy("lang", "o").agg(F.sum("n").alias("n")).collect()}  # a row for each language and order
+    if counted.count() > KEYS:
+        sizes_ = {o: 0 for o in (0, *ORDERS)} | {r["o"]: r["n"] for r in counted.groupBy("o").agg(F.countDistinct("key").alias("n")).collect()}
+        files, _ = cut(shards(counted, numbers.select("lang", "number"), new_path(spark, "language-shards")), "language-list")
+        drop(spark, path)
+        return Mapped(languages, base(languages, totals, sizes_), [tuple(r) for r in files.collect()])  # a row for each range of the sort
+    kept = counted.select("lang", "o", "key", "n").toArrow()  # at most KEYS rows
+    drop(spark, path)
+    return Model(languages, (row for batch in kept.to_batches(max_chunksize=10_000) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)), totals)
 
 
 def predict(rows: DataFrame, model: Model, *, text: str = "text") -> DataFrame:

@@ -130,6 +130,9 @@ class Model:
                 return self.summed(n, known) * np.float32(STEP_BACK**step / len(known))
         return None
 
+    def vectors(self, words: list[str]) -> Iterable[np.ndarray | None]:
+        return map(self.vector, words)
+
 
 class Mapped(Model):
     """A model whose counts are sorted shards in the shared folder.
@@ -142,7 +145,6 @@ class Mapped(Model):
         """listed: path, first hash, keys and counts of each shard."""
         self.languages, self.base, self.listed = languages, base, sorted(listed, key=lambda x: x[1])
         self.firsts = np.array([x[1] for x in self.listed], np.int64)
-        self.starts = np.cumsum([0, *[x[2] for x in self.listed]])  # places before each shard
         self.open: dict[int, tuple[np.ndarray, ...]] = {}
 
     def __getstate__(self):
@@ -155,28 +157,39 @@ class Mapped(Model):
             self.open[k] = tuple(_mapped(path + end, kind, size) for (end, kind), size in zip(_FILES, (n, n + 1, counts, counts), strict=True))
         return self.open[k]
 
-    def find(self, o: int, keys: list[str]) -> list[int]:
-        if not len(self.firsts):
-            return []
+    def vector(self, word: str) -> np.ndarray | None:
+        return self.vectors([word])[0]
+
+    def vectors(self, words: list[str]) -> list[np.ndarray | None]:
+        """The vectors of words, looked up together, an order at a time."""
+        out, left = np.zeros((len(words), len(self.languages)), np.float32), np.arange(len(words))
+        for step, o in enumerate((0, *ORDERS)):
+            texts = [words[k] if o < 2 else f" {words[k]} " for k in left]
+            sizes = [max(0, len(t) - o + 1) if o else 1 for t in texts]
+            keys = [t[i : i + o] for t in texts for i in range(len(t) - o + 1)] if o else texts
+            known = self.add(out, o, keys, np.repeat(left, sizes))
+            got = np.flatnonzero(known)
+            out[got] = (out[got] + known[got, None] * self.base[o]) * np.float32(STEP_BACK**step) / known[got, None]
+            left = left[known[left] == 0]
+        none = set(left.tolist())
+        return [None if k in none else v for k, v in enumerate(out)]
+
+    def add(self, out: np.ndarray, o: int, keys: list[str], rows: np.ndarray) -> np.ndarray:
+        """Adds to each key's row of `out` what its languages add; returns the number of known keys of each row."""
+        known = np.zeros(len(out), np.float32)
         sought = np.array([xxhash.xxh64_intdigest(f"{o}{x}", 42) for x in keys], np.uint64).view(np.int64)
-        out = np.full(len(keys), -1)
         of = np.searchsorted(self.firsts, sought, side="right") - 1
         for k in np.unique(of[of >= 0]):
             here = np.flatnonzero(of == k)
-            hashes = self.shard(k)[0]
+            hashes, edges, langs, adds = self.shard(k)
             at = np.searchsorted(hashes, sought[here])
             hit = hashes[np.minimum(at, len(hashes) - 1)] == sought[here]
-            out[here[hit]] = self.starts[k] + at[hit]
-        return out[out >= 0].tolist()
-
-    def summed(self, o: int, places: list[int]) -> np.ndarray:
-        out = self.base[o] * np.float32(len(places))
-        for p in places:
-            k = int(np.searchsorted(self.starts, p, side="right")) - 1
-            _, edges, langs, adds = self.shard(k)
-            s, e = edges[p - self.starts[k]], edges[p - self.starts[k] + 1]
-            out[langs[s:e]] += adds[s:e]
-        return out
+            at, row = at[hit], rows[here[hit]]
+            np.add.at(known, row, 1)
+            size = edges[at + 1] - edges[at]
+            each = np.repeat(edges[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            np.add.at(out, (np.repeat(row, size), langs[each]), adds[each])
+        return known
 
 
 #: A shard's files and the kinds of their numbers.
@@ -186,7 +199,7 @@ _FILES = ((".keys", "<i8"), (".edges", "<i8"), (".langs", "<i4"), (".adds", "<f4
 def _mapped(path: str, kind: str, n: int) -> np.ndarray:
     store, where = _store(path)
     if store.type_name == "local":
-        return np.memmap(where, kind, "r", shape=(n,))
+        return np.asarray(np.memmap(where, kind, "r", shape=(n,)))
     with store.open_input_file(where) as f:
         return np.frombuffer(f.read(), kind)
 
@@ -231,17 +244,15 @@ def judge(model: Model):
     cache: dict[str, int] = {}
     store = np.zeros((min(1024, limit + 1), len(model.languages)), np.float32)  # row 0 is that of words without any known n-gram
 
-    def place(word: str) -> int:
+    def keep(word: str, v: np.ndarray | None) -> None:
         nonlocal store
-        if (v := model.vector(word)) is None:
-            cache[word] = 0
-            return 0
-        k = len(cache) + 1
-        if k >= len(store):
-            store = np.concatenate([store, np.zeros((min(len(store), limit + 1 - len(store)), store.shape[1]), np.float32)])
-        store[k] = v
+        k = 0
+        if v is not None:
+            k = len(cache) + 1
+            if k >= len(store):
+                store = np.concatenate([store, np.zeros((min(len(store), limit + 1 - len(store)), store.shape[1]), np.float32)])
+            store[k] = v
         cache[word] = k
-        return k
 
     def one(text: str) -> tuple[str, float]:
         counts = Counter(words(text))
@@ -252,7 +263,11 @@ def judge(model: Model):
             part = got[i : i + limit]
             if len(cache) + len(part) > limit:
                 cache.clear()
-            at = [k if (k := cache.get(w)) is not None else place(w) for w in part]
+            at = [cache.get(w, -1) for w in part]
+            if fresh := [w for w, k in zip(part, at, strict=True) if k < 0]:
+                for w, v in zip(fresh, model.vectors(fresh), strict=True):
+                    keep(w, v)
+                at = [cache[w] for w in part]
             n = np.fromiter((counts[w] for w in part), np.float32, len(part))
             total += n @ store[at]
             all_ += int(n.sum())

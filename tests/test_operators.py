@@ -261,6 +261,26 @@ def test_one_admission_count_over_all_sources(spark, conf, spell):
     assert coverage.admitted(t.limit(0), by=None).collect() == []
 
 
+def test_admission_rounds_do_not_grow_with_partitions(spark, conf):
+    """Slots that stay taken throughout: ranges never forget, and there are at most as many jobs as ranges, however many partitions."""
+    conf(shuffle_partitions=64, adaptive_coalescePartitions_enabled="false")
+    random.seed(9)
+    rows = [(0, k, k // 2 * 10, k // 2 * 10 + random.randrange(190, 210), None) for k in range(600)]
+    t = spark.createDataFrame(rows, "recording_id long, trigger_id long, log_ns long, finish_ns long, reject_reason string").coalesce(1)
+    active, want = [], {}
+    for _, k, at, finish, _ in rows:
+        active = [x for x in active if x > at]
+        want[k] = len(active) < 3
+        active += [finish] if want[k] else []
+    spark.sparkContext.setJobGroup("admission", "admission")
+    try:
+        got = {r["trigger_id"]: r["admitted"] for r in coverage.admitted(t, limit=3, by=None).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("admission"))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert got == want and jobs <= 3 * coverage.LEAST_RANGES + 6
+
+
 def test_discovery(spark):
     f = spark.createDataFrame([("a", 1, 5), ("b", 2, 3), ("b2", 2, 3), ("c", 3, 9)], "path string, inode long, mtime long")
     assert discovery.newest(f, "mtime", "path").first()["path"] == "c"

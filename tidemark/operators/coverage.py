@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ from tidemark.operators.windows import BIN_NS, bin_of
 
 #: Bins of a group of bins; there are at most a few thousand groups, however wild the stamps.
 GROUP = 4096
+#: Ranges of arrival of one admission count: one for so many triggers, but so many at least and at most.
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 1 << 20, 8, 64
 
 
 def first_passage(points: DataFrame, messages: DataFrame, value: Column, arrival: Column, *, width: int = BIN_NS) -> DataFrame:
@@ -81,20 +85,38 @@ def pruned(recordings: DataFrame, now: Column, retention_ns: int) -> Column:
     return (F.col("state") == "Ended") & ~F.col("is_current") & F.col("log_max").isNotNull() & (F.col("log_max") < sat_sub(now, retention_ns))
 
 
-def _admitting(rows, active: list[int], limit: int) -> list[bool]:
-    """Whether each of (log_ns, finish_ns, reject_reason), in order, is admitted; active, a heap of finish times, moves on."""
-    out = []
-    for at, finish, reason in rows:
-        while active and active[0] <= at:
+def _admitting(at: np.ndarray, finish: np.ndarray, active: list[int], limit: int) -> np.ndarray:
+    """Whether each of some valid triggers, in order of arrival, is admitted; active, a heap of finish times, moves on.
+
+    While all slots are taken those that arrive before the first is free are passed over at once.
+    """
+    out, k = np.zeros(len(at), bool), 0
+    while k < len(at) and limit > 0:
+        while active and active[0] <= at[k]:
             heapq.heappop(active)
-        ok = reason is None and len(active) < limit
-        if ok:
-            heapq.heappush(active, finish)
-        out.append(ok)
+        if len(active) < limit:
+            heapq.heappush(active, int(finish[k]))
+            out[k] = True
+            k += 1
+        else:
+            k += int(np.searchsorted(at[k:], active[0]))
     return out
 
 
-_ADMITTED = ("log_ns", "finish_ns", "reject_reason")
+def _folded(batches: Iterator[pa.RecordBatch], key: str, before: dict, limit: int) -> Iterator[tuple]:
+    """Each batch, sorted by key and arrival, with its decisions and the finish times active after each key in it."""
+    at, active = None, []
+    for b in batches:
+        keys, log, finish = b.column(key).to_pylist(), *(b.column(c).fill_null(0).to_numpy() for c in ("log_ns", "finish_ns"))
+        valid, out, after = b.column("reject_reason").is_null().to_numpy(zero_copy_only=False), np.zeros(b.num_rows, bool), {}
+        cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)] if keys else []
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            if keys[a] != at:
+                at, active = keys[a], list(before.get(keys[a], []))
+            places = a + np.flatnonzero(valid[a:z])
+            out[places] = _admitting(log[places], finish[places], active, limit)
+            after[at] = sorted(x for x in active if x > log[z - 1])
+        yield b, out, after
 
 
 def admitted(triggers: DataFrame, *, limit: int = MAX_ACTIVE, by: str | None = "recording_id") -> DataFrame:
@@ -106,19 +128,23 @@ def admitted(triggers: DataFrame, *, limit: int = MAX_ACTIVE, by: str | None = "
     """
     if by is None:
         return _admitted_by_all(triggers, limit)
+    return _decided(triggers.repartition(by).sortWithinPartitions(by, "log_ns", "trigger_id"), by, {}, limit)
+
+
+def _decided(ordered: DataFrame, key: str, before: dict, limit: int) -> DataFrame:
+    def decide(batches):
+        for b, out, _ in _folded(batches, key, before, limit):
+            yield b.append_column("admitted", pa.array(out))
 
-    def fold(batches):
-        source, active = None, []
-        for b in batches:
-            out = []
-            for s, *row in zip(*(b.column(k).to_pylist() for k in (by, *_ADMITTED)), strict=True):
-                if s != source:
-                    source, active = s, []
-                out += _admitting([row], active, limit)
-            yield b.append_column("admitted", pa.array(out, type=pa.bool_()))
+    return ordered.mapInArrow(decide, T.StructType([*ordered.schema.fields, T.StructField("admitted", T.BooleanType())]))
 
-    ordered = triggers.repartition(by).sortWithinPartitions(by, "log_ns", "trigger_id")
-    return ordered.mapInArrow(fold, T.StructType([*ordered.schema.fields, T.StructField("admitted", T.BooleanType())]))
+
+def _ranges(triggers: DataFrame) -> Column:
+    """The range of each trigger by its arrival: ranges of about equal numbers, cut at quantiles."""
+    n, cuts = triggers.agg(F.count("*"), F.percentile_approx("log_ns", [k / MOST_RANGES for k in range(1, MOST_RANGES)], 1000)).first()
+    number = max(LEAST_RANGES, min(MOST_RANGES, n // RANGE_ROWS))
+    cuts = sorted({cuts[k * MOST_RANGES // number - 1] for k in range(1, number)}) if cuts else []
+    return sum((F.when(F.col("log_ns") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
 
 
 def _admitted_by_all(triggers: DataFrame, limit: int) -> DataFrame:
@@ -129,43 +155,29 @@ def _admitted_by_all(triggers: DataFrame, limit: int) -> DataFrame:
     predecessor ended otherwise are taken again from what it ended with, until none changes. That is the fold: the first
     range is right at once, and a range that follows a right one is right in the next round. Ranges forget: a busy spell
     that ends within a range makes its end the same from any beginning, so few rounds are usual, and a round runs only
-    the ranges that changed. The driver holds at most `limit` finish times of each range.
+    the ranges that changed. While slots stay taken throughout, ranges needn't forget, and there are as many rounds as
+    ranges; so their number is not that of Spark's partitions but small, and a round is one job however many rows there
+    are. The driver holds at most `limit` finish times of each range.
     """
-    spark = triggers.sparkSession
-    number = T.StructField("range", T.IntegerType())
-    order = triggers.repartitionByRange("log_ns", "trigger_id").sortWithinPartitions("log_ns", "trigger_id")
-    ranged = order.withColumn("range", F.spark_partition_id()).persist()
-    states = T.StructType([number, T.StructField("active", T.ArrayType(T.LongType()))])
+    parted = triggers.withColumn("range", _ranges(triggers).cast("int"))
+    ranged = parted.repartition("range").sortWithinPartitions("range", "log_ns", "trigger_id").persist()
+    states = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("active", T.ArrayType(T.LongType()))])
 
-    def ends(before: dict[int, list[int]], which: set[int]) -> dict[int, list[int]]:
+    def ends(before: dict[int, list[int]]) -> dict[int, list[int]]:
         def fold(batches):
-            active, at = [], None
-            for b in batches:
-                if at is None and b.num_rows:
-                    at = b.column("range")[0].as_py()
-                    active = list(before.get(at, []))
-                _admitting(zip(*(b.column(k).to_pylist() for k in _ADMITTED), strict=True), active, limit)
-            if at is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([sorted(active)], pa.list_(pa.int64()))], names=states.names)
-
-        rows = ranged.select("range", *_ADMITTED)
-        some = rows if not before else rows.filter(F.col("range").isin(sorted(which)))
+            after = {}
+            for _, _, some in _folded(batches, "range", before, limit):
+                after |= some
+            yield pa.RecordBatch.from_arrays([pa.array(list(after), pa.int32()), pa.array(list(after.values()), pa.list_(pa.int64()))], names=states.names)
+
+        rows = ranged.select("range", "log_ns", "finish_ns", "reject_reason").coalesce(MOST_RANGES if not before else min(len(before), MOST_RANGES))
+        some = rows.filter(F.col("range").isin(sorted(before))) if before else rows
         return {r["range"]: list(r["active"]) for r in some.mapInArrow(fold, states).collect()}
 
-    after = ends({}, set())
-    order_ = sorted(after)
-    before = dict.fromkeys(order_, [])
-    while changed := {k: after[j] for j, k in zip(order_, order_[1:], strict=False) if before[k] != after[j]}:
+    after = ends({})
+    order = sorted(after)
+    before = dict.fromkeys(order, [])
+    while changed := {k: after[j] for j, k in zip(order, order[1:], strict=False) if before[k] != after[j]}:
         before |= changed
-        after |= ends(before, set(changed))
-    held = spark.sparkContext.broadcast(before)
-
-    def decide(batches):
-        active, begun = [], False
-        for b in batches:
-            if not begun and b.num_rows:
-                active, begun = list(held.value.get(b.column("range")[0].as_py(), [])), True
-            out = _admitting(zip(*(b.column(k).to_pylist() for k in _ADMITTED), strict=True), active, limit)
-            yield b.append_column("admitted", pa.array(out, type=pa.bool_()))
-
-    return ranged.mapInArrow(decide, T.StructType([*ranged.schema.fields, T.StructField("admitted", T.BooleanType())])).drop("range")
+        after |= ends(changed)
+    return _decided(ranged, "range", before, limit).drop("range")

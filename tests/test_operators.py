@@ -115,6 +115,16 @@ def test_joined_clips_are_not_shuffled(spark, sf, name):
     assert "Join" in plan and "Exchange" not in plan[: plan.index("Join")]
 
 
+def test_places_are_numbered_without_a_shuffle_of_clips(spark, sf, conf):
+    """The rows above the join stay where they are; clips over many small batches, against a count by clip."""
+    conf(execution_arrow_maxRecordsPerBatch=3)
+    found = queries.clip_order(spark, sf)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Exchange" not in plan[: plan.index("Join")]
+    rows = sorted(tuple(r) for r in found.collect())
+    assert rows and all(r[3] == k for _, group in itertools.groupby(rows, key=lambda r: r[0]) for k, r in enumerate(group))
+
+
 def test_overlaps_come_once(spark):
     ranges = spark.createDataFrame([(0, 100, 200), (1, 0, 1000), (2, None, None)], "recording_id long, min_ns long, max_ns long")
     w = window(spark, (200, 500), (0, 100), (201, 500), (0, 99))

@@ -144,6 +144,31 @@ def test_channels_are_counted_without_a_sort_of_joined_rows(spark):
     assert "HashAggregate" in last and "partial_min(offset" in last
 
 
+@pytest.mark.parametrize("name", ["late_loss", "pruned_equals_full", "unknown_channel_skips", "clip_stats"])
+def test_joined_rows_are_counted_where_they_are(spark, sf, name):
+    """Above the join of windows and messages comes a count before anything is moved or joined again."""
+    plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda x: len(x) - len(x.lstrip(" :+-*0123456789()"))
+    joins = [k for k, x in enumerate(plan) if "Join" in x and "stamp_ns" in x]
+    assert joins
+    for k in joins:
+        above, at = [], depth(plan[k])
+        for x in reversed(plan[:k]):
+            if depth(x) < at:
+                at = depth(x)
+                above.append(x.lstrip(" :+-*0123456789()"))
+        assert next(x for x in above if not x.startswith(("Project", "Filter"))).startswith("HashAggregate"), above[:3]
+
+
+def test_late_messages_are_counted_by_both_times(spark):
+    """Copies of messages and windows, windows that aren't released, and messages at the release itself, by brute force."""
+    random.seed(8)
+    rows = [(0, random.randrange(100), random.randrange(100), "/t") for _ in range(120)] * 2
+    w = spark.createDataFrame([(k, a := random.randrange(90), a + random.randrange(20), random.choice([None, 30, 60])) for k in range(30)], "trigger_id long, start_ns long, end_ns long, release_ns long")
+    want = {r["trigger_id"]: n for r in w.collect() if r["release_ns"] and (n := sum(r["start_ns"] <= p <= r["end_ns"] and log > r["release_ns"] for _, log, p, _ in rows))}
+    assert {r["trigger_id"]: r["late"] for r in coverage.late(w, messages(spark, rows), clock="publish").collect()} == want
+
+
 def test_overlaps_come_once(spark):
     ranges = spark.createDataFrame([(0, 100, 200), (1, 0, 1000), (2, None, None)], "recording_id long, min_ns long, max_ns long")
     w = window(spark, (200, 500), (0, 100), (201, 500), (0, 99))

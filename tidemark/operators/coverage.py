@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.scalars import sat_add, sat_sub, stamp
 from tidemark.model import LOG, MAX_ACTIVE
-from tidemark.operators.windows import BIN_NS, bin_of
+from tidemark.operators.windows import BIN_NS, bin_of, matches
 
 
 #: Bins of a group of bins; there are at most a few thousand groups, however wild the stamps.
@@ -62,9 +62,15 @@ def cut_status(windows: DataFrame, coverage_ns: Column, now: Column, grace_ns: i
     return windows.withColumn("status", status)
 
 
-def late(matched: DataFrame, released: DataFrame) -> DataFrame:
-    """Messages per window that arrived after its release, and so are missing from the clip that was cut then."""
-    return matched.join(released.select("trigger_id", "release_ns"), "trigger_id").filter(F.col("log_ns") > F.col("release_ns")).groupBy("trigger_id").agg(F.count("*").alias("late"))
+def late(released: DataFrame, messages: DataFrame, *, clock: str = LOG) -> DataFrame:
+    """Messages per window that arrived after its release, and so are missing from the clip that was cut then.
+
+    released: windows with release_ns. Messages with the same times meet the windows as one, and the joined rows are
+    counted where they are.
+    """
+    timed = messages.groupBy("log_ns", "publish_ns").agg(F.count("*").alias("n"))
+    found = matches(released.filter("release_ns is not null"), timed, clock=clock, keep=["release_ns"]).filter(F.col("log_ns") > F.col("release_ns"))
+    return found.groupBy("trigger_id").agg(F.sum("n").alias("late"))
 
 
 def states(recordings: DataFrame, ended: Column) -> DataFrame:

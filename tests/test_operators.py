@@ -99,6 +99,40 @@ def test_a_hot_moment_is_joined_in_all_tasks(spark, monkeypatch, conf):
     assert len(clips) == 300 and all(c == sorted(c) for c in clips) and {len(c) for c in clips} == {1, n}
 
 
+@pytest.mark.parametrize("least", [windows.LEAST_PAIRS, 0])
+def test_clips_without_order_are_the_same_rows(spark, monkeypatch, least):
+    monkeypatch.setattr(windows, "LEAST_PAIRS", least)
+    random.seed(5)
+    far = 2**63 - 1
+    spans = [(a := random.randrange(0, 300), a + random.choice([0, 1, 3, 9, 60, 500])) for _ in range(40)]
+    spans += [(0, far), (-far, far), (far - 5, far), (-300, 5), (-9, -3), (10, 9), (3, 5 << 40), (16, 31), (15, 16), (31, 47)]
+    times = [random.randrange(-400, 800) for _ in range(200)] + [0, 15, 16, 31, 32, far, -far, far - 1, 1 << 40, None]
+    rows = [(random.randrange(3), t, t, "/t") for t in times]
+    got = windows.clips(window(spark, *spans), messages(spark, rows), ordered=False).select("trigger_id", "recording_id", "offset", "stamp_ns").collect()
+    assert sorted(map(tuple, got)) == sorted((k, r, i, t) for k, (a, b) in enumerate(spans) for i, (r, t, _, _) in enumerate(rows) if t is not None and a <= t <= b)
+
+
+def test_clips_deal_each_side_once(spark):
+    """One exchange a side, ordered or not, and a message is one row of it if there is no order to keep."""
+    rows = [(0, k * 10, k * 10, "/t") for k in range(50)]
+    for ordered, copies in ((True, 2), (False, 1)):
+        found = windows.clips(window(spark, (0, 50), (100, 160)), messages(spark, rows), ordered=ordered)
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan()
+        plan = plan.initialPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan
+        assert str(plan.toString()).count("Exchange ") == 2
+        assert str(plan.toString()).count("array(struct(level") == 1 and str(plan.toString()).split("array(struct(level")[1].split(")]")[0].count("struct(") == copies - 1
+
+
+def test_a_hot_moment_without_order_is_joined_in_all_tasks(spark, monkeypatch, conf):
+    monkeypatch.setattr(windows, "LEAST_PAIRS", 1000)
+    conf(shuffle_partitions=16)
+    n, at = 2000, 10**9
+    m = spark.range(n).select(F.col("id").alias("offset"), F.lit(0).alias("recording_id"), (at + F.pmod(F.col("id") * 7919, F.lit(1000))).alias("log_ns")).withColumn("publish_ns", F.col("log_ns"))
+    sizes = sorted(len(part) for part in windows.clips(window(spark, *[(at - k * 1000, at + 1_000_000 - k) for k in range(200)]), m, ordered=False).select("trigger_id", "offset").rdd.glom().collect())
+    assert len(sizes) == 16 and sum(sizes) == 200 * n and sizes[-1] < 1.3 * sizes[8]
+
+
 def test_hot_cells_are_bounded_in_number(spark, monkeypatch):
     monkeypatch.setattr(windows, "LEAST_PAIRS", 0)
     timed = spark.createDataFrame([(k, 0, 0, 0, k % 50) for k in range(500)], "trigger_id long, start_ns long, end_ns long, level int, cell long")

@@ -124,6 +124,14 @@ def test_clips_deal_each_side_once(spark):
         assert str(plan.toString()).count("array(struct(level") == 1 and str(plan.toString()).split("array(struct(level")[1].split(")]")[0].count("struct(") == copies - 1
 
 
+def test_clips_without_order_come_message_by_message(spark):
+    """A message's rows are together, so that what repeats in them takes little room where they are written."""
+    rows = [(0, k * 7 % 50, k * 7 % 50, "/t") for k in range(50)]
+    parts = windows.clips(window(spark, (0, 49), (0, 45), (5, 49)), messages(spark, rows), ordered=False).select("recording_id", "offset").rdd.glom().collect()
+    runs = [k for part in parts for k, _ in itertools.groupby(map(tuple, part))]
+    assert len(runs) == len(set(runs)) == 50
+
+
 def test_a_hot_moment_without_order_is_joined_in_all_tasks(spark, monkeypatch, conf):
     monkeypatch.setattr(windows, "LEAST_PAIRS", 1000)
     conf(shuffle_partitions=16)
